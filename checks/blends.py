@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from checks.registry import query
+from checks.registry import CUSTOMERS_SQL, customers, query
 from checks.streams import ABC, ALLM, COMP, IDS, LAST6, S, long_streams, metric_ctes, r6, rnd, streams
 from ebbtide.operators import blend, metrics
+from ebbtide.operators.segments import quantile_segments
 from ebbtide.sources import adapters
 
 MIX = {"a": 0.5, "b": 0.3, "c": 0.2}
@@ -167,9 +168,33 @@ def g16_json_weights(spark, path):
     return rnd(streams(spark, path).select(*IDS, m["a"].alias("a"), m["b"].alias("b")))
 
 
-query("k16_segment_weights")(lambda s, p: s.createDataFrame(sorted(blend.segment_weights(
-    streams(s, p).withColumn("seg", F.col("cust_id") % 3), ABC, ["seg"]).items()), "model string, w double"))
-query("k16_gram", f"{S} SELECT cust_id % 3 AS seg, count(*) AS n, " + ", ".join(
+QUART = ("t4 AS (SELECT cust_id, tenure, list_sort(list_distinct((SELECT quantile_cont(CAST(tenure AS DOUBLE), [0.0, 0.25, 0.5, 0.75, 1.0]) FROM customers))) AS e "
+         "FROM customers), sg4 AS (SELECT cust_id, CAST(len(list_filter(e[2:len(e) - 1], lambda z: z < tenure)) AS INTEGER) AS seg FROM t4)")
+
+
+def segmented(spark, path) -> DataFrame:
+    people = quantile_segments(customers(spark, path).select("cust_id", "tenure"), "tenure", "seg")
+    return streams(spark, path).join(people.select("cust_id", "seg"), "cust_id")
+
+
+query("g17_quartile_segments", f"WITH {CUSTOMERS_SQL.strip()}, {QUART} SELECT cust_id, seg FROM sg4")(
+    lambda s, p: quantile_segments(customers(s, p).select("cust_id", "tenure"), "tenure", "seg").select("cust_id", "seg"))
+query("k16_segment_weights")(lambda s, p: s.createDataFrame(sorted(
+    blend.segment_weights(segmented(s, p), ABC, ["seg"]).items()), "model string, w double"))
+query("k16_gram", f"{S}, {CUSTOMERS_SQL.strip()}, {QUART} SELECT seg, count(*) AS n, " + ", ".join(
     f"round(sum({x} * {y}), 4) + 0.0 AS g{i}_{j}" for i, x in enumerate(ABC) for j, y in enumerate(ABC) if i <= j)
-    + ", " + ", ".join(f"round(sum({x} * y), 4) + 0.0 AS b{i}" for i, x in enumerate(ABC)) + " FROM s GROUP BY seg")(
-    lambda s, p: rnd(blend.gram(streams(s, p).withColumn("seg", F.col("cust_id") % 3), ABC, ["seg"]), 4))
+    + ", " + ", ".join(f"round(sum({x} * y), 4) + 0.0 AS b{i}" for i, x in enumerate(ABC)) + " FROM s JOIN sg4 USING (cust_id) GROUP BY seg")(
+    lambda s, p: rnd(blend.gram(segmented(s, p), ABC, ["seg"]), 4))
+
+# ---------------------------------------------------------------- a second target: document quality by length
+
+DOCS = ("WITH d AS (SELECT doc_id, CAST(quality AS INTEGER) AS y, round(n_chars / (n_chars + 5000.0), 6) AS p, doc_id AS cust_id, 0 AS ref_date "
+        "FROM labels JOIN documents USING (doc_id))")
+
+
+@query("i4_document_quality", f"{DOCS}, {metric_ctes('d', '')} SELECT n, positives, k, hits, {r6('auc', 'recall', 'lift')}, round({COMP}, 6) + 0.0 AS composite FROM mt")
+def i4_document_quality(spark, path):
+    d = adapters.table(spark, path, "labels").join(adapters.table(spark, path, "documents").select("doc_id", "n_chars"), "doc_id")
+    scored = d.select("doc_id", F.col("quality").cast("int").alias("y"), F.round(F.col("n_chars") / (F.col("n_chars") + 5000.0), 6).alias("p"))
+    m = metrics.ranking_metrics(scored, ids=["doc_id"])
+    return rnd(m.select("n", "positives", "k", "hits", "auc", "recall", "lift", "composite"))

@@ -88,7 +88,7 @@ def c2_point_in_time(spark, path):
     from ebbtide.features.panel import point_in_time
 
     return (
-        point_in_time(history(spark, path), cohort(spark, path)).where("date is not null").groupBy(*KEYS)
+        point_in_time(history(spark, path), cohort(spark, path), horizon=None).where("date is not null").groupBy(*KEYS)
         .agg(F.count(F.lit(1)).alias("n_rows"), F.min("date").alias("first_date"), F.max("date").alias("last_date"),
              F.sum("total_amt").alias("total_amt"))
     )

@@ -271,7 +271,7 @@ query("h11_window_guard", f"{PIT} SELECT count(*) FILTER (WHERE date > ref_date)
 def _joined(spark, path) -> DataFrame:
     from ebbtide.features.panel import point_in_time
 
-    return point_in_time(history(spark, path), cohort(spark, path)).where("date is not null")
+    return point_in_time(history(spark, path), cohort(spark, path), horizon=None).where("date is not null")
 
 
 query("h14_domain_weights", f"{S} SELECT cust_id, ref_date, round(greatest(least(1 / (1 + exp(2.0 * (a - 0.5))), 1.2), 0.8), 6) + 0.0 AS w, "

@@ -46,13 +46,11 @@ def trend(a: Aggregates) -> dict[str, Column]:
 
 def recency(a: Aggregates) -> dict[str, Column]:
     ref = F.col("ref_date")
-    eft = a.add("_last_eft", lambda: F.max(F.when(F.col(EFT_CNT) > 0, F.col("date"))))
-    cc = a.add("_last_cc", lambda: F.max(F.when(F.col(CC_CNT) > 0, F.col("date"))))
     return {
-        "days_since_last_activity": F.datediff(ref, a.max("date", "all")),
-        "days_since_first_activity_rel": F.datediff(ref, a.min("date", "all")),
-        "days_since_last_eft": F.datediff(ref, eft),
-        "days_since_last_cc": F.datediff(ref, cc),
+        "days_since_last_activity": F.datediff(ref, a.latest("date")),
+        "days_since_first_activity_rel": F.datediff(ref, a.latest("run_first")),
+        "days_since_last_eft": F.datediff(ref, a.latest("run_eft")),
+        "days_since_last_cc": F.datediff(ref, a.latest("run_cc")),
     }
 
 
@@ -76,7 +74,7 @@ def decile_signals(a: Aggregates) -> dict[str, Column]:
     """Collapse, volatility, personal z, recency-weighted level and burstiness per measure; channel mix."""
     out: dict[str, Column] = {}
     in_year = a.rows("12").isNotNull()
-    quiet = F.datediff(F.col("ref_date"), a.max("date", "all")) / F.lit(30.0)
+    quiet = F.datediff(F.col("ref_date"), a.latest("date")) / F.lit(30.0)
     for c, alias in ALIASES.items():
         m1, m3, m6, m12 = (a.mean(c, t) for t in ("1", "3", "6", "12"))
         s3, s6, s12 = (a.std(c, t) for t in ("3", "6", "12"))

@@ -54,20 +54,18 @@ def winsor_targets(columns: Sequence[str]) -> list[str]:
 def group_percentiles(
     df: DataFrame, by: Sequence[str], values: dict[str, Column], probs: Sequence[float]
 ) -> DataFrame:
-    """Percentiles of many columns in one job: one row per group with maps ``_q`` and ``_qn`` by column name.
+    """Percentiles of many columns in one job: one row per group, columns ``q:<name>`` (array) and ``n:<name>``.
 
     The columns are laid out in long form, counted per value, and placed by the distributed order statistics.
-    The result has one row per group; it is written out, so the planner knows its size before it decides
-    whether to broadcast it.
     """
     entries = F.array(*[F.struct(F.lit(n).alias("var"), c.cast("double").alias("x")) for n, c in values.items()])
     long = df.select(*by, F.inline(entries)).where(F.col("x").isNotNull())
     q = percentiles(long, [*by, "var"], "x", probs, "q", count="n")
-    wide = q.groupBy(*by).agg(
-        F.map_from_entries(F.collect_list(F.struct("var", "q"))).alias("_q"),
-        F.map_from_entries(F.collect_list(F.struct("var", "n"))).alias("_qn"),
+    mine = [(n, F.col("var") == n) for n in values]
+    return q.groupBy(*by).agg(
+        *[F.first(F.when(c, F.col("q")), ignorenulls=True).alias(f"q:{n}") for n, c in mine],
+        *[F.first(F.when(c, F.col("n")), ignorenulls=True).alias(f"n:{n}") for n, c in mine],
     )
-    return materialize(wide)
 
 
 def feature_table(
@@ -97,7 +95,7 @@ def feature_table(
         for name, col in FAMILIES[fam](a).items():
             columns[name] = col
             owner[name] = fam
-    known = a.rows("all").isNotNull()
+    known = a.latest("row_no").isNotNull()
     year = a.rows("12").isNotNull()
     agg = aggregate(joined, a)
 
@@ -118,7 +116,7 @@ def feature_table(
         *[c.alias(n) for n, c in columns.items()],
     )
     if "risk" in families and relative:
-        table = table.join(risk.peak_quarter(joined, months), KEYS, "left")
+        table = table.join(risk.peak_quarter(history, cohort, months), KEYS, "left")
 
     clipped = [
         c
@@ -173,50 +171,72 @@ def _cohort_relative(table: DataFrame, relative: set[str], clipped: list[str], o
     at = {p: i for i, p in enumerate(probs)}
 
     def q(var: str, p: float) -> Column:
-        return F.try_element_at(F.try_element_at("_q", F.lit(var)), F.lit(at[p] + 1))
+        return F.element_at(F.col(f"`q:{var}`"), at[p] + 1)
 
-    def edges(var: str, ps: Sequence[float]) -> Column:
-        # No edges at all when the whole column is null.
-        return F.when(F.try_element_at("_q", F.lit(var)).isNotNull(), F.array(*[q(var, p) for p in ps]))
+    def cuts(var: str, ps: Sequence[float]) -> tuple[Column, Column]:
+        return rfm.inner_edges(F.when(F.col(f"`q:{var}`").isNotNull(), F.array(*[q(var, p) for p in ps])))
 
-    out = table.join(group_percentiles(table, ["ref_date"], values, probs), "ref_date", "left")
-    new: dict[str, Column] = {}
+    # What a row is compared with is worked out on the one-row-per-date table, which is written out: the planner knows
+    # its size before it decides to broadcast it.
+    small: dict[str, Column] = {}
     if "rfm" in relative:
         for k, c in rfm.SCORED.items():
-            out = out.withColumn(f"rfm_{k}_score", rfm.score(F.col(c), edges(c, rfm.QUINTILES), reverse=k == "r"))
+            small[f"_edges_{k}"], small[f"_bins_{k}"] = cuts(c, rfm.QUINTILES)
+    if "performance" in relative:
+        small["_median_cnt"] = q("_perf_cnt", 0.5)
+        for i, b in enumerate(performance.BRACKET_LABELS):
+            crowd = F.col(f"`n:_peer_{b}`") > performance.PEER_MIN
+            small[f"_peer_{i}"] = F.when(crowd, q(f"_peer_{b}", 0.5) * F.lit(performance.PEER_SHARE))
+    if "risk" in relative:
+        for c in ("_risk_n_now", "_risk_n_before", "_risk_amt_now", "_risk_amt_before"):
+            small[f"{c}_95"] = q(c, 0.95)
+        small["_age_median"] = q("age", 0.5)
+        small["_age_edges"], small["_age_bins"] = cuts("age", (0.0, 0.25, 0.5, 0.75, 1.0))
+    for i, c in enumerate(clipped):
+        enough = F.col(f"`n:{c}`") >= WINSOR_MIN
+        small[f"_lo_{i}"] = F.when(enough, q(c, WINSOR[0])).otherwise(F.lit(float("-inf")))
+        small[f"_hi_{i}"] = F.when(enough, q(c, WINSOR[1])).otherwise(F.lit(float("inf")))
+    stats = group_percentiles(table, ["ref_date"], values, probs)
+    stats = materialize(stats.select("ref_date", *[c.alias(n) for n, c in small.items()]))
+    out = table.join(stats, "ref_date", "left")
+
+    new: dict[str, Column] = {}
+    if "rfm" in relative:
+        out = out.withColumns({
+            f"rfm_{k}_score": rfm.score(F.col(c), F.col(f"_edges_{k}"), F.col(f"_bins_{k}"), reverse=k == "r")
+            for k, c in rfm.SCORED.items()
+        })
         rfm_scores = [F.col(f"rfm_{k}_score") for k in ("r", "f", "m")]
         new["rfm_score"] = F.when(F.col("_year"), rfm.composite(*rfm_scores))
         new["rfm_segment"] = F.when(F.col("_year"), rfm.segment(*rfm_scores))
-        new["rfm_segment_encoded"] = F.when(F.col("_year"), rfm.segment_rank(rfm.segment(*rfm_scores)))
     if "performance" in relative:
         new["new_joiner_risk"] = (
             (F.col("_perf_tenure_days") < performance.NEW_JOINER_DAYS)
-            & (F.coalesce("_perf_cnt", F.lit(0.0)) > q("_perf_cnt", 0.5))
+            & (F.coalesce("_perf_cnt", F.lit(0.0)) > F.col("_median_cnt"))
         ).cast("double")
-        flag = F.lit(None).cast("double")
-        for b in performance.BRACKET_LABELS:
-            crowd = F.try_element_at("_qn", F.lit(f"_peer_{b}"))
-            low = F.col("_perf_amt") < q(f"_peer_{b}", 0.5) * F.lit(performance.PEER_SHARE)
-            flag = F.when((F.col("_perf_bracket") == b) & (crowd > performance.PEER_MIN), low.cast("double")).otherwise(flag)
-        new["below_peer_flag"] = F.coalesce(flag, F.lit(0.0))
+        bar = F.lit(None).cast("double")
+        for i, b in enumerate(performance.BRACKET_LABELS):
+            bar = F.when(F.col("_perf_bracket") == b, F.col(f"_peer_{i}")).otherwise(bar)
+        new["below_peer_flag"] = F.coalesce((F.col("_perf_amt") < bar).cast("double"), F.lit(0.0))
     if "risk" in relative:
         level = [
             risk.rfm_level(
                 F.col(f"_risk_rec_{w}"), F.col(f"_risk_n_{w}"), F.col(f"_risk_amt_{w}"),
-                q(f"_risk_n_{w}", 0.95), q(f"_risk_amt_{w}", 0.95),
+                F.col(f"_risk_n_{w}_95"), F.col(f"_risk_amt_{w}_95"),
             )
             for w in ("now", "before")
         ]
         new["churn_rfm_decay_rate"] = level[1] - level[0]
         new["churn_current_to_peak_activity_ratio"] = F.col("_risk_n_now") / (F.col("_peak_quarter") + 1)
-        age = F.coalesce(F.col("age").cast("double"), q("age", 0.5))
-        code, _ = rfm.quantile_code(age, edges("age", (0.0, 0.25, 0.5, 0.75, 1.0)))
-        new["_age_quartile"] = code
-    for c in clipped:
+        age = F.coalesce(F.col("age").cast("double"), F.col("_age_median"))
+        new["_age_quartile"] = rfm.bin_code(age, F.col("_age_edges"), F.col("_age_bins"))
+    for i, c in enumerate(clipped):
         x = family_filled(c)
-        enough = F.try_element_at("_qn", F.lit(c)) >= WINSOR_MIN
-        new[c] = F.when(x.isNotNull() & enough, F.greatest(F.least(x, q(c, WINSOR[1])), q(c, WINSOR[0]))).otherwise(x)
-    return out.withColumns(new).drop("_q", "_qn")
+        new[c] = F.when(x.isNotNull(), F.greatest(F.least(x, F.col(f"_hi_{i}")), F.col(f"_lo_{i}")))
+    out = out.withColumns(new)
+    if "rfm" in relative:
+        out = out.withColumn("rfm_segment_encoded", rfm.segment_rank(F.col("rfm_segment")))
+    return out.drop(*small)
 
 
 def _recency_rank(table: DataFrame) -> DataFrame:

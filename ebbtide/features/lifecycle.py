@@ -12,11 +12,11 @@ from ebbtide.functions.safe import shifted_ratio
 def lifecycle(a: Aggregates) -> dict[str, Column]:
     """Needs ``tenure`` (months) from the customer table and ``cohort_months`` (months seen in the cohort)."""
     ref, tenure = F.col("ref_date"), F.col("tenure")
-    n = a.rows("all")
+    n = a.latest("row_no")
     rate = shifted_ratio(n, tenure)
     out = {
         "lifecycle_tenure_days": tenure * 30,
-        "lifecycle_days_since_first_txn": F.datediff(ref, a.min("date", "all")),
+        "lifecycle_days_since_first_txn": F.datediff(ref, a.latest("run_first")),
         "lifecycle_txn_per_month": rate,
         "lifecycle_products_per_year": a.mean(PRODUCTS, "12"),
     }
@@ -45,8 +45,8 @@ def consistency(a: Aggregates) -> Column:
 
     The sum of squared month counts is a sum over rows: the i-th row of a month adds 2i - 1.
     """
-    squares = a.add("_month_squares", lambda: F.sum(2 * F.col("month_row") - 1))
-    total, months = a.rows("all"), F.col("cohort_months")
+    squares = a.latest("run_squares")
+    total, months = a.latest("row_no"), F.col("cohort_months")
     mean = total / months
     var = (squares - months * mean * mean) / F.nullif(months - 1, F.lit(0))
     std = F.sqrt(F.greatest(var, F.lit(0.0)))
@@ -54,13 +54,12 @@ def consistency(a: Aggregates) -> Column:
 
 
 def _peak_code(cond: Column) -> Column:
-    # Largest count first, earliest month on ties, in one long.
-    return F.max(F.when(cond, F.col("month_row") * F.lit(PEAK_BASE).cast("long") + (PEAK_BASE - F.col("month_no"))))
+    return F.max(F.when(cond, F.col("peak_code")))
 
 
 def peak_month(a: Aggregates) -> Column:
     """First day of the month with most rows."""
-    code = a.add("_peak_all", lambda: _peak_code(F.col("date").isNotNull()))
+    code = a.latest("run_peak")
     return month_from_number(F.lit(PEAK_BASE) - code % PEAK_BASE)
 
 

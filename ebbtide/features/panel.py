@@ -6,8 +6,9 @@ Shape of the work, for every family at once:
   days), then moved once to its customer's partition;
 * per-customer running columns are added there (previous row, place in the month, number of the month), which
   turns month-wise statistics into plain sums over rows;
-* the cohort joins on ``cust_id`` with ``date <= ref_date`` and the result is grouped by (cust_id, ref_date) in
-  the same partitions, without another shuffle. Each window is a condition inside the aggregate.
+* the cohort joins on ``cust_id`` with the rows of the last twelve periods and the latest row (which carries the
+  whole-history statistics), and the result is grouped by (cust_id, ref_date) in the same partitions, without another
+  shuffle. The fan-out does not grow with the length of the history. Each window is a condition in the aggregate.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ DIFFED = (EFT_AMT, CC_AMT, PRODUCTS)
 
 KEYS = ["cust_id", "ref_date"]
 
-# Windows by tag as (from, to] in periods before the reference date; "all" is the whole past.
+# Windows by tag as (from, to] in periods before the reference date; none reaches further back than the horizon.
 SPANS = {
     "1": (0, 1), "3": (0, 3), "6": (0, 6), "12": (0, 12),
     "p1": (1, 2), "p3": (3, 6), "p6": (6, 12), "old": (6, 9),
@@ -53,62 +54,85 @@ def merge_same_day(history: DataFrame) -> DataFrame:
 
 
 def with_running_columns(panel: DataFrame) -> DataFrame:
-    """Add what a row knows about its customer's earlier rows (and the next row with the same product number)."""
+    """Add what a row knows about its customer up to itself, and the next row (and next with the same product number).
+
+    The ``run_`` columns hold whole-history statistics as of the row, so a reference date needs only the latest row
+    before it for them, not the whole past.
+    """
     w = Window.partitionBy("cust_id").orderBy("date")
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     same = Window.partitionBy("cust_id", PRODUCTS).orderBy("date")
-    month = periods.month_number(F.col("date"))
-    out = panel.withColumn("month_no", month).withColumns(
+    amt = F.coalesce(EFT_AMT, F.lit(0.0)) + F.coalesce(CC_AMT, F.lit(0.0))
+    cnt = F.coalesce(EFT_CNT, F.lit(0.0)) + F.coalesce(CC_CNT, F.lit(0.0))
+    out = panel.withColumns(
+        {"month_no": periods.month_number(F.col("date")), "total_amt": amt, "total_cnt": cnt}
+    ).withColumns(
         {
             "prev_date": F.lag("date").over(w),
+            "next_date": F.lead("date").over(w),
             "prev_month": F.lag("month_no").over(w),
             "row_no": F.row_number().over(w),
             **{f"diff_{c}": F.col(c) - F.lag(c).over(w) for c in DIFFED},
         }
     )
     fresh = F.col("prev_month").isNull() | (F.col("prev_month") != F.col("month_no"))
-    return out.withColumn("fresh", fresh).withColumns(
+    out = out.withColumn("fresh", fresh).withColumns(
         {
             "month_row": F.col("row_no") - F.max(F.when(F.col("fresh"), F.col("row_no"))).over(upto) + 1,
             "month_ord": F.sum(F.col("fresh").cast("int")).over(upto) - 1,
-            "next_same": F.lead("date").over(same),
         }
     )
+    # Largest count first, earliest month on ties, in one long.
+    out = out.withColumn(
+        "peak_code", F.col("month_row") * F.lit(PEAK_BASE).cast("long") + (F.lit(PEAK_BASE) - F.col("month_no"))
+    )
+    running = {
+        "run_first": F.min("date"),
+        "run_eft": F.max(F.when(F.col(EFT_CNT) > 0, F.col("date"))),
+        "run_cc": F.max(F.when(F.col(CC_CNT) > 0, F.col("date"))),
+        "run_amt": F.sum("total_amt"),
+        "run_cnt": F.sum("total_cnt"),
+        "run_cnt_mean": F.avg("total_cnt"),
+        "run_cnt_std": F.stddev_samp("total_cnt"),
+        "run_squares": F.sum(2 * F.col("month_row") - 1),
+        "run_peak": F.max("peak_code"),
+        "run_xy": F.sum(F.col("month_ord") * F.col("total_amt")),
+    }
+    return out.withColumns({n: c.over(upto) for n, c in running.items()} | {"next_same": F.lead("date").over(same)})
 
 
 def point_in_time(
-    history: DataFrame, cohort: DataFrame, unit: str = "month", keyed: bool = False
+    history: DataFrame, cohort: DataFrame, unit: str = "month", keyed: bool = False, horizon: int | None = 12
 ) -> DataFrame:
-    """Cohort rows with every history row dated on or before their reference date.
+    """Cohort rows with the history rows they need: those of the last ``horizon`` periods and the latest row.
 
-    ``keyed=True`` promises that (cust_id, date) is already unique and saves the merge. Cohort rows without
-    history stay, with nulls on the history side.
+    ``horizon=None`` joins every row on or before the reference date. ``keyed=True`` promises that (cust_id, date) is
+    already unique and saves the merge. Cohort rows without history stay, with nulls on the history side.
     """
     c = cohort.select(*KEYS).distinct()
-    panel = history.select("cust_id", "date", *MEASURES)
-    panel = panel.join(c.select("cust_id").distinct(), "cust_id", "left_semi")
-    panel = with_running_columns(panel if keyed else merge_same_day(panel))
+    # Rows after the last reference date are not read (a runtime filter on the scan).
+    panel = history.select("cust_id", "date", *MEASURES).where(F.col("date") <= c.agg(F.max("ref_date")).scalar())
+    panel = panel if keyed else merge_same_day(panel)
+    panel = with_running_columns(panel.join(c.select("cust_id").distinct(), "cust_id", "left_semi"))
+    latest = panel["next_date"].isNull() | (panel["next_date"] > c["ref_date"])
     on = (c["cust_id"] == panel["cust_id"]) & (panel["date"] <= c["ref_date"])
+    if horizon is not None:
+        on = on & ((panel["date"] > periods.back(c["ref_date"], horizon, unit)) | latest)
     joined = c.join(panel, on, "left").drop(panel["cust_id"])
     ref, date = F.col("ref_date"), F.col("date")
     band = F.when(date.isNull(), F.lit(None))
     for b in BORDERS:
         band = band.when(date > periods.back(ref, b, unit), F.lit(b))
-    band = band.otherwise(F.lit(999))
     left = F.when(date.isNull(), F.lit(None))
     for b in (3, 6):
         left = left.when(date >= periods.back(ref, b, unit), F.lit(b))
-    left = left.otherwise(F.lit(999))
-    amt = F.coalesce(EFT_AMT, F.lit(0.0)) + F.coalesce(CC_AMT, F.lit(0.0))
-    cnt = F.coalesce(EFT_CNT, F.lit(0.0)) + F.coalesce(CC_CNT, F.lit(0.0))
     return joined.withColumns(
         {
-            "band": band,
-            "left_band": left,
+            "band": band.otherwise(F.lit(999)),
+            "left_band": left.otherwise(F.lit(999)),
             "start6": periods.back(ref, 6, unit),
             "month_gap": periods.month_number(ref) - F.col("month_no"),
-            "total_amt": F.when(date.isNotNull(), amt),
-            "total_cnt": F.when(date.isNotNull(), cnt),
+            "is_latest": date.isNotNull() & (F.col("next_date").isNull() | (F.col("next_date") > ref)),
         }
     )
 
@@ -126,8 +150,6 @@ class Aggregates:
 
     @staticmethod
     def within(tag: str) -> Column:
-        if tag == "all":
-            return F.col("date").isNotNull()
         lo, hi = SPANS[tag]
         return (F.col("band") > lo) & (F.col("band") <= hi) if lo else F.col("band") <= hi
 
@@ -140,6 +162,10 @@ class Aggregates:
         s = self.add(f"_sum_{col}_{tag}", lambda: F.sum(F.when(self.within(tag), F.col(col))))
         return F.when(self.rows(tag).isNotNull(), F.coalesce(s, F.lit(0.0)))
 
+    def latest(self, col: str) -> Column:
+        """A column of the latest row on or before the reference date."""
+        return self.add(f"_latest_{col}", lambda: F.max(F.when(F.col("is_latest"), F.col(col))))
+
     def _stat(self, fn, stat: str, col: str, tag: str) -> Column:
         return self.add(f"_{stat}_{col}_{tag}", lambda: fn(F.when(self.within(tag), F.col(col))))
 

@@ -32,7 +32,7 @@ def performance(a: Aggregates) -> dict[str, Column]:
         here = (F.col("left_band") <= band) & latest & F.col(PRODUCTS).isNotNull()
         return a.add(f"_left_distinct_{band}", lambda: F.count_if(here))
 
-    first, last = a.min("date", "all"), a.max("date", "all")
+    first, last = a.latest("run_first"), a.latest("date")
     quiet = periods.month_number(ref) - periods.month_number(last)
     tenure_days = F.coalesce(F.datediff(ref, first), F.lit(0))
     return {
@@ -42,12 +42,12 @@ def performance(a: Aggregates) -> dict[str, Column]:
         "balance_trend": ordinal_slope(a),
         "product_abandonment": F.lit(1) - distinct_left(3) / F.greatest(distinct_left(6), F.lit(1)),
         "txn_irregularity": F.coalesce(
-            ratio(a.std("total_cnt", "all"), a.mean("total_cnt", "all") + F.lit(1e-9)), F.lit(0.0)
+            ratio(a.latest("run_cnt_std"), a.latest("run_cnt_mean") + F.lit(1e-9)), F.lit(0.0)
         ),
         "consecutive_inactive_months": F.coalesce(F.least(quiet, F.lit(6)), F.lit(6)),
         "_perf_tenure_days": tenure_days,
-        "_perf_cnt": a.sum("total_cnt", "all"),
-        "_perf_amt": F.coalesce(a.sum("total_amt", "all"), F.lit(0.0)),
+        "_perf_cnt": a.latest("run_cnt"),
+        "_perf_amt": F.coalesce(a.latest("run_amt"), F.lit(0.0)),
         "_perf_bracket": right_closed_bin(tenure_days, BRACKET_EDGES, BRACKET_LABELS),
     }
 
@@ -57,9 +57,8 @@ def ordinal_slope(a: Aggregates) -> Column:
 
     Sums over rows are enough: x of a row is the place of its month among the customer's months.
     """
-    months = a.add("_ord_months", lambda: F.max("month_ord") + 1).cast("double")
-    sxy = a.add("_ord_xy", lambda: F.sum(F.col("month_ord") * F.col("total_amt")))
-    sy = a.add("_ord_y", lambda: F.sum("total_amt"))
+    months = (a.latest("month_ord") + 1).cast("double")
+    sxy, sy = a.latest("run_xy"), a.latest("run_amt")
     sx = months * (months - 1) / 2
     sxx = (months - 1) * months * (2 * months - 1) / 6
     slope = ratio(months * sxy - sx * sy, months * sxx - sx * sx)

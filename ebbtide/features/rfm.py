@@ -54,20 +54,21 @@ def values(a: Aggregates) -> dict[str, Column]:
     return out
 
 
-def quantile_code(x: Column, edges: Column) -> tuple[Column, Column]:
-    """Zero-based bin of ``x`` between distinct quantile edges, right-closed, and the number of bins.
-
-    Repeated edges collapse; when they all do there is no bin and the code is null.
-    """
+def inner_edges(edges: Column) -> tuple[Column, Column]:
+    """Inner bin edges and number of bins of an array of quantiles. Repeated edges collapse."""
     distinct = F.array_distinct(edges)
     bins = F.size(distinct) - 1
-    inner = F.slice(distinct, F.lit(2), F.greatest(bins - 1, F.lit(0)))
+    return F.slice(distinct, F.lit(2), F.greatest(bins - 1, F.lit(0))), bins
+
+
+def bin_code(x: Column, inner: Column, bins: Column) -> Column:
+    """Zero-based right-closed bin of ``x``; null when all edges collapsed into one."""
     code = F.size(F.filter(inner, lambda e: e < x.cast("double")))
-    return F.when(x.isNotNull() & (bins > 0), code), bins
+    return F.when(x.isNotNull() & (bins > 0), code)
 
 
-def score(x: Column, edges: Column, reverse: bool = False) -> Column:
-    code, bins = quantile_code(x, edges)
+def score(x: Column, inner: Column, bins: Column, reverse: bool = False) -> Column:
+    code = bin_code(x, inner, bins)
     return (bins - code if reverse else code + 1).cast("double")
 
 

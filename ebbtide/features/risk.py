@@ -34,7 +34,7 @@ def risk(a: Aggregates) -> dict[str, Column]:
             n.isNotNull() | p.isNotNull(), F.coalesce(pct < SEVERE_PCT, F.lit(False)).cast("int")
         ),
         "churn_consecutive_months_no_activity": periods.month_number(ref) - periods.month_number(last12),
-        "churn_product_abandonment_count": F.when(a.rows("all").isNotNull(), gone),
+        "churn_product_abandonment_count": F.when(a.latest("row_no").isNotNull(), gone),
         "churn_txn_frequency_drop_pct": shifted_ratio(n - p, p) * F.lit(100),
         "churn_avg_txn_size_drop_pct": shifted_ratio(size_now - size_before, size_before) * F.lit(100),
         "churn_balance_decline_velocity": calendar_slope(a),
@@ -45,7 +45,7 @@ def risk(a: Aggregates) -> dict[str, Column]:
         "_risk_n_before": p,
         "_risk_amt_now": now,
         "_risk_amt_before": before,
-        "_risk_recency": F.datediff(ref, a.max("date", "all")),
+        "_risk_recency": F.datediff(ref, a.latest("date")),
     }
 
 
@@ -90,14 +90,16 @@ def rfm_level(rec: Column, n: Column, amt: Column, n95: Column, amt95: Column) -
     )
 
 
-def peak_quarter(joined: DataFrame, month_places: DataFrame) -> DataFrame:
+def peak_quarter(history: DataFrame, cohort: DataFrame, month_places: DataFrame) -> DataFrame:
     """Largest sum of rows over three neighbouring observed cohort months, per (cust_id, ref_date).
 
     A best window can always be moved left until it ends in a month the customer was active in, so only those
     months are looked at and no customer-by-month grid is built. ``month_places`` numbers the months seen in
     the cohort: (ref_date, month_no, place).
     """
-    months = joined.where(F.col("date").isNotNull()).groupBy(*KEYS, "month_no").agg(F.count(F.lit(1)).alias("c"))
+    days = history.select("cust_id", "date").distinct()
+    rows = cohort.select(*KEYS).distinct().join(days, "cust_id").where(F.col("date") <= F.col("ref_date"))
+    months = rows.groupBy(*KEYS, periods.month_number(F.col("date")).alias("month_no")).agg(F.count(F.lit(1)).alias("c"))
     placed = months.join(month_places, ["ref_date", "month_no"])
     near = Window.partitionBy(*KEYS).orderBy("place").rangeBetween(-2, Window.currentRow)
     return placed.withColumn("c3", F.sum("c").over(near)).groupBy(*KEYS).agg(F.max("c3").alias("_peak_quarter"))

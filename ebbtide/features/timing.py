@@ -13,18 +13,21 @@ from ebbtide.functions.safe import RATIO_EPS, ratio, shifted_ratio
 
 def mean_gap(a: Aggregates, tag: str) -> Column:
     """Mean days between neighbouring rows: the gaps telescope to last minus first."""
-    days = F.datediff(a.max("date", tag), a.min("date", tag))
-    return F.when(a.rows(tag) > 1, ratio(days, a.rows(tag) - 1))
+    if tag == "all":
+        first, last, n = a.latest("run_first"), a.latest("date"), a.latest("row_no")
+    else:
+        first, last, n = a.min("date", tag), a.max("date", tag), a.rows(tag)
+    return F.when(n > 1, ratio(F.datediff(last, first), n - 1))
 
 
 def timing(a: Aggregates) -> dict[str, Column]:
     """Needs ``tenure`` from the customer table."""
     ref = F.col("ref_date")
-    last, last12 = a.max("date", "all"), a.max("date", "12")
+    last, last12 = a.latest("date"), a.max("date", "12")
     quiet = periods.month_number(ref) - periods.month_number(last12)
     out = {
         "time_days_since_account_open": F.col("tenure") * 30,
-        "time_days_since_first_txn": F.datediff(ref, a.min("date", "all")),
+        "time_days_since_first_txn": F.datediff(ref, a.latest("run_first")),
         "time_days_since_last_txn": F.datediff(ref, last),
         "time_inactive_months_last_12m": F.when(
             last12.isNotNull(), F.greatest(F.lit(12) - a.active_months("12"), F.lit(0))
@@ -50,6 +53,5 @@ def timing(a: Aggregates) -> dict[str, Column]:
     )
     out["time_days_since_peak_activity"] = F.datediff(ref, peak_month(a))
     out["time_avg_days_between_txn"] = mean_gap(a, "all")
-    before_last = a.add("_before_last", lambda: F.max_by("prev_date", "date"))
-    out["time_days_between_last_two_txn"] = F.datediff(last, before_last)
+    out["time_days_between_last_two_txn"] = F.datediff(last, a.latest("prev_date"))
     return out

@@ -4,8 +4,10 @@ A plain window ordered over a month, a split or a whole table sorts the group in
 exact ``percentile`` aggregate keeps every distinct value of the group in one buffer. Here the group is cut
 into key ranges first:
 
-1. the cut points are every n-th value of a hash sample of the group's keys, so they follow any distribution
-   and come out the same each time they are computed;
+1. the cut points are evenly spaced values of a hash sample of the group's keys, so they follow any distribution
+   and come out the same each time they are computed. The sample is thinned lot by lot, so no array exceeds
+   ``LOTS * PER_LOT`` values or one row in ``SAMPLE_ONE_IN * LOTS``;
+   Groups with fewer than ``MIN_SAMPLED`` sampled keys (some tens of thousands of distinct keys) stay in one range;
 2. ranges are totalled; the totals of one group (at most ``RANGES`` rows) are accumulated;
 3. rows are accumulated inside their range and lifted by the range's offset.
 
@@ -19,34 +21,49 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ebbtide.runtime import materialize
+
 RANGES = 512
 SAMPLE_ONE_IN = 4096
+LOTS = 1024
+PER_LOT = 64
+MIN_SAMPLED = 16
 SALTS = 32
 
 
-def _with_range(df: DataFrame, by: Sequence[str], key: str) -> DataFrame:
-    """Add ``_range``: the number of the group's cut points below the key."""
-    sample = df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(SAMPLE_ONE_IN)) == 0)
-    cuts = sample.groupBy(*by).agg(F.sort_array(F.collect_set(key)).alias("_s"))
-    size = F.size("_s")
-    cuts = cuts.select(
-        *by,
-        F.when(size <= RANGES, F.col("_s"))
-        .otherwise(
-            F.transform(
-                F.sequence(F.lit(1), F.lit(RANGES - 1)),
-                lambda i: F.element_at("_s", F.floor(i * size / RANGES).cast("int") + 1),
-            )
-        )
-        .alias("_cuts"),
+def _thinned(array: str, n: int) -> Column:
+    """At most ``n`` evenly spaced elements of a sorted array."""
+    size = F.size(array)
+    every = F.transform(
+        F.sequence(F.lit(1), F.lit(n - 1)), lambda i: F.element_at(array, F.floor(i * size / n).cast("int") + 1)
     )
-    # The salt spreads a group that holds most of the rows over several tasks of the join.
+    return F.when(size <= n, F.col(array)).otherwise(every)
+
+
+def _cuts(df: DataFrame, by: Sequence[str], key: str) -> DataFrame | None:
+    """Cut points per group, for the groups large enough to need any; ``None`` when there is no such group.
+
+    The sample is a condition on the key, so it is applied before the rows are counted or shuffled. The result is
+    small (at most ``RANGES`` values per large group) and written out, so the planner knows its size.
+    """
+    sample = df.where(F.pmod(F.xxhash64(F.col(key)), F.lit(SAMPLE_ONE_IN)) == 0)
+    lots = sample.groupBy(*by, F.pmod(F.xxhash64(F.col(key), F.lit(11)), F.lit(LOTS)).alias("_lot"))
+    thin = lots.agg(F.sort_array(F.collect_set(key)).alias("_s")).select(*by, _thinned("_s", PER_LOT).alias("_s"))
+    cuts = thin.groupBy(*by).agg(F.sort_array(F.flatten(F.collect_list("_s"))).alias("_s"))
+    cuts = cuts.where(F.size("_s") >= MIN_SAMPLED).select(*by, _thinned("_s", RANGES).alias("_cuts"))
+    made = materialize(cuts)
+    return None if made.isEmpty() else made
+
+
+def _with_range(df: DataFrame, by: Sequence[str], key: str, cuts: DataFrame) -> DataFrame:
+    """Add ``_range``: the number of the group's cut points below the key."""
+    # Should the cut points be too large to broadcast, the salt spreads a group that holds most of the rows over
+    # several tasks of the join.
     cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(SALTS)).cast("int"))
+    below = F.size(F.filter("_cuts", lambda c: c < F.col(key)))
     joined = salted.join(cuts, [*by, "_salt"], "left")
-    return joined.withColumn(
-        "_range", F.coalesce(F.size(F.filter("_cuts", lambda c: c < F.col(key))), F.lit(0))
-    ).withColumn("_range", F.greatest("_range", F.lit(0))).drop("_salt", "_cuts")
+    return joined.withColumn("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)).drop("_salt", "_cuts")
 
 
 def running_totals(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[str]) -> DataFrame:
@@ -56,10 +73,20 @@ def running_totals(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[st
     ``c_total`` (the whole group).
     """
     by = list(by)
-    ranged = _with_range(df, by, key)
-    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    # At most RANGES + 1 rows per group reach this window.
+    cuts = _cuts(df, by, key)
+    if cuts is None:
+        # No group is large: each one is ordered as it is.
+        upto = group.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        whole = group.orderBy(key).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return df.select(
+            *df.columns,
+            *[(F.sum(c).over(upto) - F.col(c)).alias(f"{c}_before") for c in sums],
+            *[F.sum(c).over(whole).alias(f"{c}_total") for c in sums],
+        )
+    ranged = _with_range(df, by, key, cuts)
+    totals = ranged.groupBy(*by, "_range").agg(*[F.sum(c).alias(f"_t_{c}") for c in sums])
+    # At most RANGES rows per group reach this window.
     upto = group.orderBy("_range").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     offsets = totals.select(

@@ -15,6 +15,8 @@ def local_session(cpus: str | None = None, app: str = "ebbtide") -> SparkSession
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
+        # One shuffle partition per core is few enough: merging them by bytes would leave cores idle in wide aggregates.
+        .config("spark.sql.adaptive.coalescePartitions.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
