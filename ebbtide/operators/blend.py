@@ -171,7 +171,8 @@ def _blended(df: DataFrame, streams: Sequence[str]) -> DataFrame:
     for i, s in enumerate(streams):
         score = score + F.element_at("w", i + 1) * F.col(s)
     # Rounded so that equal blends tie whatever the order of the additions.
-    return df.withColumn("p", F.round(score, SCORE_DIGITS)).drop(*streams)
+    keep = [c for c in df.columns if c not in (*streams, "w")]
+    return df.select(*keep, F.round(score, SCORE_DIGITS).alias("p"))
 
 
 def score_candidates(

@@ -170,6 +170,12 @@ def _with_decay(train: DataFrame, lam: float | None) -> DataFrame:
     return train.join(table, "month").withColumn("w", F.col("w") * F.col("decay")).drop("decay")
 
 
+def _in_fixed_order(rows: DataFrame) -> DataFrame:
+    """Rows placed by key and sorted inside their partition: bagging then draws the same rows for the same seed."""
+    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(n, *KEYS).sortWithinPartitions(*KEYS)
+
+
 def fit_folds(
     rows: DataFrame,
     features: Sequence[str],
@@ -193,7 +199,7 @@ def fit_folds(
         valid = rows.where(split.valid)
         if learner.early_stop:
             train = train.withColumn("is_valid", F.lit(False)).unionByName(valid.withColumn("is_valid", F.lit(True)))
-        train = materialize(train)
+        train = _in_fixed_order(materialize(train))
         return [(split.name, s, learner.estimator(s).fit(train), valid) for s in seeds]
 
     if parallel > 1 and len(splits) > 1:

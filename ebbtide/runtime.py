@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_local: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -21,9 +22,10 @@ def scratch_dir(spark: SparkSession) -> str:
         return path.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder every executor can reach")
-    path = tempfile.mkdtemp(prefix="ebbtide-")
-    spark.conf.set(CHECKPOINT_KEY, path)
-    return path
+    app = spark.sparkContext.applicationId
+    if app not in _local:
+        _local[app] = tempfile.mkdtemp(prefix="ebbtide-")
+    return _local[app]
 
 
 def materialize(df: DataFrame) -> DataFrame:

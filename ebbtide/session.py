@@ -7,10 +7,11 @@ import os
 from pyspark.sql import SparkSession
 
 
-def local_session(cpus: str | None = None, app: str = "ebbtide") -> SparkSession:
+def local_session(cpus: str | None = None, app: str = "ebbtide", scratch: str | None = None) -> SparkSession:
     cpus = cpus or os.environ.get("BENCH_CPUS", "8")
+    builder = SparkSession.builder.config("spark.checkpoint.dir", scratch) if scratch else SparkSession.builder
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.sql.adaptive.enabled", "true")

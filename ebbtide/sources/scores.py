@@ -50,7 +50,7 @@ def read_submissions(spark: SparkSession, pattern: str, extra: Sequence[str] = (
         raw = spark.read.option("header", True).csv(path)
         if len(raw.columns) < 2 or not {c.lower().strip() for c in raw.columns} & set(ID_NAMES):
             continue
-        name = F.regexp_extract(F.lit(path), r"submission_([^/]+?)(?:\.csv)?(?:/[^/]*)?$", 1)
+        name = F.regexp_extract(F.lit(path), r"/submission_([^/]+?)(?:\.csv)?(?:/part-[^/]*)?$", 1)
         parts.append(normalise_names(raw).select(name.alias("model"), "cust_id", "churn"))
     if not parts:
         raise FileNotFoundError(f"no usable score file matches {pattern}")
@@ -101,7 +101,7 @@ def read_importance(spark: SparkSession, pattern: str) -> DataFrame:
             value = F.col("importance").cast("double")
         else:
             continue
-        source = F.regexp_extract(F.lit(path), r"/(feature_importance[^/]*?)(?:\.csv)?(?:/[^/]*)?$", 1)
+        source = F.regexp_extract(F.lit(path), r"/(feature_importance[^/]*?)(?:\.csv)?(?:/part-[^/]*)?$", 1)
         model = F.regexp_replace(source, "^feature_importance_?", "")
         parts.append(raw.select(
             source.alias("source"), F.when(model == "", "all").otherwise(model).alias("model"),
