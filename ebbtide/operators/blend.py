@@ -12,6 +12,7 @@ import random
 from collections.abc import Mapping, Sequence
 from itertools import product
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -333,26 +334,36 @@ def _ridge_simplex(n: int, g: list[list[float]], b: list[float], l2: float) -> l
     return [x / total for x in w] if total > 0 else [1.0 / k] * k
 
 
+def _fit(df: DataFrame, streams: Sequence[str], segments: Sequence[str], l2: float, label: str, least: int) -> DataFrame:
+    """(n, model, w): the ridge fit of each segment with at least ``least`` rows, solved where its sums lie."""
+    k = len(streams)
+    names = list(streams)
+
+    def solve(batches):
+        for pdf in batches:
+            rows = []
+            for r in pdf.to_dict("records"):
+                g = [[r[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
+                w = _ridge_simplex(r["n"], g, [r[f"b{i}"] for i in range(k)], l2)
+                rows += [(r["n"], m, x) for m, x in zip(names, w)]
+            yield pd.DataFrame(rows, columns=["n", "model", "w"])
+
+    sums = gram(df, streams, segments, label).where(F.col("n") >= least)
+    return sums.drop(*segments).mapInPandas(solve, "n long, model string, w double")
+
+
 def segment_weights(
     df: DataFrame, streams: Sequence[str], segments: Sequence[str], l2: float = 1e-3, label: str = "y"
 ) -> dict[str, float]:
     """Blend weights as the size-weighted mean of per-segment non-negative ridge fits.
 
-    Segments below max(200, 50 per stream) rows are skipped; with none left the global fit is used. Rows are
-    reduced to k-by-k sums per segment in Spark; only those sums reach the driver.
+    Segments below max(200, 50 per stream) rows are skipped; with none left the global fit is used. Rows are reduced
+    to k-by-k sums per segment, the sums are solved in the tasks that hold them, and one weight per stream comes back.
     """
-    k, least = len(streams), max(200, 50 * len(streams))
-
-    def solve(row) -> list[float]:
-        g = [[row[f"g{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)]
-        return _ridge_simplex(row.n, g, [row[f"b{i}"] for i in range(k)], l2)
-
-    large = gram(df, streams, segments, label).where(F.col("n") >= least).collect()
-    if not large:
-        return dict(zip(streams, solve(gram(df, streams, [], label).first())))
-    total = sum(r.n for r in large)
-    mixed = [0.0] * k
-    for r in large:
-        for i, w in enumerate(solve(r)):
-            mixed[i] += w * r.n / total
-    return {s: w / sum(mixed) for s, w in zip(streams, mixed)}
+    least = max(200, 50 * len(streams))
+    fitted = materialize(_fit(df, streams, segments, l2, label, least))
+    if fitted.isEmpty():
+        fitted = _fit(df, streams, [], l2, label, 0)
+    mixed = fitted.groupBy("model").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).collect()
+    total = sum(r.w for r in mixed)
+    return {r.model: r.w / total for r in mixed}

@@ -20,8 +20,9 @@ def read_model_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def list_files(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths matching a glob. Only the listing is read, not the files."""
-    found = spark.read.format("binaryFile").load(pattern).select("path").distinct().orderBy("path").collect()
+    """Paths matching a glob; a folder of part files is one path. Only the listing is read, not the files."""
+    path = F.regexp_replace("path", "/part-[^/]*$", "").alias("path")
+    found = spark.read.format("binaryFile").load(pattern).select(path).distinct().orderBy("path").collect()
     return [r.path for r in found]
 
 
