@@ -107,7 +107,7 @@ def a7_bundle_pruned_read(spark, path):
     return rnd(got.groupBy("model").agg(F.count(F.lit(1)).alias("n"), F.sum("p").alias("total")))
 
 
-@query("a6_scored_output")
+@query("a6_scored_output", f"{S} SELECT cust_id, a AS churn FROM s WHERE {DEC}")
 def a6_scored_output(spark, path):
     root = fresh(spark)
     one = streams(spark, path, adapters.SCORE_DATES[1:]).select("cust_id", F.col("a").alias("churn"))
@@ -115,18 +115,19 @@ def a6_scored_output(spark, path):
     return spark.read.option("header", True).schema("cust_id bigint, churn double").csv(root)
 
 
-@query("a8_matrix_cache")
+@query("a8_matrix_cache", f"{PIT} SELECT cust_id, ref_date, coalesce(CAST({n(W12)} AS DOUBLE), -999) AS rfm_frequency_count FROM j {G}")
 def a8_matrix_cache(spark, path):
     root = fresh(spark)
     tables.write_matrix(table(spark, path, ["recency", "rfm"], sentinel=True), root)
-    return tables.read_matrix(spark, root)
+    return tables.read_matrix(spark, root).select(*KEYS, "rfm_frequency_count")
 
 
-@query("a9_report")
+@query("a9_report", f"{S} SELECT model AS feature, count(*) AS rows, count(*) FILTER (WHERE p IS NULL) AS nulls, round(avg(p), 6) + 0.0 AS mean, "
+       "round(stddev_samp(p), 6) + 0.0 AS std, round(var_samp(p), 6) + 0.0 AS variance FROM l GROUP BY model")
 def a9_report(spark, path):
     root = fresh(spark)
     tables.write_report(quality.profile(streams(spark, path), ABC), root)
-    return spark.read.json(root)
+    return rnd(spark.read.json(root))
 
 
 query("a10_output_check", f"{S} SELECT count(*) AS rows, count(*) FILTER (WHERE cust_id IS NULL OR a IS NULL) AS nulls, min(a) AS min_score, max(a) AS max_score, "

@@ -172,7 +172,9 @@ def _with_decay(train: DataFrame, lam: float | None) -> DataFrame:
 
 def _in_fixed_order(rows: DataFrame) -> DataFrame:
     """Rows placed by key and sorted inside their partition: bagging then draws the same rows for the same seed."""
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    # A fit runs dozens of short jobs: no more partitions than twice the cores.
+    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
     return rows.repartition(n, *KEYS).sortWithinPartitions(*KEYS)
 
 
