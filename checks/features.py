@@ -371,10 +371,13 @@ WIN = (
     + ", ".join(
         f"CASE WHEN n12 IS NOT NULL THEN coalesce(raw_{k}, -999) END AS {k}" if year else f"coalesce(raw_{k}, -999) AS {k}"
         for k, (_, year) in RAW_TREND.items())
-    + " FROM v), q AS (SELECT ref_date, "
+    # Cohort customers without history count in the percentiles of the families keyed by the customer table.
+    + " FROM v), fa AS (SELECT * FROM f UNION ALL SELECT cust_id, ref_date, "
+    + ", ".join(f"CAST({'NULL' if year else '-999'} AS DOUBLE) AS {k}" for k, (_, year) in RAW_TREND.items())
+    + " FROM cohort WHERE (cust_id, ref_date) NOT IN (SELECT cust_id, ref_date FROM v)), q AS (SELECT ref_date, "
     + ", ".join(f"quantile_cont({k}, 0.01) AS lo_{k}, quantile_cont({k}, 0.99) AS hi_{k}, count({k}) AS n_{k}"
                 for k in RAW_TREND)
-    + " FROM f GROUP BY ref_date)"
+    + " FROM fa GROUP BY ref_date)"
 )
 query("d21_winsorize", WIN + " SELECT cust_id, ref_date, "
       + ", ".join(f"round(coalesce(CASE WHEN {k} IS NOT NULL AND n_{k} >= 5 THEN greatest(least({k}, hi_{k}), lo_{k}) "
