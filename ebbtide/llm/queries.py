@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from ebbtide.llm import bpe, urls
+from ebbtide.llm.decontaminate import decontaminate
 from ebbtide.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -72,3 +73,27 @@ FROM fit f LEFT JOIN scored s ON s.host = f.host"""
 @query("op9_url_filter", OP9_SQL)
 def op9_url_filter(spark, path):
     return urls.judge(table(spark, path, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP2_SQL = f"""
+WITH d AS (SELECT doc_id, hash(doc_id, text) AS p, {_WORDS} AS w FROM documents),
+i AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+iw AS (SELECT DISTINCT item_id, array_to_string(w[s:s + 9], ' ') AS win, len(w[s:s + 9]) AS n
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS s FROM i WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM iw),
+du AS (SELECT DISTINCT doc_id, p, w FROM d),
+dw AS (SELECT doc_id, p, s, n, array_to_string(w[s:s + n - 1], ' ') AS win
+  FROM (SELECT doc_id, p, w, n, unnest(range(1, len(w) - n + 2)) AS s FROM du, sizes)),
+hit AS (SELECT DISTINCT dw.doc_id, dw.p, dw.s, dw.n, item_id FROM dw JOIN iw ON iw.win = dw.win AND iw.n = dw.n),
+covered AS (SELECT doc_id, p, count(DISTINCT spot) AS n_hit FROM (SELECT doc_id, p, unnest(range(s, s + n)) AS spot FROM hit) GROUP BY 1, 2),
+ids AS (SELECT doc_id, p, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM hit WHERE item_id IS NOT NULL GROUP BY 1, 2)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(array_to_string(coalesce(ids, []), ',')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN covered c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.p = d.p LEFT JOIN ids ON ids.doc_id IS NOT DISTINCT FROM d.doc_id AND ids.p = d.p"""
+
+
+@query("op2_decontaminate", OP2_SQL)
+def op2_decontaminate(spark, path):
+    return decontaminate(table(spark, path, "documents"), table(spark, path, "benchmark")).drop("item_ids")
