@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, urls
+from ebbtide.llm import bpe, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
 from ebbtide.llm.common import table
 
@@ -97,3 +97,18 @@ FROM d LEFT JOIN covered c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.p = d
 @query("op2_decontaminate", OP2_SQL)
 def op2_decontaminate(spark, path):
     return decontaminate(table(spark, path, "documents"), table(spark, path, "benchmark")).drop("item_ids")
+
+
+OP4_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT page_id, html, octet_length(encode(html)) AS n, min(page_id) OVER (PARTITION BY html) AS first FROM p),
+r AS (SELECT *, n >= 100 AND first IS NOT NULL AND page_id IS DISTINCT FROM first AS again FROM f)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, sha256(html) AS payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to
+FROM r"""
+
+
+@query("op4_warc", OP4_SQL)
+def op4_warc(spark, path):
+    archives = warc.write(table(spark, path, "pages"), warc.archive_folder(spark))
+    return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
