@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, urls, warc
+from ebbtide.llm import bpe, quality, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
 from ebbtide.llm.common import table
 
@@ -112,3 +112,9 @@ FROM r"""
 def op4_warc(spark, path):
     archives = warc.write(table(spark, path, "pages"), warc.archive_folder(spark))
     return warc.read(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op6_quality_rules")
+def op6_quality_rules(spark, path):
+    found = quality.assess(table(spark, path, "documents"))
+    return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
