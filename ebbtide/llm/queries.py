@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import bpe, quality, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
+from ebbtide.llm.substrings import remove_repeats
 from ebbtide.llm.common import table
 
 QUERIES, ORACLES = {}, {}
@@ -118,3 +119,21 @@ def op4_warc(spark, path):
 def op6_quality_rules(spark, path):
     found = quality.assess(table(spark, path, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT r, s, sha256(array_to_string(w[s:s + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS s FROM d)),
+again AS (SELECT r, s FROM (SELECT r, s, count(*) OVER (PARTITION BY h) AS n FROM win) WHERE n > 1),
+gone AS (SELECT r, list(DISTINCT i) AS spots FROM (SELECT r, unnest(range(s, s + 35)) AS i FROM again) GROUP BY r),
+word AS (SELECT r, w, generate_subscripts(w, 1) AS i FROM d),
+hit AS (SELECT DISTINCT r, unnest(spots) AS i FROM gone),
+kept AS (SELECT word.r, string_agg(w[word.i], ' ' ORDER BY word.i) AS t FROM word LEFT JOIN hit ON hit.r = word.r AND hit.i = word.i WHERE hit.i IS NULL GROUP BY word.r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(spots), 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN gone ON gone.r = d.r LEFT JOIN kept ON kept.r = d.r"""
+
+
+@query("op3_substring_dedup", OP3_SQL)
+def op3_substring_dedup(spark, path):
+    out = remove_repeats(table(spark, path, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
