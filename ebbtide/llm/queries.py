@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import bpe, quality, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
+from ebbtide.llm.near import near_duplicates
 from ebbtide.llm.substrings import remove_repeats
 from ebbtide.llm.common import table
 
@@ -137,3 +138,22 @@ FROM d LEFT JOIN gone ON gone.r = d.r LEFT JOIN kept ON kept.r = d.r"""
 def op3_substring_dedup(spark, path):
     out = remove_repeats(table(spark, path, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP5_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct([array_to_string(w[i:i + 2], ' ') FOR i IN range(1, len(w) - 1)]) END AS sh FROM d),
+e AS (SELECT doc_id, len(sh) AS n, unnest(sh) AS x FROM s),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM e a JOIN e b ON b.x = a.x AND a.doc_id < b.doc_id
+  GROUP BY 1, 2, 3, 4 HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+l AS (SELECT a, b FROM common UNION ALL SELECT b, a FROM common),
+reach AS (SELECT doc_id AS a, doc_id AS b FROM documents UNION SELECT reach.a, l.b FROM reach JOIN l ON l.a = reach.b),
+c AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept FROM s JOIN c ON c.a = s.doc_id"""
+
+
+@query("op5_near_duplicates", OP5_SQL)
+def op5_near_duplicates(spark, path):
+    return near_duplicates(table(spark, path, "documents"), shingle=3, similar=85).drop("_print")
