@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import bpe, quality, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
+from ebbtide.llm.lines import dedup_lines
 from ebbtide.llm.near import near_duplicates
 from ebbtide.llm.substrings import remove_repeats
 from ebbtide.llm.common import table
@@ -157,3 +158,8 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = com
 @query("op5_near_duplicates", OP5_SQL)
 def op5_near_duplicates(spark, path):
     return near_duplicates(table(spark, path, "documents"), shingle=3, similar=85).drop("_print")
+
+
+@query("op7_line_dedup")
+def op7_line_dedup(spark, path):
+    return dedup_lines(table(spark, path, "documents").select("doc_id", "text"))
