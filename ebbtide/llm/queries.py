@@ -9,11 +9,14 @@ from ebbtide.llm import bpe, quality, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
 from ebbtide.llm.lines import dedup_lines
 from ebbtide.llm.near import near_duplicates
+from ebbtide.llm.privacy import pseudonymise
 from ebbtide.llm.substrings import remove_repeats
 from ebbtide.llm.common import table
 
 QUERIES, ORACLES = {}, {}
 BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
+PII_SECRET = "change me"
+"""The key of the pseudonyms; a real run passes its own to ``pseudonymise``."""
 
 
 def query(name: str, sql: str | None = None):
@@ -163,3 +166,8 @@ def op5_near_duplicates(spark, path):
 @query("op7_line_dedup")
 def op7_line_dedup(spark, path):
     return dedup_lines(table(spark, path, "documents").select("doc_id", "text"))
+
+
+@query("op10_pii")
+def op10_pii(spark, path):
+    return pseudonymise(table(spark, path, "documents"), PII_SECRET).select("doc_id", "text", "n_found")
