@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,8 +21,8 @@ def table(spark: SparkSession, path: str, name: str) -> DataFrame:
 
 
 def ascii_lower(text: Column) -> Column:
-    """Lower-case A-Z and nothing else."""
-    return F.translate(text, UPPER, LOWER)
+    """Lower-case A-Z and nothing else; texts of ASCII alone take the quick way."""
+    return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
 def small_batches(spark: SparkSession) -> None:
@@ -37,3 +39,22 @@ def blocks(keyed: DataFrame, key: str, row_bytes: int) -> list[DataFrame]:
     if n == 1:
         return [F.broadcast(keyed)]
     return [F.broadcast(keyed.where(F.pmod(F.xxhash64(key), F.lit(n)) == b)) for b in range(n)]
+
+
+def column(df: DataFrame, name: str) -> Column:
+    """A column of ``df`` by reference: right even where a joined table has one of the same name."""
+    return df[f"`{name}`"]
+
+
+def matches(docs: DataFrame, rows: DataFrame, on: dict[str, Column]) -> Column:
+    """Equality, null to null, of columns of ``rows`` with expressions over ``docs``."""
+    return reduce(lambda a, b: a & b, [expr.eqNullSafe(column(rows, name)) for name, expr in on.items()])
+
+
+def without(docs: DataFrame, gone: DataFrame, on: dict[str, Column], row_bytes: int = 64) -> DataFrame:
+    """The rows of ``docs`` that match no row of ``gone``, a written table.
+
+    A small table is broadcast, after its rows have been counted, so that texts stay where they are; a larger one is joined.
+    """
+    small = gone.count() * row_bytes <= BROADCAST_BYTES
+    return docs.join(F.broadcast(gone) if small else gone, matches(docs, gone, on), "left_anti")

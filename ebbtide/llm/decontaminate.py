@@ -21,6 +21,7 @@ from ebbtide.runtime import materialize
 
 WINDOW, SHINGLE = 10, 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -42,7 +43,7 @@ def item_windows(items: DataFrame, window: int, item: str = "item_id", text: str
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shingle: int = SHINGLE, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """key, n_words, n_hit, n_items, items_sha256, contaminated, item_ids: a row per row of ``docs``.
+    """key, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, and _print (hash of the text): a row per row of ``docs``.
 
     A word is hit if it lies in an occurrence of an item window. Null and empty texts have no words and no hits; an item without
     words matches nothing; a null item id adds hits but no id. Rows are told apart by key and text, so repeated rows all return
@@ -87,13 +88,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     both = covered.join(ids, (covered["_key"].eqNullSafe(ids["_key"])) & (covered["_print"] == ids["_print"]), "left").select(
         covered["_key"].alias("_hit_key"), covered["_print"].alias("_hit_print"), "n_hit", "item_ids")
     # xxhash64 of a null is a number too, so null texts keep a print.
-    base = given.select("_key", "_print", F.size("_words").cast("long").alias("n_words"))
+    base = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_print"), F.coalesce(
+        F.regexp_count(F.col(text), F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
     out = base.join(both, F.col("_key").eqNullSafe(F.col("_hit_key")) & (F.col("_print") == F.col("_hit_print")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
         F.col("_key").alias(key), "n_words", n_hit.alias("n_hit"), F.size(ids).cast("long").alias("n_items"),
-        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), ids.alias("item_ids"))
+        F.sha2(F.array_join(ids, ","), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), ids.alias("item_ids"), "_print")
 
 
 def _hash_at(shingle: int) -> Column:

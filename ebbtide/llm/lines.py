@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ebbtide.llm.common import small_batches
+from ebbtide.llm.common import column, matches, small_batches
 from ebbtide.runtime import materialize
 
 RARE_CHARS, BLOCK_CHARS = 20, 60
@@ -86,8 +86,9 @@ def common_blocks(earlier: list[int], later: list[int], sizes: list[int], block_
     return out
 
 
-def dedup_lines(docs: DataFrame, rare_chars: int = RARE_CHARS, block_chars: int = BLOCK_CHARS, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of ``docs`` with ``text`` cut, and n_lines and n_removed (replacing columns of these names), a row per row.
+def dedup_lines(docs: DataFrame, rare_chars: int = RARE_CHARS, block_chars: int = BLOCK_CHARS, key: str = "doc_id", text: str = "text",
+                count: str = "n_lines", removed: str = "n_removed") -> DataFrame:
+    """All columns of ``docs`` with ``text`` cut, and ``count`` and ``removed`` (replacing columns of these names), a row per row.
 
     Lines are split at \\n and compared without spaces at their ends. The later of two documents has the larger key; of equal
     keys, the larger hash of the text. Repeated rows are one document and lose nothing to each other. A row with a null key or a null
@@ -95,7 +96,7 @@ def dedup_lines(docs: DataFrame, rare_chars: int = RARE_CHARS, block_chars: int
     """
     spark = docs.sparkSession
     small_batches(spark)
-    mark = F.xxhash64(F.col(key), F.col(text))
+    mark = F.xxhash64(column(docs, key), column(docs, text))
     lines = F.split(F.col(text), "\n")
     listed = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(
         F.struct(F.col(key).alias("key"), mark.alias("mark")).alias("_doc"),
@@ -124,11 +125,12 @@ def dedup_lines(docs: DataFrame, rare_chars: int = RARE_CHARS, block_chars: int
     # The partners of one document are at most its lines.
     cut = cut.where(F.size("_gone") > 0).groupBy("_key", "_mark").agg(F.first("_n").alias("_n"), F.collect_list("_gone").alias("_parts"))
     cut = materialize(cut.mapInPandas(flag, f"_key {key_type}, _mark long, _gone array<boolean>"))
-    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    marked = docs.select(*names, mark.alias("_mark"))
-    out = marked.join(cut, (marked[key] == cut["_key"]) & (marked["_mark"] == cut["_mark"]), "left").drop(cut["_mark"])
-    every = F.split(F.col(text), "\n")
-    left = F.filter(F.zip_with(every, "_gone", lambda x, gone: F.when(~gone, x)), lambda x: x.isNotNull())
-    kept = F.when(F.col("_gone").isNull(), F.col(text)).otherwise(F.array_join(left, "\n"))
-    cut_text = [kept.alias(c) if c == text else F.col(c) for c in names]
-    return out.select(*cut_text, F.coalesce(F.size(every), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size(F.filter("_gone", lambda x: x)), F.lit(0)).cast("long").alias("n_removed"))
+    out = docs.join(cut, matches(docs, cut, {"_key": column(docs, key), "_mark": mark}), "left")
+    gone, whole = column(cut, "_gone"), column(docs, text)
+    every = F.split(whole, "\n")
+    left = F.filter(F.zip_with(every, gone, lambda x, gone: F.when(~gone, x)), lambda x: x.isNotNull())
+    kept = F.when(gone.isNull(), whole).otherwise(F.array_join(left, "\n"))
+    names = [c for c in docs.columns if c not in (count, removed)]
+    return out.select(
+        *(kept.alias(c) if c == text else column(docs, c) for c in names), F.coalesce(F.size(every), F.lit(0)).cast("long").alias(count),
+        F.coalesce(F.size(F.filter(gone, lambda x: x)), F.lit(0)).cast("long").alias(removed))

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import public_tokenizers
 from pyspark.sql import functions as F
 
-from ebbtide.llm import bpe, quality, urls, warc
+from ebbtide.llm import html, quality, stages, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
 from ebbtide.llm.lines import dedup_lines
 from ebbtide.llm.near import near_duplicates
@@ -14,7 +13,6 @@ from ebbtide.llm.substrings import remove_repeats
 from ebbtide.llm.common import table
 
 QUERIES, ORACLES = {}, {}
-BPE_RANKS = "byte_bpe_multi_50k.tiktoken"
 PII_SECRET = "change me"
 """The key of the pseudonyms; a real run passes its own to ``pseudonymise``."""
 
@@ -31,12 +29,7 @@ def query(name: str, sql: str | None = None):
 
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, path):
-    ranks = public_tokenizers.path(BPE_RANKS)
-    ids = bpe.encode(table(spark, path, "documents"), ranks, public_tokenizers.PATTERN)
-    both = bpe.decode(ids, ranks, public_tokenizers.PATTERN)
-    return both.select(
-        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return stages.byte_bpe(spark, table(spark, path, "documents"), path).drop("token_ids")
 
 
 _HOST = r"translate(regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -102,7 +95,7 @@ FROM d LEFT JOIN covered c ON c.doc_id IS NOT DISTINCT FROM d.doc_id AND c.p = d
 
 @query("op2_decontaminate", OP2_SQL)
 def op2_decontaminate(spark, path):
-    return decontaminate(table(spark, path, "documents"), table(spark, path, "benchmark")).drop("item_ids")
+    return decontaminate(table(spark, path, "documents"), table(spark, path, "benchmark")).drop("item_ids", "_print")
 
 
 OP4_SQL = """
@@ -171,3 +164,8 @@ def op7_line_dedup(spark, path):
 @query("op10_pii")
 def op10_pii(spark, path):
     return pseudonymise(table(spark, path, "documents"), PII_SECRET).select("doc_id", "text", "n_found")
+
+
+@query("op1_html_text")
+def op1_html_text(spark, path):
+    return html.extract(table(spark, path, "pages").select("page_id", "url", "html"))
