@@ -153,7 +153,7 @@ SELECT doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, component_id, doc_id = com
 
 @query("op5_near_duplicates", OP5_SQL)
 def op5_near_duplicates(spark, path):
-    return near_duplicates(table(spark, path, "documents"), shingle=3, similar=85).drop("_print")
+    return near_duplicates(table(spark, path, "documents"), shingle=3, similar=85).drop("_print", "_group")
 
 
 @query("op7_line_dedup")

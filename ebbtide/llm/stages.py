@@ -41,9 +41,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest id (of equal ids, the smallest hash), once."""
-    found = materialize(near_duplicates(docs).select("doc_id", "_print", "component_id").where("component_id IS NOT NULL"))
-    chosen = found.groupBy("component_id").agg(F.min(F.struct(*ROW)).alias("_chosen"))
-    other = found.join(chosen, "component_id").where(F.struct(*ROW) != F.col("_chosen"))
+    found = materialize(near_duplicates(docs).select(*ROW, "_group").where("_group IS NOT NULL"))
+    chosen = found.groupBy("_group").agg(F.min(F.struct(*ROW)).alias("_chosen"))
+    other = found.join(chosen, "_group").where(F.struct(*ROW) != F.col("_chosen"))
     left = without(docs, materialize(other.select(*ROW).distinct()), row_of(docs))
     # Repeated rows of a chosen document: only they are brought together.
     again = materialize(found.groupBy(*ROW).agg(F.count("*").alias("_n")).where("_n > 1").select(*ROW))

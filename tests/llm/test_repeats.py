@@ -101,7 +101,7 @@ def test_near_duplicates_of_one_large_group(spark):
         rows.append((i, " ".join(words)))
     rows += [(1000 + i, some_text(rnd, 20, 60)) for i in range(40)]
     rnd.shuffle(rows)
-    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).drop("_print").collect()
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), 3, 85).drop("_print", "_group").collect()
     assert counted(got) == counted(linked_by_hand(rows, 3, 85))
 
 
