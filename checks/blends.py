@@ -59,6 +59,15 @@ def k6_missing_model_blend(spark, path):
     return rnd(blend.long_blend(long_streams(spark, path), w))
 
 
+@query("k6_null_scores", f"{S}, ln AS (SELECT cust_id, ref_date, model, CASE WHEN (cust_id + ascii(model)) % 3 <> 0 THEN p END AS p FROM l), "
+       "w(model, w) AS (VALUES ('a', 0.6), ('b', 0.4)) SELECT cust_id, ref_date, round(sum(CAST(w AS DOUBLE) * p) / sum(CAST(w AS DOUBLE)) "
+       "FILTER (p IS NOT NULL), 6) + 0.0 AS p FROM ln JOIN w USING (model) GROUP BY cust_id, ref_date")
+def k6_null_scores(spark, path):
+    w = spark.createDataFrame([("a", 0.6), ("b", 0.4)], "model string, w double")
+    some = F.when((F.col("cust_id") + F.ascii("model")) % 3 != 0, F.col("p"))
+    return rnd(blend.long_blend(long_streams(spark, path).withColumn("p", some), w))
+
+
 @query("k7_rank_weights", f"{S}, {metric_ctes('l', 'model')}, o AS (SELECT model, row_number() OVER (ORDER BY round({COMP}, 9) DESC, model) AS rn, "
        "count(*) OVER () AS n FROM mt), w AS (SELECT model, CAST((n + 1 - rn) * (n + 1 - rn) AS DOUBLE) AS r FROM o) "
        "SELECT model, round(r / (SELECT sum(r) FROM w), 6) + 0.0 AS w FROM w")

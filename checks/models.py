@@ -1,4 +1,8 @@
-"""Model jobs, stackers, calibration and portfolios (J and K rows). Fits have no SQL twin; rows are checked in tests."""
+"""Model jobs, stackers, calibration and portfolios (J and K rows).
+
+What a fit returns depends on its engine. Its SQL states what must hold whatever the engine: the rows that are scored, with
+their labels and scores inside [0, 1], or the conditions that an optimal fit meets.
+"""
 
 from __future__ import annotations
 
@@ -6,12 +10,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.features import table
-from checks.registry import cohort, query
+from checks.registry import COHORT_SQL, cohort, query
 from checks.streams import ABC, IDS, S, rnd, streams
 from checks.tables import NUM, sides
 from ebbtide.features.build import attach_labels
-from ebbtide.operators import blend, folds
+from ebbtide.functions.safe import clip
+from ebbtide.operators import blend, folds, metrics
 from ebbtide.operators.metrics import monthly_composite
+from ebbtide.operators.ranks import row_numbers
 from ebbtide.plans import calibration, drift, oof, portfolio, stacking
 from ebbtide.runtime import materialize
 from ebbtide.sources import adapters
@@ -38,30 +44,47 @@ def metric_row(spark, **values) -> DataFrame:
     return spark.createDataFrame([tuple(values.values())], ", ".join(f"{k} double" for k in values))
 
 
-query("j1_boosted_oof")(lambda s, p: oof.train_oof(matrix(s, p), FEATURES, GBT, last_n=2, seeds=(1, 11)).oof)
-query("j2_second_boosted_oof")(lambda s, p: oof.train_oof(
-    matrix(s, p), FEATURES, oof.Learner("gbt", {**SMALL, "maxDepth": 4, "subsamplingRate": 0.6}, early_stop=True), last_n=2, seeds=(1,)).oof)
+def inside(df: DataFrame, *scores: str) -> DataFrame:
+    """Keys, label and whether every score lies in [0, 1]."""
+    ok = F.lit(True)
+    for c in scores or ("p",):
+        ok = ok & F.coalesce(F.col(c).between(0.0, 1.0), F.lit(False))
+    return df.select(*[c for c in (*IDS, "y") if c in df.columns], ok.alias("in_range"))
+
+
+def last_rows(n: int, label: str = ", churn AS y") -> str:
+    """The cohort rows of the last ``n`` months, each scored once."""
+    return (f"WITH {COHORT_SQL.strip()} SELECT cust_id, ref_date{label}, true AS in_range FROM cohort "
+            f"WHERE ref_date IN (SELECT DISTINCT ref_date FROM cohort ORDER BY ref_date DESC LIMIT {n})")
+
+
+query("j1_boosted_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, GBT, last_n=2, seeds=(1, 11)).oof))
+query("j2_second_boosted_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(
+    matrix(s, p), FEATURES, oof.Learner("gbt", {**SMALL, "maxDepth": 4, "subsamplingRate": 0.6}, early_stop=True), last_n=2, seeds=(1,)).oof))
 FOREST = oof.Learner("forest", {"numTrees": 8, "maxDepth": 4})
-query("j3_forest_oof")(lambda s, p: oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2)).oof)
-query("j4_rank_averaged_oof")(lambda s, p: oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2), average="rank").oof)
+query("j3_forest_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2)).oof))
+query("j4_rank_averaged_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2), average="rank").oof))
 
 
-@query("j5_two_stage")
+@query("j5_two_stage", last_rows(3))
 def j5_two_stage(spark, path):
     two = oof.train_two_stage(matrix(spark, path), FEATURES, GBT, GBT, last_n=3)
-    return two.stage_b.oof.select(*IDS, "y", "p").join(two.stage_a.oof.select(*IDS, F.col("p").alias("pA")), IDS)
+    return inside(two.stage_b.oof.select(*IDS, "y", "p").join(two.stage_a.oof.select(*IDS, F.col("p").alias("pA")), IDS), "p", "pA")
+
 
+LATE = f"WITH {COHORT_SQL.strip()} SELECT cust_id, ref_date, true AS in_range FROM cohort WHERE ref_date >= '2000-11-01'"
 
-@query("j6_two_stage_scores")
+
+@query("j6_two_stage_scores", LATE)
 def j6_two_stage_scores(spark, path):
     train, test = halves(spark, path)
-    return oof.train_two_stage(train, FEATURES, GBT, GBT, last_n=2).predict(test)
+    return inside(oof.train_two_stage(train, FEATURES, GBT, GBT, last_n=2).predict(test)).drop("y")
 
 
-@query("j7_mean_of_models")
+@query("j7_mean_of_models", LATE)
 def j7_mean_of_models(spark, path):
     train, test = halves(spark, path)
-    return oof.train_oof(train, FEATURES, GBT, last_n=2, seeds=(1, 11)).predict(test)
+    return inside(oof.train_oof(train, FEATURES, GBT, last_n=2, seeds=(1, 11)).predict(test)).drop("y")
 
 
 query("j9_model_importance")(lambda s, p: oof.train_oof(matrix(s, p), FEATURES, GBT, last_n=2, seeds=(1,)).importance())
@@ -101,6 +124,11 @@ query("f6_pseudo_labels", f"{S}, o AS (SELECT *, row_number() OVER (ORDER BY a,
       "WHERE rn <= greatest(1, round_even(0.4 * n, 0)) OR rn > n - greatest(1, round_even(0.025 * n, 0))")(
     lambda s, p: oof.pseudo_labels(streams(s, p).withColumn("p", F.col("a"))).select(*IDS, "churn"))
 
+query("f6_null_scores", f"{S}, v AS (SELECT * FROM s WHERE cust_id % 7 <> 0), o AS (SELECT *, row_number() OVER (ORDER BY a, cust_id, ref_date) AS rn, "
+      "count(*) OVER () AS n FROM v) SELECT cust_id, ref_date, CAST(CASE WHEN rn <= greatest(1, round_even(0.4 * n, 0)) THEN 0 ELSE 1 END AS INTEGER) AS churn "
+      "FROM o WHERE rn <= greatest(1, round_even(0.4 * n, 0)) OR rn > n - greatest(1, round_even(0.025 * n, 0))")(
+    lambda s, p: oof.pseudo_labels(streams(s, p).withColumn("p", F.when(F.col("cust_id") % 7 != 0, F.col("a")))).select(*IDS, "churn"))
+
 # ---------------------------------------------------------------- stackers
 
 
@@ -114,8 +142,8 @@ def k1_meta_features(spark, path):
     return stacking.meta_features(long, ["a", "b"], raw, ["r"])
 
 
-query("k2_month_stacker")(lambda s, p: stacking.month_stacker(meta(s, p), ABC, last_n=2).oof)
-query("k3_kfold_stacker")(lambda s, p: stacking.kfold_stacker(meta(s, p), ABC, k=3).oof)
+query("k2_month_stacker", last_rows(6))(lambda s, p: inside(stacking.month_stacker(meta(s, p), ABC, last_n=6).oof))
+query("k3_kfold_stacker", last_rows(99))(lambda s, p: inside(stacking.kfold_stacker(meta(s, p), ABC, k=5).oof))
 query("k3_compare_stackers")(lambda s, p: stacking.compare_stackers(meta(s, p), ["a", "b"], ["c"], GBT, 2))
 query("k4_forward_stacker")(lambda s, p: stacking.forward_stacker(meta(s, p), ABC, (0.1, 1.0), 3)[0].oof)
 query("k5_meta_selector")(lambda s, p: stacking.select_meta(meta(s, p), ABC, {
@@ -128,21 +156,62 @@ def raw(spark, path) -> DataFrame:
     return streams(spark, path).select(*IDS, "y", blend.weighted({"a": 0.5, "b": 0.3, "c": 0.2}).alias("p"))
 
 
-query("k19_isotonic")(lambda s, p: calibration.fit(raw(s, p), "isotonic").apply(raw(s, p)))
-query("k20_isotonic_out_of_fold")(lambda s, p: calibration.out_of_fold(
-    folds.stratified_folds(raw(s, p), "y", IDS, 3), "fold", "isotonic"))
+ONE_ROW = "SELECT count(*) AS n, CAST(0 AS BIGINT) AS falls, true AS means_kept, true AS auc_kept FROM s"
 
 
-@query("k21_segment_isotonic")
-def k21_segment_isotonic(spark, path):
-    binned, n, _ = calibration.segment_bins(materialize(streams(spark, path).select(*IDS, "y", "c", F.col("a").alias("p"))), "c", 100)
-    binned = materialize(binned)
-    return calibration.fit_segments(binned, n, min_rows=100).apply(binned)
+def isotonic_check(df: DataFrame) -> DataFrame:
+    """Rows; places where the fit falls; whether each step is the mean of its labels; whether the ranking got no worse."""
+    rows = materialize(df)
+    fitted = materialize(calibration.fit(rows, "isotonic").apply(rows.withColumn("x", F.col("p"))))
+    ladder = fitted.groupBy("x").agg(F.max("p").alias("p"))
+    falls = running_falls(ladder)
+    means = fitted.groupBy(F.round("p", 9).alias("p")).agg(F.avg("y").alias("m")).agg(F.coalesce(F.max(F.abs(F.col("m") - F.col("p"))) < 1e-6, F.lit(False)).alias("means_kept"))
+    before, after = (metrics.auc(d.select("p", "y")).select(F.col("auc").alias(n)) for d, n in ((rows, "_before"), (fitted, "_after")))
+    one = fitted.agg(F.count(F.lit(1)).alias("n")).crossJoin(falls).crossJoin(means).crossJoin(before).crossJoin(after)
+    return one.select("n", "falls", "means_kept", (F.col("_after") >= F.col("_before") - 1e-9).alias("auc_kept"))
+
+
+def running_falls(ladder: DataFrame) -> DataFrame:
+    """How many pairs of neighbouring scores are calibrated in the wrong order."""
+    placed = row_numbers(ladder, [], [F.col("x")], "rn").select("rn", "p")
+    after = placed.select((F.col("rn") - 1).alias("rn"), F.col("p").alias("q"))
+    return placed.join(after, "rn").agg(F.count_if(F.col("q") < F.col("p") - 1e-12).alias("falls"))
 
 
-query("k22_beta")(lambda s, p: calibration.fit(raw(s, p), "beta").apply(raw(s, p), raw_share=calibration.RAW_SHARE))
-query("k22_beta_without_intercept")(lambda s, p: calibration.fit(raw(s, p), "beta", intercept=False).apply(raw(s, p)))
-query("k23_platt")(lambda s, p: calibration.fit(raw(s, p), "platt").apply(raw(s, p)))
+query("k19_isotonic", f"{S} {ONE_ROW}")(lambda s, p: isotonic_check(raw(s, p)))
+# Rare events: every score is far below a millionth, and all of them differ by less.
+query("k19_small_scores", f"{S} {ONE_ROW}")(lambda s, p: isotonic_check(raw(s, p).withColumn("p", F.col("p") / 1e7)))
+query("k20_isotonic_out_of_fold", f"{S} SELECT cust_id, ref_date, y, true AS in_range FROM s")(lambda s, p: inside(calibration.out_of_fold(
+    folds.stratified_folds(raw(s, p), "y", IDS, 5), "fold", "isotonic")))
+
+
+@query("k21_segment_isotonic", f"{S} SELECT cust_id, ref_date, y, true AS in_range FROM s")
+def k21_segment_isotonic(spark, path):
+    binned, n, _ = calibration.segment_bins(materialize(streams(spark, path).select(*IDS, "y", "c", F.col("a").alias("p"))), "c")
+    binned = materialize(binned)
+    return inside(calibration.fit_segments(binned, n).apply(binned))
+
+
+def logistic_check(df: DataFrame, method: str, intercept: bool = True) -> DataFrame:
+    """Rows, and whether the fit is optimal: with its penalty, no coefficient has any slope left."""
+    rows = materialize(df)
+    made = calibration.fit(rows, method, intercept=intercept)
+    p, y = F.col("p"), F.col("y")
+    fitted = made.apply(rows.withColumn("x", p))
+    safe = clip(F.col("x"), calibration.EPS, 1 - calibration.EPS)
+    inputs = [F.col("x")] if method == "platt" else [F.ln(safe), F.ln(1 - safe)]
+    slopes = [F.sum((y - p) * x) - F.lit(float(c)) for x, c in zip(inputs, made.model.coefficients, strict=True)]
+    slopes += [F.sum(y - p)] if intercept else []
+    flat = F.lit(True)
+    for g in slopes:
+        flat = flat & (F.abs(g) / F.count(F.lit(1)) < 1e-4)
+    return fitted.agg(F.count(F.lit(1)).alias("n"), flat.alias("optimal"))
+
+
+OPTIMAL = f"{S} SELECT count(*) AS n, true AS optimal FROM s"
+query("k22_beta", OPTIMAL)(lambda s, p: logistic_check(raw(s, p), "beta"))
+query("k22_beta_without_intercept", OPTIMAL)(lambda s, p: logistic_check(raw(s, p), "beta", False))
+query("k23_platt", OPTIMAL)(lambda s, p: logistic_check(raw(s, p), "platt"))
 
 
 @query("k25_method_choice")

@@ -126,6 +126,28 @@ query("j8_flip_guard", f"{S}, {ALLM}, {metric_ctes('lm', 'model, month', flip=Tr
                      .select(*IDS, "model", "p")))
 query("e10_top_k", f"{S}, {metric_ctes('l', 'model')} SELECT model, cust_id, ref_date, rn FROM mt_w WHERE rn <= greatest(1, round_even(0.1 * n, 0))")(
     lambda s, p: metrics.top_k(long_streams(s, p), ["model"], "p", IDS).select("model", *IDS, "rn"))
+# Streams that lack scores and labels: such rows are in no count and no rank.
+HOLES = f"{S}, ln AS (SELECT cust_id, ref_date, model, CASE WHEN cust_id % 7 <> 0 THEN p END AS p, CASE WHEN cust_id % 11 <> 0 THEN y END AS y FROM l), "
+
+
+def with_holes(spark, path) -> DataFrame:
+    return long_streams(spark, path).withColumns({
+        "p": F.when(F.col("cust_id") % 7 != 0, F.col("p")), "y": F.when(F.col("cust_id") % 11 != 0, F.col("y"))})
+
+
+query("i1_null_scores", f"{HOLES} lf AS (SELECT * FROM ln WHERE p IS NOT NULL AND y IS NOT NULL), {metric_ctes('lf', 'model')} "
+      f"SELECT model, n, positives, k, hits, {r6('auc', 'recall', 'lift')} FROM mt")(
+    lambda s, p: rnd(metrics.ranking_metrics(with_holes(s, p), ["model"]).select("model", "n", "positives", "k", "hits", "auc", "recall", "lift")))
+query("i1_unscored_rows", f"{HOLES} z AS (SELECT 1) SELECT model, count(*) AS rows, count(*) FILTER (p IS NULL) AS no_score, "
+      "count(*) FILTER (p IS NOT NULL AND y IS NULL) AS no_label FROM ln GROUP BY model")(
+    lambda s, p: metrics.unscored(with_holes(s, p), ["model"]))
+query("e10_null_scores", f"{HOLES} o AS (SELECT *, row_number() OVER (PARTITION BY model ORDER BY p DESC, cust_id, ref_date) AS rn, "
+      "count(*) OVER (PARTITION BY model) AS n FROM ln WHERE p IS NOT NULL) SELECT model, cust_id, ref_date, rn FROM o WHERE rn <= greatest(1, round_even(0.1 * n, 0))")(
+    lambda s, p: metrics.top_k(with_holes(s, p), ["model"], "p", IDS).select("model", *IDS, "rn"))
+query("e8_null_group", f"{S}, g AS (SELECT *, CASE WHEN cust_id % 5 <> 0 THEN ref_date END AS grp FROM l) SELECT model, grp, cust_id, ref_date, "
+      "round(rank() OVER w + (count(*) OVER (PARTITION BY model, grp, p) - 1) / 2.0, 6) + 0.0 AS rank FROM g WINDOW w AS (PARTITION BY model, grp ORDER BY p)")(
+    lambda s, p: rnd(average_ranks(long_streams(s, p).withColumn("grp", F.when(F.col("cust_id") % 5 != 0, F.col("ref_date"))), ["model", "grp"], "p")
+                     .select("model", "grp", *IDS, "rank")))
 query("e11_top_preview", f"{S}, t AS (SELECT a FROM s ORDER BY a DESC, cust_id, ref_date LIMIT 20) SELECT count(*) AS n, "
       "round(avg(a), 6) + 0.0 AS mean, round(median(a), 6) + 0.0 AS median, round(stddev_samp(a), 6) + 0.0 AS std FROM t")(
     lambda s, p: rnd(streams(s, p).orderBy(F.desc("a"), *IDS).limit(20).agg(
@@ -193,6 +215,19 @@ query("i9_pearson", f"{S}, q AS ({pair_sql('s')}) SELECT a, b, {r6('corr')} FROM
     lambda s, p: rnd(correlation.pearson_pairs(streams(s, p), ABC)))
 query("i9_spearman", f"{SPEAR} SELECT a, b, {r6('corr')} FROM sp")(
     lambda s, p: rnd(correlation.spearman_pairs(streams(s, p), ABC, IDS)))
+WIDE = 44
+
+
+def wide_columns(spark, path) -> DataFrame:
+    """More columns than one block holds, each with other rows missing."""
+    value = lambda i: F.col("a") * (i % 5) + ((F.col("cust_id") * (i + 3)) % 97) / F.lit(97.0)
+    return streams(spark, path).select(*[F.when((F.col("cust_id") + i) % 6 != 0, value(i)).alias(f"c{i:02d}") for i in range(WIDE)])
+
+
+query("i9_wide_correlation", f"{S}, n AS (SELECT range AS i FROM range({WIDE})), u AS (SELECT cust_id, ref_date, i, a * (i % 5) + ((cust_id * (i + 3)) % 97) / 97.0 AS v "
+      "FROM s, n WHERE (cust_id + i) % 6 <> 0) SELECT printf('c%02d', x.i) AS a, printf('c%02d', z.i) AS b, round(corr(x.v, z.v), 6) + 0.0 AS corr "
+      "FROM u x JOIN u z ON z.cust_id = x.cust_id AND z.ref_date = x.ref_date AND z.i > x.i GROUP BY ALL")(
+    lambda s, p: rnd(correlation.pearson_pairs(wide_columns(s, p), [f"c{i:02d}" for i in range(WIDE)])))
 query("k30_spearman_matrix", f"{MATRIX} SELECT a, b, {r6('corr')} FROM mx")(lambda s, p: rnd(matrix(s, p)))
 query("c8_submission_join", f"{S} SELECT cust_id, ref_date, a, b, CAST(c AS DOUBLE) AS c FROM s")(
     lambda s, p: correlation.to_wide(long_streams(s, p), ABC, IDS))
@@ -297,6 +332,11 @@ query("h3_rolling_folds", f"{MONTHS}, o AS (SELECT *, row_number() OVER (ORDER B
       "SELECT fold, CASE WHEN i > e - 3 THEN 'valid' ELSE 'train' END AS role, CAST(sum(n) AS BIGINT) AS n FROM f "
       "WHERE i <= e AND (i > e - 3 OR i <= e - 4) GROUP BY ALL")(
     lambda s, p: fold_counts(cohort(s, p), folds.rolling_folds(cohort(s, p))))
+# Two splits of four months with a gap of one: twelve months leave one free step; the first block has too few months before it.
+query("h3_other_sizes", f"{MONTHS}, o AS (SELECT *, row_number() OVER (ORDER BY month) AS i FROM mm) "
+      "SELECT f AS fold, CASE WHEN i > e - 4 THEN 'valid' ELSE 'train' END AS role, CAST(sum(n) AS BIGINT) AS n "
+      "FROM o, (VALUES (0, 11), (1, 12)) AS b(f, e) WHERE i <= e AND (i > e - 4 OR i <= e - 5) GROUP BY ALL")(
+    lambda s, p: fold_counts(cohort(s, p), folds.rolling_folds(cohort(s, p), 2, 4)))
 query("h4_named_holdout", f"{MONTHS} SELECT DATE '2000-11-01' AS fold, CASE WHEN month = '2000-11-01' THEN 'valid' ELSE 'train' END AS role, "
       "CAST(sum(n) AS BIGINT) AS n FROM mm GROUP BY ALL")(
     lambda s, p: fold_counts(cohort(s, p), folds.named_month_holdout(cohort(s, p), ["2000-11-01"])))

@@ -53,9 +53,13 @@ def equal(streams: Sequence[str]) -> Column:
 
 
 def long_blend(predictions: DataFrame, weights: DataFrame, by: Sequence[str] = KEYS) -> DataFrame:
-    """Weighted mean per id of a long prediction table; ``weights`` has (model, w). Absent models drop out."""
+    """Weighted mean per id of a long prediction table; ``weights`` has (model, w).
+
+    Absent models and null scores drop out with their weights; an id without any score has a null.
+    """
     joined = predictions.join(materialize(weights), "model")
-    return joined.groupBy(*by).agg((F.sum(F.col("w") * F.col("p")) / F.sum("w")).alias("p"))
+    given = F.when(F.col("p").isNotNull(), F.col("w"))
+    return joined.groupBy(*by).agg((F.sum(F.col("w") * F.col("p")) / F.nullif(F.sum(given), F.lit(0.0))).alias("p"))
 
 
 def rank_weights(scores: DataFrame, power: float = 1.0) -> DataFrame:

@@ -3,15 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, combinations_with_replacement
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.stat import Correlation
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.safe import clip
-from ebbtide.operators.metrics import auc, top_rows
+from ebbtide.operators.metrics import auc, scored, top_rows
 from ebbtide.operators.ranks import average_ranks, row_numbers
 from ebbtide.runtime import materialize
 
@@ -19,7 +18,8 @@ from ebbtide.runtime import materialize
 REDUNDANT = 0.95
 SAME_CLUSTER = 0.98
 STABLE = {"std": 0.1, "rank_corr": 0.85, "overlap": 0.7}
-WIDE = 40
+BLOCK = 24
+"""Columns in a block: an aggregate holds the pairs of two blocks."""
 
 
 def to_long(df: DataFrame, streams: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -40,24 +40,24 @@ def _pair_rows(values: dict[tuple[str, str], Column]) -> Column:
 
 
 def pearson_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, corr) for all pairs a < b in the order given, from one pass over the rows.
+    """(a, b, corr) for all pairs a < b in the order given; a pair uses the rows that have both values.
 
-    Few columns: one aggregate with a ``corr`` per pair. Many: the Gram matrix of ``ml.stat.Correlation``, whose
-    size depends on the number of columns only.
+    The pairs of two blocks of columns are one aggregate over those columns alone, so any number of columns has
+    one rule and no aggregate grows with it. With more than one pair of blocks the rows are written once.
     """
-    pairs = list(combinations(columns, 2))
-    if len(columns) <= WIDE:
-        aggs = [F.corr(a, b).alias(f"c{i}") for i, (a, b) in enumerate(pairs)]
-        return df.agg(*aggs).select(
-            _pair_rows({p: F.nanvl(F.col(f"c{i}"), F.lit(None)) for i, p in enumerate(pairs)})
-        )
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="v", handleInvalid="skip").transform(df)
-    matrix = Correlation.corr(vectors.select("v"), "v").first()[0].toArray()
-    at = {c: i for i, c in enumerate(columns)}
-    rows = [(a, b, float(matrix[at[a], at[b]])) for a, b in pairs]
-    return df.sparkSession.createDataFrame(rows, "a string, b string, corr double").withColumn(
-        "corr", F.nanvl("corr", F.lit(None))
-    )
+    columns = list(columns)
+    cut = [columns[i:i + BLOCK] for i in range(0, len(columns), BLOCK)]
+    both = list(combinations_with_replacement(range(len(cut)), 2))
+    rows = df.select(*columns) if len(both) <= 1 else materialize(df.select(*columns))
+    parts = []
+    for i, j in both:
+        pairs = list(combinations(cut[i], 2)) if i == j else [(a, b) for a in cut[i] for b in cut[j]]
+        if pairs:
+            one = rows.agg(*[F.corr(a, b).alias(f"c{k}") for k, (a, b) in enumerate(pairs)])
+            parts.append(one.select(_pair_rows({p: F.nanvl(F.col(f"c{k}"), F.lit(None)) for k, p in enumerate(pairs)})))
+    if not parts:
+        return df.sparkSession.createDataFrame([], "a string, b string, corr double")
+    return reduce(DataFrame.unionByName, parts)
 
 
 def rank_columns(df: DataFrame, streams: Sequence[str], ids: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -91,9 +91,10 @@ def redundant_pairs(pairs: DataFrame, threshold: float = REDUNDANT) -> DataFrame
 def top_overlap(df: DataFrame, streams: Sequence[str], ids: Sequence[str], share: float = 0.1) -> DataFrame:
     """(a, b, overlap): the share of the top rows two streams have in common.
 
-    Top rows are flagged per stream and laid side by side by id, so no pair of rows is ever formed.
+    Top rows are flagged per stream and laid side by side by id, so no pair of rows is ever formed. Rows that a
+    stream did not score are not among its rows.
     """
-    placed = row_numbers(to_long(df, streams, ids), ["model"], [-F.col("p"), *[F.col(c) for c in ids]], "rn")
+    placed = row_numbers(scored(to_long(df, streams, ids), "p"), ["model"], [-F.col("p"), *[F.col(c) for c in ids]], "rn")
     k = top_rows(F.col("rn_total"), share, "int")
     top = placed.where(F.col("rn") <= k).select(*ids, "model", k.alias("k"))
     wide = top.groupBy(*ids).pivot("model", list(streams)).agg(F.first("k"))

@@ -61,27 +61,23 @@ def expanding_folds(df: DataFrame, last_n: int = 6, min_rows: int = 500) -> Data
 
 
 def rolling_folds(df: DataFrame, n_splits: int = 5, test_months: int = 3, gap: int = 1) -> DataFrame:
-    """Blocks of several months validate, stepping back from the end; at least six months train."""
-    months = [m.month for m in _month_list(df).first().months]
-    total = len(months)
-    if total < test_months + gap + MIN_TRAIN_MONTHS:
-        test_months, gap = max(1, total // 3), max(0, total // 6)
-    step = max(1, (total - gap - MIN_TRAIN_MONTHS) // (n_splits + 1))
-    blocks = []
-    for i in range(n_splits):
-        end = total - i * step
-        start = end - test_months
-        if start < gap + MIN_TRAIN_MONTHS:
-            break
-        if start - gap >= MIN_TRAIN_MONTHS:
-            blocks.append((months[: start - gap], months[start:end]))
-    rows = [
-        (fold, role, m)
-        for fold, (train, valid) in enumerate(reversed(blocks))
-        for role, side in (("train", train), ("valid", valid))
-        for m in side
-    ]
-    return df.sparkSession.createDataFrame(rows, "fold int, role string, month date")
+    """Blocks of ``test_months`` months validate, ``gap`` months before a block are left out, all before them train.
+
+    Block i ends i steps before the last month, the step being an even share of the months that are free to move
+    over. Blocks with fewer than ``MIN_TRAIN_MONTHS`` months to train on do not count; the earliest left is fold 0. Too
+    few months for any block are an error.
+    """
+    size = F.size("months")
+    step = F.greatest(F.floor((size - gap - MIN_TRAIN_MONTHS) / (n_splits + 1)).cast("int"), F.lit(1))
+    spare = size - test_months - gap - MIN_TRAIN_MONTHS
+    count = F.least(F.floor(spare / step).cast("int") + 1, F.lit(n_splits))
+    enough = F.when(spare >= 0, count).otherwise(F.raise_error(F.lit("rolling_folds: too few months for one block")).cast("int"))
+    blocks = _month_list(df).select("months", step.alias("step"), enough.alias("count"))
+    blocks = blocks.select("months", "step", "count", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("i"))
+    train = size - F.col("i") * F.col("step") - test_months - gap
+    return _roles(blocks.select(
+        (F.col("count") - 1 - F.col("i")).alias("fold"), F.slice("months", F.lit(1), train).alias("train"),
+        F.slice("months", train + gap + 1, F.lit(test_months)).alias("valid")))
 
 
 def named_month_holdout(df: DataFrame, months: Sequence[str]) -> DataFrame:

@@ -2,7 +2,8 @@
 
 Rows are first counted per distinct score, and the counts are placed by ``running_totals``: a month (or one
 global group) is never sorted in a single task. Only the rows tied at the border of the top share are looked at
-one by one, because there the id decides.
+one by one, because there the id decides. Rows without a score or a label are in no count and no rank;
+``unscored`` says how many they are.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.periods import month_start
 from ebbtide.functions.safe import ratio
-from ebbtide.operators.ranks import percentiles, row_numbers, running_totals
+from ebbtide.operators.ranks import join_keys, percentiles, row_numbers, running_totals
 from ebbtide.runtime import materialize
 
 # Fixed values of the metric.
@@ -46,8 +47,19 @@ def _grouped(df: DataFrame, by: Sequence[str]) -> tuple[DataFrame, list[str]]:
     return (df, list(by)) if by else (df.withColumn("_all", F.lit(0)), ["_all"])
 
 
+def scored(df: DataFrame, *columns: str) -> DataFrame:
+    """The rows that have all of ``columns``."""
+    return df.na.drop("any", subset=list(columns))
+
+
+def unscored(df: DataFrame, by: Sequence[str] = (), score: str = "p", label: str = "y") -> DataFrame:
+    """Rows per group, and those that the metrics leave out: without a score, and with a score but no label."""
+    no_score, no_label = F.col(score).isNull(), F.col(score).isNotNull() & F.col(label).isNull()
+    return df.groupBy(*by).agg(F.count(F.lit(1)).alias("rows"), F.count_if(no_score).alias("no_score"), F.count_if(no_label).alias("no_label"))
+
+
 def _counts(df: DataFrame, by: list[str], score: str, label: str) -> DataFrame:
-    return df.groupBy(*by, (-F.col(score)).alias("_key")).agg(
+    return scored(df, score, label).groupBy(*by, (-F.col(score)).alias("_key")).agg(
         F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("pos")
     )
 
@@ -73,7 +85,7 @@ def flip_guard(df: DataFrame, by: Sequence[str] = (), score: str = "p", label: s
     """Replace the score by one minus itself in the groups whose AUC is below one half."""
     df, keys = _grouped(df, by)
     low = materialize(auc(df, keys, score, label).where("auc < 0.5").select(*keys, F.lit(True).alias("_flip")))
-    out = df.join(low, keys, "left")
+    out = join_keys(df, low, keys, "left")
     guarded = F.when(F.col("_flip"), F.lit(1.0) - F.col(score)).otherwise(F.col(score))
     return out.withColumn(score, guarded).drop("_flip", "_all")
 
@@ -135,8 +147,8 @@ def ranking_metrics(
         )
     )
     mixed = (F.col("_tied_pos") > 0) & (F.col("_tied_pos") < F.col("_tied_n"))
-    ties = df.withColumn("_key", -F.col(score)).join(
-        groups.where(mixed).select(*keys, "_key", "_need"), [*keys, "_key"]
+    ties = join_keys(
+        scored(df, score, label).withColumn("_key", -F.col(score)), groups.where(mixed).select(*keys, "_key", "_need"), [*keys, "_key"]
     )
     placed = row_numbers(ties.select(*keys, *ids, label, "_need"), keys, [F.col(c) for c in ids], "_rn")
     taken = placed.groupBy(*keys).agg(
@@ -147,7 +159,7 @@ def ranking_metrics(
         .when(F.col("_tied_pos") == F.col("_tied_n"), F.col("_need"))
         .otherwise(F.coalesce(F.col("_tied"), F.lit(0)))
     )
-    out = groups.join(taken, keys, "left").withColumnRenamed("rows", "n")
+    out = join_keys(groups, taken, keys, "left").withColumnRenamed("rows", "n")
     out = out.withColumn("hits", (F.col("_full") + border_hits).cast("long")).withColumns(
         {
             "gini": F.lit(2.0) * F.col("auc") - 1,
@@ -186,8 +198,8 @@ def monthly_composite(df: DataFrame, by: Sequence[str] = (), last_n: int = 6, **
 
 def top_k(df: DataFrame, by: Sequence[str], score: str, ids: Sequence[str], share: float = TOP_SHARE,
           rounding: str = "half_even") -> DataFrame:
-    """Rows in the top share of their group, best first, ids deciding ties."""
-    df, keys = _grouped(df, by)
+    """Rows in the top share of their group's scored rows, best first, ids deciding ties."""
+    df, keys = _grouped(scored(df, score), by)
     placed = row_numbers(df, keys, [-F.col(score), *[F.col(c) for c in ids]], "rn")
     return placed.where(F.col("rn") <= top_rows(F.col("rn_total"), share, rounding)).drop("rn_total", "_all")
 
@@ -200,7 +212,7 @@ def score_summary(df: DataFrame, by: Sequence[str], score: str = "p") -> DataFra
     )
     q = percentiles(df, by, score, (0.01, 0.5, 0.99))
     parts = [F.element_at("q", i + 1).alias(n) for i, n in enumerate(("p1", "p50", "p99"))]
-    return base.join(q, list(by)).select(*base.columns, *parts)
+    return join_keys(base, q, list(by), "left").select(*base.columns, *parts)
 
 
 def score_histogram(df: DataFrame, by: Sequence[str], score: str = "p", bins: int = 10) -> DataFrame:
@@ -209,7 +221,7 @@ def score_histogram(df: DataFrame, by: Sequence[str], score: str = "p", bins: in
     binned = df.where(s.between(0.0, 1.0)).withColumn("bin", F.least(F.floor(s * bins), F.lit(bins - 1)).cast("int"))
     counts = binned.groupBy(*by, "bin").agg(F.count(F.lit(1)).alias("n"))
     totals = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_all"))
-    return counts.join(totals, list(by)).select(*by, "bin", "n", (F.col("n") / F.col("_all") * 100).alias("pct"))
+    return join_keys(counts, totals, list(by)).select(*by, "bin", "n", (F.col("n") / F.col("_all") * 100).alias("pct"))
 
 
 def fold_stability(scores: DataFrame, by: Sequence[str], order: str, score: str) -> DataFrame:

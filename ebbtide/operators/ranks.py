@@ -11,7 +11,7 @@ into key ranges first:
 2. ranges are totalled; the totals of one group (at most ``RANGES`` rows) are accumulated;
 3. rows are accumulated inside their range and lifted by the range's offset.
 
-Ranks, running sums and percentiles are exact, whatever the cut points are.
+Ranks, running sums and percentiles are exact, whatever the cut points are. A null in a group key is a group like any other.
 """
 
 from __future__ import annotations
@@ -31,6 +31,15 @@ MIN_SAMPLED = 16
 SALTS = 32
 
 
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``keys`` in which null equals null; the keys come from the left side, once."""
+    renamed = right.select(*[F.col(c).alias(f"_join_{c}") if c in keys else F.col(c) for c in right.columns])
+    same = F.lit(True)
+    for k in keys:
+        same = same & left[k].eqNullSafe(renamed[f"_join_{k}"])
+    return left.join(renamed, same, how).drop(*[f"_join_{k}" for k in keys])
+
+
 def _thinned(array: str, n: int) -> Column:
     """At most ``n`` evenly spaced elements of a sorted array."""
     size = F.size(array)
@@ -62,7 +71,7 @@ def _with_range(df: DataFrame, by: Sequence[str], key: str, cuts: DataFrame) ->
     cuts = cuts.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(F.col(key), F.lit(7)), F.lit(SALTS)).cast("int"))
     below = F.size(F.filter("_cuts", lambda c: c < F.col(key)))
-    joined = salted.join(cuts, [*by, "_salt"], "left")
+    joined = join_keys(salted, cuts, [*by, "_salt"], "left")
     return joined.withColumn("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(below)).drop("_salt", "_cuts")
 
 
@@ -98,7 +107,7 @@ def running_totals(df: DataFrame, by: Sequence[str], key: str, sums: Sequence[st
     inner = (
         Window.partitionBy(*by, "_range").orderBy(key).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    out = ranged.join(offsets, [*by, "_range"])
+    out = join_keys(ranged, offsets, [*by, "_range"])
     for c in sums:
         out = out.withColumn(f"_r_{c}", F.sum(c).over(inner))
     return out.select(
@@ -136,7 +145,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, name: str = "ran
         (F.col("n_before") + (F.col("n") + 1) / F.lit(2.0)).alias(name),
         F.col("n_total").alias(f"{name}_total"),
     )
-    return df.join(ranked, [*by, value], "left").select(*df.columns, name, f"{name}_total")
+    return join_keys(df, ranked, [*by, value], "left").select(*df.columns, name, f"{name}_total")
 
 
 def percentiles(

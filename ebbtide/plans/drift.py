@@ -128,10 +128,13 @@ def iterative_filter(
 
 
 def one_by_one_filter(
-    train: DataFrame, test: DataFrame, features: Sequence[str], tolerance: float = 0.0, tries: int = 5,
+    train: DataFrame, test: DataFrame, features: Sequence[str], tolerance: float = 0.0, tries: int | None = None,
     learner: Learner = Learner(), last_n: int = 6, seeds: Sequence[int] = (1,)
 ) -> tuple[list[str], DataFrame]:
-    """Try the most drifting features one at a time; drop those whose loss stays within ``tolerance``."""
+    """Try the features one at a time, the most drifting first; drop those whose loss stays within ``tolerance``.
+
+    All are tried unless ``tries`` says how many.
+    """
     keep = list(features)
     best = train_oof(train, keep, learner, last_n=last_n, seeds=seeds).composite(last_n)
     history = []

@@ -172,10 +172,7 @@ def _with_decay(train: DataFrame, lam: float | None) -> DataFrame:
 
 def _in_fixed_order(rows: DataFrame) -> DataFrame:
     """Rows placed by key and sorted inside their partition: bagging then draws the same rows for the same seed."""
-    spark = rows.sparkSession
-    # A fit runs dozens of short jobs: no more partitions than twice the cores.
-    n = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
-    return rows.repartition(n, *KEYS).sortWithinPartitions(*KEYS)
+    return rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
 def fit_folds(
@@ -282,8 +279,11 @@ def train_two_stage(
 
 
 def pseudo_labels(scored: DataFrame, top: float = 0.025, bottom: float = 0.40, score: str = "p") -> DataFrame:
-    """Lowest-scored share as 0 and highest-scored share as 1 (at least one row each), from exact row numbers."""
-    placed = row_numbers(scored, [], [F.col(score), *map(F.col, KEYS)], "_rn")
+    """Lowest-scored share as 0 and highest-scored share as 1 (at least one row each), from exact row numbers.
+
+    Rows without a score get no label.
+    """
+    placed = row_numbers(scored.na.drop("any", subset=[score]), [], [F.col(score), *map(F.col, KEYS)], "_rn")
     n = F.col("_rn_total")
     low = F.greatest(F.lit(1), F.rint(F.lit(bottom) * n))
     high = F.greatest(F.lit(1), F.rint(F.lit(top) * n))

@@ -106,10 +106,19 @@ def test_clusters_follow_chains(spark):
     assert got["n09"] == "n09" and got["n10"] == got["n11"] == "n10"
 
 
-def test_wide_correlation_uses_the_gram_matrix(spark, monkeypatch, rows):
-    small = correlation.pearson_pairs(rows, ["x1", "x2"]).first().corr
-    monkeypatch.setattr(correlation, "WIDE", 1)
-    assert correlation.pearson_pairs(rows, ["x1", "x2"]).first().corr == pytest.approx(small)
+def test_correlation_in_blocks(spark, monkeypatch):
+    rows = spark.range(200).select(*[F.when((F.col("id") + i) % 4 != 0, F.rand(i)).alias(f"c{i}") for i in range(7)])
+    rows = spark.createDataFrame(rows.toPandas(), "c0 double, c1 double, c2 double, c3 double, c4 double, c5 double, c6 double")
+    rows = rows.select(*[F.nanvl(c, F.lit(None)).alias(c) for c in rows.columns])
+    whole = {(r.a, r.b): r.corr for r in correlation.pearson_pairs(rows, rows.columns).collect()}
+    monkeypatch.setattr(correlation, "BLOCK", 3)
+    cut = {(r.a, r.b): r.corr for r in correlation.pearson_pairs(rows, rows.columns).collect()}
+    assert len(whole) == 21 and cut == pytest.approx(whole)
+
+
+def test_too_few_months_are_an_error(spark, rows):
+    with pytest.raises(Exception, match="too few months"):
+        folds.rolling_folds(rows, 5, 12, 3).collect()
 
 
 def test_candidates_and_weights(spark, rows):
