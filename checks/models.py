@@ -6,6 +6,8 @@ their labels and scores inside [0, 1], or the conditions that an optimal fit mee
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,8 +20,8 @@ from ebbtide.functions.safe import clip
 from ebbtide.operators import blend, folds, metrics
 from ebbtide.operators.metrics import monthly_composite
 from ebbtide.operators.ranks import row_numbers
-from ebbtide.plans import calibration, drift, oof, portfolio, stacking
-from ebbtide.runtime import materialize
+from ebbtide.plans import calibration, drift, oof, portfolio, stacking, store
+from ebbtide.runtime import materialize, scratch_dir
 from ebbtide.sources import adapters
 
 SMALL = {"maxIter": 4, "maxDepth": 3}
@@ -87,7 +89,26 @@ def j7_mean_of_models(spark, path):
     return inside(oof.train_oof(train, FEATURES, GBT, last_n=2, seeds=(1, 11)).predict(test)).drop("y")
 
 
-query("j9_model_importance")(lambda s, p: oof.train_oof(matrix(s, p), FEATURES, GBT, last_n=2, seeds=(1,)).importance())
+@query("j7_saved_models", f"WITH {COHORT_SQL.strip()} SELECT cust_id, ref_date, true AS same FROM cohort WHERE ref_date >= '2000-11-01'")
+def j7_saved_models(spark, path):
+    """Two stages trained, saved, loaded: the loaded ones score every row as the saved ones."""
+    train, test = halves(spark, path)
+    learner = oof.Learner("logistic")
+    two = oof.train_two_stage(train, FEATURES, learner, GBT, last_n=1)
+    folder = f"{scratch_dir(spark)}/models/{uuid.uuid4().hex}"
+    store.save_two_stage(two, folder)
+    again = store.load_two_stage(spark, folder).predict(test).select(*IDS, F.col("p").alias("q"))
+    return two.predict(test).join(again, IDS, "left").select(*IDS, (F.abs(F.col("p") - F.col("q")) < 1e-9).alias("same"))
+
+
+def shares(importance: DataFrame, by: str) -> DataFrame:
+    """How many features have a gain, per fold; whether none is negative and they add up to one."""
+    return importance.groupBy(by).agg(
+        F.count(F.lit(1)).alias("features"), (F.min("gain") >= 0).alias("none_negative"), (F.abs(F.sum("gain") - 1) < 1e-6).alias("sums_to_one")).drop(by)
+
+
+query("j9_model_importance", f"SELECT CAST({len(FEATURES)} AS BIGINT) AS features, true AS none_negative, true AS sums_to_one FROM range(2)")(
+    lambda s, p: shares(oof.train_oof(matrix(s, p), FEATURES, GBT, last_n=2, seeds=(1,)).importance(), "fold"))
 
 
 @query("j10_domain_classifier")
@@ -214,6 +235,17 @@ query("k22_beta_without_intercept", OPTIMAL)(lambda s, p: logistic_check(raw(s,
 query("k23_platt", OPTIMAL)(lambda s, p: logistic_check(raw(s, p), "platt"))
 
 
+@query("k21_saved_calibrators", f"{S} SELECT cust_id, ref_date, true AS same FROM s")
+def k21_saved_calibrators(spark, path):
+    binned, n, _ = calibration.segment_bins(materialize(streams(spark, path).select(*IDS, "y", "c", F.col("a").alias("p"))), "c", 100)
+    binned = materialize(binned)
+    made = calibration.fit_segments(binned, n, "beta", min_rows=100)
+    folder = f"{scratch_dir(spark)}/models/{uuid.uuid4().hex}"
+    store.save_segments(spark, made, folder)
+    again = store.load_segments(spark, folder).apply(binned).select(*IDS, F.col("p").alias("q"))
+    return made.apply(binned).join(again, IDS, "left").select(*IDS, (F.abs(F.col("p") - F.col("q")) < 1e-9).alias("same"))
+
+
 @query("k25_method_choice")
 def k25_method_choice(spark, path):
     r = materialize(raw(spark, path))
