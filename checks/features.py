@@ -607,6 +607,16 @@ def c6_labelled_features(spark, path):
         (F.round("rfm_monetary_value", 6) + F.lit(0.0)).alias("rfm_monetary_value"))
 
 
+def every_row(spark, path) -> DataFrame:
+    """All cohort rows get features; those without any history have the sentinel where others have a value."""
+    given = feature_table(history(spark, path), customers(spark, path), cohort(spark, path), ["rfm"], keep_unknown=True)
+    filled = F.lit(True)
+    for c in ("rfm_recency_days", "rfm_frequency_count", "rfm_monetary_value"):
+        filled = filled & F.col(c).isNotNull()
+    return given.agg(F.count(F.lit(1)).alias("rows"), F.every(filled).alias("all_filled"))
+
+
+query("c7_rows_without_history", PIT + " SELECT count(*) AS rows, true AS all_filled FROM cohort")(lambda s, p: every_row(s, p))
 query("c7_lookup_default", sql_rounded(PIT, {
     "days_since_last_txn": "coalesce(date_diff('day', max(date), ref_date), 0)",
     "txn_irregularity": "coalesce(stddev_samp(total_cnt) / (avg(total_cnt) + 1e-9), 0)", "__from": f"FROM j {G}"}))(

@@ -80,9 +80,13 @@ def feature_table(
     winsorize: bool = True,
     relative: bool = True,
     sentinel: bool = True,
+    keep_unknown: bool = False,
 ) -> DataFrame:
     """Features of every (cust_id, ref_date) of the cohort with at least one history row up to its date.
 
+    ``keep_unknown`` keeps the others too, with the sentinel and the defaults of what has none: pass it to score every
+    row of a cohort.
+
     Cohort-relative features (scores, percentiles, medians) are relative to the cohort given: call it for the
     training and the scoring cohort separately. ``relative=False`` leaves those columns out.
     """
@@ -131,7 +135,8 @@ def feature_table(
         table = _recency_rank(table)
 
     made = [c for c in table.columns if not c.startswith("_") and c not in KEYS]
-    table = table.where("_known")
+    if not keep_unknown:
+        table = table.where("_known")
     plain = {n for n, f in owner.items() if f in PLAIN_DEFAULTS} | {"new_joiner_risk", "below_peer_flag"}
     if not sentinel:
         return table.select(*KEYS, *made)

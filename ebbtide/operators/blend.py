@@ -10,6 +10,7 @@ from __future__ import annotations
 import json
 import random
 from collections.abc import Mapping, Sequence
+from functools import reduce
 from itertools import product
 
 import pandas as pd
@@ -26,7 +27,8 @@ from ebbtide.runtime import materialize
 KEYS = ("cust_id", "ref_date")
 EPS = 1e-9
 SCORE_DIGITS = 9
-MAX_CANDIDATES = 20_000
+BATCH = 20_000
+"""Candidates that one job scores; more are scored in several."""
 GRID_STEPS = 20
 EMPHASIS = {"2018-09": 0.2, "2018-11": 0.3, "2018-12": 0.5}
 TEMPERATURES = tuple(round(0.7 + 0.05 * i, 2) for i in range(13))
@@ -125,17 +127,18 @@ def fold_in(weights: Column, name: str, share: float) -> Column:
 # ---------------------------------------------------------------- candidates
 
 
-def simplex_grid(streams: Sequence[str], steps: int = GRID_STEPS, trials: int = 500, seed: int = 42) -> list[list[float]]:
-    """Weight vectors that sum to one: the full grid for up to four streams, random points beyond."""
-    k = len(streams)
-    if k <= 4:
-        return [
-            [c / steps for c in head] + [(steps - sum(head)) / steps]
-            for head in product(range(steps + 1), repeat=k - 1)
-            if sum(head) <= steps
-        ]
+def simplex_grid(streams: Sequence[str], steps: int = GRID_STEPS) -> list[list[float]]:
+    """All weight vectors in steps of ``1 / steps`` that sum to one. Their number grows fast with the streams."""
+    def parts(k: int, left: int) -> list[list[int]]:
+        return [[left]] if k == 1 else [[c, *rest] for c in range(left + 1) for rest in parts(k - 1, left - c)]
+
+    return [[c / steps for c in p] for p in parts(len(streams), steps)]
+
+
+def simplex_draws(streams: Sequence[str], trials: int = 500, seed: int = 42) -> list[list[float]]:
+    """Random weight vectors that sum to one, for more streams than a grid is good for."""
     rng = random.Random(seed)
-    return [_dirichlet(rng, [1.0] * k) for _ in range(trials)]
+    return [_dirichlet(rng, [1.0] * len(streams)) for _ in range(trials)]
 
 
 def loose_grid(k: int, points: int = 5, tolerance: float = 0.15) -> list[list[float]]:
@@ -152,8 +155,6 @@ def _dirichlet(rng: random.Random, alpha: Sequence[float]) -> list[float]:
 
 def with_candidates(df: DataFrame, streams: Sequence[str], candidates: Sequence[Sequence[float]]) -> DataFrame:
     """Each row once per candidate with ``candidate`` (its position) and the blended score ``p``."""
-    if len(candidates) > MAX_CANDIDATES:
-        raise ValueError(f"{len(candidates)} candidates; at most {MAX_CANDIDATES} are scored in one round")
     text = json.dumps([{"candidate": i, "w": list(w)} for i, w in enumerate(candidates)])
     table = F.from_json(F.lit(text), "array<struct<candidate:int,w:array<double>>>")
     return _blended(df.select("*", F.inline(table)), streams)
@@ -163,8 +164,6 @@ def with_month_candidates(
     df: DataFrame, streams: Sequence[str], candidates: Mapping[str, Sequence[Sequence[float]]]
 ) -> DataFrame:
     """The same with a candidate list per month (key ``yyyy-MM``); rows of other months are left out."""
-    if sum(map(len, candidates.values())) > MAX_CANDIDATES:
-        raise ValueError(f"more than {MAX_CANDIDATES} candidates in one round")
     text = json.dumps({m: [{"candidate": i, "w": list(w)} for i, w in enumerate(c)] for m, c in candidates.items()})
     table = F.from_json(F.lit(text), "map<string,array<struct<candidate:int,w:array<double>>>>")
     mine = F.try_element_at(table, F.date_format("month", "yyyy-MM"))
@@ -184,10 +183,16 @@ def score_candidates(
     df: DataFrame, streams: Sequence[str], candidates: Sequence[Sequence[float]], label: str = "y",
     last_n: int | None = None
 ) -> DataFrame:
-    """(month, candidate, metrics...) with the per-month flip guard; one job for all candidates."""
+    """(month, candidate, metrics...) with the per-month flip guard; one job for ``BATCH`` candidates."""
     rows = last_months(df, last_n) if last_n else df.withColumn("month", month_start(F.col("ref_date")))
     slim = rows.select(*KEYS, "month", F.col(label).alias("y"), *streams)
-    return ranking_metrics(with_candidates(slim, streams, candidates), ["month", "candidate"], flip=True)
+    if len(candidates) > BATCH:
+        slim = materialize(slim)
+    parts = []
+    for i in range(0, max(len(candidates), 1), BATCH):
+        some = ranking_metrics(with_candidates(slim, streams, candidates[i:i + BATCH]), ["month", "candidate"], flip=True)
+        parts.append(some.withColumn("candidate", F.col("candidate") + i))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def best_per_month(scored: DataFrame, digits: int = 9) -> DataFrame:
@@ -258,13 +263,15 @@ def search_per_month(
                     pool.append([(1 - a) * w + (a if j == i else 0.0) for j, w in enumerate(centre)])
             pool += [_dirichlet(rng, [1.0 + 50.0 * w for w in centre]) for _ in range(draws)]
             candidates[m] = pool
-        scored = ranking_metrics(
-            with_month_candidates(rows, streams, candidates), ["month", "candidate"], flip=True
-        )
-        for row in best_per_month(scored).collect():
-            m = row.month.strftime("%Y-%m")
-            if row.composite is not None and (m not in best or row.composite > best[m][0]):
-                best[m] = (row.composite, candidates[m][row.candidate])
+        # A month's candidates stay together: the best of a month is found in one job.
+        a_job = max(1, BATCH // max(map(len, candidates.values()), default=1))
+        for at in range(0, len(candidates), a_job):
+            some = dict(list(candidates.items())[at:at + a_job])
+            scored = ranking_metrics(with_month_candidates(rows, streams, some), ["month", "candidate"], flip=True)
+            for row in best_per_month(scored).collect():
+                m = row.month.strftime("%Y-%m")
+                if row.composite is not None and (m not in best or row.composite > best[m][0]):
+                    best[m] = (row.composite, candidates[m][row.candidate])
     out = [
         (f"{m}-01", s, (1 - pull) * w + pull / k, score)
         for m, (score, ws) in sorted(best.items())

@@ -121,13 +121,16 @@ def test_too_few_months_are_an_error(spark, rows):
         folds.rolling_folds(rows, 5, 12, 3).collect()
 
 
-def test_candidates_and_weights(spark, rows):
+def test_candidates_and_weights(spark, rows, monkeypatch):
+    grid_of_two = [[0.0, 1.0], [0.3, 0.7], [0.5, 0.5], [1.0, 0.0], [0.9, 0.1]]
     grid = blend.simplex_grid(["a", "b", "c"], 20)
     assert len(grid) == 231 and all(sum(w) == pytest.approx(1) for w in grid)
     assert len(blend.simplex_grid(list("abcd"), 20)) == 1771
-    assert len(blend.simplex_grid(list("abcde"))) == 500
-    with pytest.raises(ValueError):
-        blend.with_candidates(rows, ["x1"], [[1.0]] * (blend.MAX_CANDIDATES + 1))
+    assert len(blend.simplex_draws(list("abcde"))) == 500
+    one = stream(rows).withColumn("q", 1 - F.col("p"))
+    whole = {(r.month, r.candidate): r.composite for r in blend.score_candidates(one, ["p", "q"], grid_of_two).collect()}
+    monkeypatch.setattr(blend, "BATCH", 2)
+    assert {(r.month, r.candidate): r.composite for r in blend.score_candidates(one, ["p", "q"], grid_of_two).collect()} == pytest.approx(whole)
     got = blend.search_per_month(stream(rows).withColumn("q", 1 - F.col("p")).where("ref_date > '2000-10-01'"), ["p", "q"], rounds=1, draws=2)
     assert all(r.s == pytest.approx(1.0) for r in got.groupBy("month").agg(F.sum("w").alias("s")).collect())
 
