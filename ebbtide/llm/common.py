@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import zipfile
 from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +29,27 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.octet_length(text) == F.length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once an application: their Python need not find it on its own path."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    root = Path(__file__).resolve().parents[2]
+    name = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="ebbtide-")), "ebbtide.zip")
+    with zipfile.ZipFile(name, "w") as z:
+        for f in sorted((root / "ebbtide").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    spark.sparkContext.addPyFile(name)
+    _shipped.add(app)
+
+
 def small_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in this session: a batch of long texts must fit a Python worker."""
+    """For an operator that runs Python: small Arrow batches, as a batch of long texts must fit a worker, and this package."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    ship_package(spark)
 
 
 def blocks(keyed: DataFrame, key: str, row_bytes: int) -> list[DataFrame]:
