@@ -104,6 +104,20 @@ def test_noise_and_patterns_are_rejected_and_clean_texts_kept(spark):
     assert {k for k, kept in got.items() if not kept} == {*range(1000, 1005), 2000}
 
 
+@pytest.mark.parametrize("near", [False, True])
+def test_copies_of_one_text_do_not_narrow_the_band(spark, near):
+    rnd = random.Random(7)
+    rows = [(i, some_text(rnd, 60, 300), "en") for i in range(200)]
+    words = some_text(rnd, 200, 200).split(" ")
+    for i in range(300):  # 60 % of the language
+        at = rnd.randrange(len(words))
+        rows.append((1000 + i, " ".join([*words[:at], "changed", *words[at + 1:]] if near else words), "en"))
+    rows += [(2000 + i, some_text(rnd, 80, 80 + 200 * i), "xx") for i in range(2)]
+    rows += [(3000, "".join(chr(rnd.randint(33, 126)) + rnd.choice(["", "", "", " "]) for _ in range(1500)), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert [r.doc_id for r in quality.assess(docs).where("NOT kept").collect()] == [3000]
+
+
 def pseudonyms(spark, values, secret="k"):
     rows = spark.createDataFrame(list(enumerate(values)), "i int, v string").select("i", "v", privacy.pseudonym(F.col("v"), secret).alias("p"))
     return [r.p for r in rows.orderBy("i").collect()]
