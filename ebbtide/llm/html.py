@@ -34,6 +34,8 @@ PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Elements by the way they are read.
 BLOCK = set("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split())
 UNSEEN = set("canvas datalist iframe math noembed noframes noscript object script select style svg template textarea title video audio button".split())
+RAW = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I | re.A) for name in ("script", "style", "textarea", "title")}
+"""Elements whose content is text up to their end tag, or else up to the end of the page; other unseen elements end with their parent."""
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
@@ -50,6 +52,7 @@ class Page:
         self._open = [0]
         self._run: list[str] = []
         self._in_link, self._link_chars = False, 0
+        self._unseen: list[str] = []
         self._parse(html)
 
     def _add(self, kind: str, attrs: str) -> int:
@@ -76,13 +79,33 @@ class Page:
                 return
 
     def _words(self, text: str) -> None:
-        if text:
+        if text and not self._unseen:
             self._run.append(text)
             if self._in_link:
                 self._link_chars += len(text.strip())
 
+    def _skipped(self, name: str, attrs: str, ending: bool) -> bool:
+        """Whether a tag belongs to an open unseen element; ``_unseen`` has that element and those open inside it."""
+        if name in UNSEEN and not ending:
+            if not attrs.endswith("/"):
+                self._unseen.append(name)
+            return True
+        if not self._unseen:
+            return name in UNSEEN
+        if ending and name in self._unseen:
+            last = len(self._unseen) - 1 - self._unseen[::-1].index(name)
+            del self._unseen[last:]
+            return True
+        around = self._in_link if name == "a" else name in (self.kind[i] for i in self._open[1:])
+        if ending and around or name == "body":
+            self._unseen = []  # an element around it ends, and so does what was left open
+            return False
+        if not ending and name not in VOID and (name in BLOCK or name == "a"):
+            self._unseen.append(name)
+        return True
+
     def _parse(self, html: str) -> None:
-        at, low = 0, None
+        at = 0
         while (m := TOKEN.search(html, at)) is not None:
             self._words(html[at:m.start()])
             at = m.end()
@@ -90,11 +113,12 @@ class Page:
             if not name:
                 continue
             attrs, ending = m[3] if m[2] else m[6], bool(m[1] or m[4])
-            if name in UNSEEN:
+            if name in RAW:
                 if not ending and not attrs.endswith("/"):
-                    low = low if low is not None else html.lower()
-                    stop = low.find(f"</{name}", at)
-                    at = len(html) if stop < 0 else stop
+                    stop = RAW[name].search(html, at)
+                    at = stop.start() if stop else len(html)
+                continue
+            if self._skipped(name, attrs, ending):
                 continue
             if name not in BLOCK:
                 if name == "a":

@@ -41,6 +41,22 @@ CASES = {
 }
 
 
+UNSEEN = {
+    f"<article><p>{'İ' * 20}<script>var x = 1</SCRIPT></p><p>Hello world this is text.</p></article>": f"{'İ' * 20}\nHello world this is text.",
+    "<article><p>One <button>Share</p><p>Two is a sentence.</p></article>": "One\nTwo is a sentence.",
+    "<article><div><object data=x><p>old</div><p>Two is a sentence.</p></article>": "Two is a sentence.",
+    "<article><p>One <svg><g><svg><text>a</text></svg><text>b</text></g></svg>two.</p></article>": "One two.",
+    "<article><p>One <button><div>no</div><p>no</button>two.</p><p>Three is a sentence.</article>": "One two.\nThree is a sentence.",
+    "<article><p>One.</p><a href=x><svg><path></a><p>Two is a sentence.</p></article>": "One.\nTwo is a sentence.",
+    "<head><noscript><body><article><p>Two is a sentence.</p></article>": "Two is a sentence.",
+}
+
+
+@pytest.mark.parametrize("page", UNSEEN, ids=range(len(UNSEEN)))
+def test_unseen_elements_end_where_they_should(model, page):
+    assert model.text(page) == UNSEEN[page]
+
+
 @pytest.mark.parametrize("page", CASES, ids=range(len(CASES)))
 def test_main_text(model, page):
     assert model.text(page) == CASES[page]
