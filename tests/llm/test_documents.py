@@ -104,6 +104,14 @@ def test_noise_and_patterns_are_rejected_and_clean_texts_kept(spark):
     assert {k for k, kept in got.items() if not kept} == {*range(1000, 1005), 2000}
 
 
+def test_lists_of_words_between_bars_are_rejected(spark):
+    rnd = random.Random(8)
+    rows = [(i, some_text(rnd, 60, 300), "en") for i in range(300)]
+    rows += [(1000 + i, " | ".join(some_text(rnd, 200, 200, 200).split()), "en") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.assess(docs).where("NOT kept").collect()} == {1000, 1001, 1002}
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_copies_of_one_text_do_not_narrow_the_band(spark, near):
     rnd = random.Random(7)
