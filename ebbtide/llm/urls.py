@@ -19,7 +19,8 @@ from ebbtide.llm.common import ascii_lower
 from ebbtide.runtime import materialize
 
 RULES = [("com/", "allow"), ("example.com/en/", "block"), ("www.example.com/en/", "allow"), ("net/es/", "block"), ("net/fr/", "block")]
-DAMPING, ROUNDS, THRESHOLD = 0.85, 8, 0.5
+DAMPING, EPSILON, THRESHOLD = 0.85, 1e-6, 0.5
+"""``EPSILON``: rounds go on until none adds more to any host; a seed restarts with 1 - ``DAMPING``, so at most 75 rounds with one seed."""
 LINK = r"""(?i)\bhref\s*=\s*["']?\s*((?:https?:)?//[^\s"'<>]+)"""
 
 
@@ -51,16 +52,27 @@ def host_links(pages: DataFrame) -> DataFrame:
     return pairs.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
-def spread(hosts: DataFrame, links: DataFrame, seed: str, rounds: int, damping: float) -> DataFrame:
+def spread(hosts: DataFrame, links: DataFrame, seed: str, rounds: int | None, damping: float, epsilon: float = EPSILON) -> DataFrame:
     """(host, score): personalised PageRank from the hosts where ``seed`` is true, equal restart weight each.
 
-    ``links`` is (src, dst, n). Hosts without links out give nothing on: their mass ends there, which scales all scores alike.
+    Starts from the restart share and sums the rounds until none adds more than ``epsilon`` to any host. ``rounds`` asks for so many
+    rounds of power iteration from 1.0 a seed instead. ``links`` is (src, dst, n). Hosts without links out give nothing on: their mass ends there, which scales all scores alike.
     """
     # The share of a source is its links over all its links; the sums are exact whole numbers.
     share = links.join(links.groupBy("src").agg(F.sum("n").alias("_all")), "src").select(
         "src", "dst", (F.col("n") / F.col("_all")).alias("share"))
     share = materialize(share)
     start = materialize(hosts.where(seed).select("host", F.lit(1.0).alias("restart")))
+    if rounds is None:
+        begun = F.col("restart") * (1 - damping)
+        scores = start.select("host", begun.alias("score"), begun.alias("step"))
+        while True:
+            more = F.col("step") * F.col("share") * damping
+            sent = scores.join(share, scores.host == share.src).select(F.col("dst").alias("host"), more.alias("score"), more.alias("step"))
+            had = scores.select("host", "score", F.lit(0.0).alias("step"))
+            scores = materialize(sent.unionByName(had).groupBy("host").agg(F.sum("score").alias("score"), F.sum("step").alias("step")))
+            if (scores.agg(F.max("step")).first()[0] or 0.0) <= epsilon:
+                return scores.select("host", "score")
     scores = start.select("host", F.col("restart").alias("score"))
     for _ in range(rounds):
         sent = scores.join(share, scores.host == share.src).select(F.col("dst").alias("host"), (F.col("score") * F.col("share") * damping).alias("score"))
@@ -70,7 +82,7 @@ def spread(hosts: DataFrame, links: DataFrame, seed: str, rounds: int, damping:
     return scores
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, damping: float = DAMPING, rounds: int = ROUNDS, threshold: float = THRESHOLD) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str]] = RULES, damping: float = DAMPING, rounds: int | None = None, threshold: float = THRESHOLD) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust: a row per row of ``pages``, repeated rows included.
 
     Null urls and urls without ``://`` have an empty host and path; no rule fits them, and they are allowed. Null html has no

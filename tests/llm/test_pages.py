@@ -173,3 +173,14 @@ def test_trust_and_distrust_follow_links(spark):
                 new[b] = new.get(b, 0.0) + 0.85 * s * w
         score = new
     assert {r.host: r.distrust for r in got.values() if r.host in score} == pytest.approx(score)
+
+
+def test_distrust_of_a_long_chain(spark):
+    n = 12
+    rows = [(0, "http://bad.net/es/", ""), (1, "http://h1.org/", '<a href="http://bad.net/">')]
+    rows += [(i, f"http://h{i}.org/", f'<a href="http://h{i - 1}.org/">') for i in range(2, n + 1)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    want = {i: 0.15 * 0.85 ** i for i in range(n + 1)}
+    assert {i: r.distrust for i, r in got.items()} == pytest.approx(want, abs=1e-5)
+    mean = sum(want.values()) / len(want)
+    assert {i: r.verdict for i, r in got.items()} == {i: "block" if i == 0 or d > 0.5 * mean else "allow" for i, d in want.items()}
