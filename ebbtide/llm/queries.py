@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ebbtide.llm import html, quality, stages, urls, warc
+from ebbtide.llm import html, quality, stages, turns, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
 from ebbtide.llm.lines import dedup_lines
 from ebbtide.llm.near import near_duplicates
@@ -169,3 +169,76 @@ def op10_pii(spark, path):
 @query("op1_html_text")
 def op1_html_text(spark, path):
     return html.extract(table(spark, path, "pages").select("page_id", "url", "html"))
+
+
+def damage(conversations):
+    """What op11 repairs: rows dropped, emptied, without their sentence ends, repeated or given to the user, by a checksum of their place."""
+    case = F.crc32(F.concat_ws(":", *(F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")))) % 20
+    role, text = (F.coalesce(F.col(c), F.lit(" ")) for c in ("role", "text"))
+    rows = conversations.select("conv_id", "turn", role.alias("role"), text.alias("text"), case.alias("_case")).where("_case <> 0")
+    text = F.when(F.col("_case") == 1, "").when(F.col("_case") == 2, F.translate("text", ".!?", "")).otherwise(F.col("text"))
+    again = F.explode(F.when(F.col("_case") == 3, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1))))
+    return rows.select("conv_id", "turn", F.when(F.col("_case") == 4, "user").otherwise(F.col("role")).alias("role"), text.alias("text"), again.alias("_copy"))
+
+
+def _step(v: str, cost: str, edit: str) -> str:
+    """A state's nine digits of cost and its audit, one edit on."""
+    return f"(format('{{:09d}}', CAST({v}[1:9] AS INT) + {cost}) || {v}[10:] || '{edit}')"
+
+
+def _inserted(v: list[str]) -> tuple[str, str]:
+    """States 2 and 3 after insertions."""
+    two = f"least({v[2]}, " + ", ".join(_step(v[i], "2", "I") for i in (0, 1, 3)) + ")"
+    return two, f"least({v[3]}, {_step(two, '2', 'I')})"
+
+
+OP11_SQL = rf"""
+WITH RECURSIVE bits AS (SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) ORDER BY i) AS t FROM range(256) r(i)),
+keyed AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+cased AS (SELECT conv_id, turn, role, text, xor(list_reduce([CAST(ascii(x) AS BIGINT) FOR x IN string_split(k, '')],
+  lambda c, b: xor(c // 256, t[CAST(xor(c, b) % 256 AS INT) + 1]), 4294967295), 4294967295) % 20 AS c FROM keyed, bits),
+hurt AS (SELECT conv_id, turn, CASE WHEN c = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN c = 1 THEN '' WHEN c = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+  unnest(CASE WHEN c = 3 THEN [1, 2] ELSE [1] END) AS copy FROM cased WHERE c <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, copy) AS seen,
+  lag(role) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), copy) AS before FROM hurt),
+kinds AS (SELECT *, NOT regexp_matches(text, '[^ 	-
+]') AS blank,
+  regexp_matches(text, '[^ 	-
+]') AND seen > 1 AS again,
+  regexp_matches(text, '[^ 	-
+]') AND seen = 1 AND NOT regexp_matches(text, '[.!?][ 	-
+]*\z') AS open FROM placed),
+r AS (SELECT *, CASE WHEN open THEN 1 ELSE 0 END AS more, blank OR again AS gone, role[1:1] AS k FROM kinds),
+walk AS (
+  SELECT conv_id, CAST(0 AS BIGINT) AS i, '000000000' AS v0, CAST(NULL AS VARCHAR) AS v1, '000000002I' AS v2, '000000004II' AS v3
+  FROM (SELECT DISTINCT conv_id FROM conversations)
+  UNION ALL
+  SELECT conv_id, i, v0, v1, {_inserted(["v0", "v1", "v2", "v3"])[0]}, {_inserted(["v0", "v1", "v2", "v3"])[1]}
+  FROM (SELECT w.conv_id, r.i, {_step("v0", "3", "D")} AS v0,
+    least({_step("v1", "3", "D")}, CASE WHEN NOT gone AND k = 's' THEN {_step("v0", "more", "K")} END) AS v1,
+    least({_step("v2", "3", "D")}, CASE WHEN NOT gone THEN least({", ".join(_step(v, "more + 2", "R") for v in ("v0", "v1", "v3"))}) END,
+      CASE WHEN NOT gone AND k = 'u' THEN least({", ".join(_step(v, "more", "K") for v in ("v0", "v1", "v3"))}) END) AS v2,
+    least({_step("v3", "3", "D")}, CASE WHEN NOT gone THEN {_step("v2", "more + 2", "R")} END,
+      CASE WHEN NOT gone AND k = 'a' THEN {_step("v2", "more", "K")} END) AS v3
+    FROM walk w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1)),
+best AS (SELECT conv_id, arg_max(least(v0, v3), i) AS v FROM (SELECT coalesce(conv_id, -1) AS g, * FROM walk) GROUP BY conv_id),
+edits AS (SELECT conv_id, v, k, v[9 + k:9 + k] AS e FROM (SELECT conv_id, v, unnest(range(1, len(v) - 8)) AS k FROM best)),
+places AS (SELECT *, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY k) AS i, count(*) FILTER (e <> 'D') OVER (PARTITION BY conv_id ORDER BY k) AS m FROM edits),
+filled AS (SELECT p.*, r.role, r.text, coalesce(bool_or(p.e = 'K' AND p.m = 1 AND r.k = 's') OVER (PARTITION BY p.conv_id), false) AS headed
+  FROM places p LEFT JOIN r ON r.conv_id IS NOT DISTINCT FROM p.conv_id AND r.i = p.i AND p.e <> 'I' WHERE p.e <> 'D'),
+done AS (SELECT conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (m - headed::INT) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN e = 'I' THEN '' ELSE text END,
+  chr(10) ORDER BY k)) AS h FROM filled GROUP BY conv_id),
+sums AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (again) AS duplicate,
+  count(*) FILTER (open) AS truncated, count(*) FILTER (before IS NOT NULL AND before[1:1] || k NOT IN ('su', 'ua', 'au')) AS illegal FROM r GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(b.v[1:9] AS BIGINT) AS cost, b.v[10:] AS audit, coalesce(h, sha256('')) AS repaired_sha256
+FROM best b LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN done d ON d.conv_id IS NOT DISTINCT FROM b.conv_id"""
+
+
+@query("op11_conversation_repair", OP11_SQL)
+def op11_conversation_repair(spark, path):
+    told = table(spark, path, "conversations")
+    return turns.repair(damage(told), told)
