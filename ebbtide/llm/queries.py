@@ -8,6 +8,7 @@ from ebbtide.llm import html, quality, stages, turns, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
 from ebbtide.llm.lines import dedup_lines
 from ebbtide.llm.near import near_duplicates
+from ebbtide.llm.negatives import hard_negatives
 from ebbtide.llm.privacy import pseudonymise
 from ebbtide.llm.substrings import remove_repeats
 from ebbtide.llm.common import table
@@ -242,3 +243,25 @@ FROM best b LEFT JOIN sums s ON s.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JO
 def op11_conversation_repair(spark, path):
     told = table(spark, path, "conversations")
     return turns.repair(damage(told), told)
+
+
+OP12_SQL = """
+WITH v AS (SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+  list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+a AS (SELECT * FROM v WHERE vec_id % 100 = 0),
+s AS (SELECT a.r, a.vec_id AS anchor_id, v.vec_id AS other, a.label = v.label AS same,
+  CAST(list_sum(list_transform(range(1, 1 + least(len(a.x), len(v.x))), lambda i: a.x[i] * v.x[i])) AS BIGINT) AS score FROM a JOIN v ON a.r <> v.r),
+p AS (SELECT r, anchor_id, other AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY r ORDER BY score DESC, other) AS place
+  FROM s WHERE same QUALIFY place <= 5),
+n AS (SELECT p.anchor_id, p.positive_id, p.positive_score, s.other AS negative_id, s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.r, p.place ORDER BY s.score DESC, s.other) AS rank FROM p JOIN s ON s.r = p.r AND NOT s.same
+  WHERE 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score QUALIFY rank <= 10)
+SELECT anchor_id, positive_id, CAST(rank AS INT) AS rank, negative_id, positive_score, negative_score FROM n"""
+
+
+@query("op12_hard_negatives", OP12_SQL)
+def op12_hard_negatives(spark, path):
+    rows = table(spark, path, "embeddings")
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
