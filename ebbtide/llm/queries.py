@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.llm import html, quality, stages, turns, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
+from ebbtide.llm.licenses import scan_licenses
 from ebbtide.llm.lines import dedup_lines
 from ebbtide.llm.near import near_duplicates
 from ebbtide.llm.negatives import hard_negatives
@@ -265,3 +266,8 @@ def op12_hard_negatives(spark, path):
     rows = table(spark, path, "embeddings")
     shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(rows.withColumn("label", shifted), F.col("vec_id") % 100 == 0)
+
+
+@query("op13_license_scan")
+def op13_license_scan(spark, path):
+    return scan_licenses(table(spark, path, "documents")).drop("spans")

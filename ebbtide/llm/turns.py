@@ -19,6 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ebbtide.llm.common import column, small_batches
 from ebbtide.runtime import materialize
@@ -313,18 +314,12 @@ def _apply(batches: Iterator[pa.RecordBatch], schema: pa.Schema, rows_out: bool)
         yield pa.RecordBatch.from_pylist(done, schema)
 
 
-def _arrow(schema: T.StructType) -> pa.Schema:
-    from pyspark.sql.pandas.types import to_arrow_schema
-
-    return to_arrow_schema(schema)
-
-
 def _stream(turns: DataFrame, out: str, rows_out: bool, among: DataFrame | None = None) -> DataFrame:
     small_batches(turns.sparkSession)
     rows = _rows(turns)
     key = T.StructType([T.StructField("conv_id", rows.schema["conv_id"].dataType)])
     part = T.StructType([*key, *T._parse_datatype_string(PART)])
-    parts_schema = _arrow(part)
+    parts_schema = to_arrow_schema(part)
     marked = materialize(_marked(rows))
     order = [F.asc_nulls_first(c) for c in ORDER]
     parts = marked.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(lambda b: _parts(b, parts_schema), part)
@@ -333,7 +328,7 @@ def _stream(turns: DataFrame, out: str, rows_out: bool, among: DataFrame | None
         ids = among.select(column(among, "conv_id").alias("conv_id")).distinct().withColumn("_kind", F.lit(0))
         both = both.unionByName(ids, allowMissingColumns=True)
     final = T.StructType([*key, *T._parse_datatype_string(out)])
-    final_schema = _arrow(final)
+    final_schema = to_arrow_schema(final)
     sort = [F.asc_nulls_first(c) for c in ("conv_id", "_kind", "_part", "turn", "role", "_digest")]
     return both.repartition("conv_id").sortWithinPartitions(*sort).mapInArrow(lambda b: _apply(b, final_schema, rows_out), final)
 
