@@ -12,6 +12,8 @@ import statistics
 import sys
 import time
 
+from pyspark.sql import functions as F
+
 from checks import streams
 from checks.registry import cohort, customers, history
 from ebbtide.features.build import feature_table
@@ -29,7 +31,7 @@ def main() -> None:
 
     # Input tables of the reference's own shape are prepared once; jobs read them as a run on stored tables would.
     h, c, k = (materialize(f(spark, path)) for f in (history, customers, cohort))
-    s = materialize(streams.streams(spark, path))
+    s = materialize(streams.streams(spark, path).withColumn("d", F.col("cust_id") * 104729 % 997 / F.lit(997.0)))
     m = materialize(
         feature_table(h, c, k, ["rfm"], with_demographics=False, winsorize=False).join(
             k, ["cust_id", "ref_date"]).select("cust_id", "ref_date", "churn", *_FEATURES))
@@ -42,7 +44,7 @@ def main() -> None:
         "rfm_scores": lambda: feature_table(h, c, k, ["rfm"], **{**kw, "relative": True}),
         "monthly_metrics": lambda: metrics.monthly_metrics(
             correlation.to_long(s, streams.ABC, [*streams.IDS, "y"]), ["model"], None),
-        "candidate_scoring": lambda: blend.score_candidates(s, streams.ABC, blend.simplex_grid(streams.ABC, 20), last_n=6),
+        "candidate_search": lambda: blend.best_candidates(s, _STREAMS, blend.simplex_grid(_STREAMS, 20), last_n=6),
         "rank_correlation": lambda: correlation.spearman_pairs(s, streams.ABC, streams.IDS),
         "fold_fit": lambda: oof.train_oof(m, _FEATURES, learner, last_n=1, seeds=(1,)).oof,
     }
@@ -61,6 +63,7 @@ def main() -> None:
     }))
 
 
+_STREAMS = [*streams.ABC, "d"]  # 1 771 weight vectors in steps of a twentieth
 _FEATURES = ["rfm_recency_days", "rfm_frequency_count", "rfm_monetary_value", "rfm_recency_exp_weighted",
              "rfm_frequency_count_3m", "rfm_monetary_value_6m"]
 

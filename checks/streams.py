@@ -51,7 +51,10 @@ l AS (SELECT cust_id, ref_date, y, 'a' AS model, CAST(a AS DOUBLE) AS p FROM s
 
 
 def metric_ctes(src: str, by: str, k: str = "greatest(1, round_even(0.1 * n, 0))", out: str = "mt", flip: bool = False) -> str:
-    """CTEs computing the ranking metrics of relation ``src`` per ``by`` straight from window functions."""
+    """CTEs computing the ranking metrics of relation ``src`` per ``by`` straight from window functions.
+
+    A flipped score is ordered as its negative: one minus a tiny score would tie with others in doubles.
+    """
     pb = f"PARTITION BY {by}" if by else ""
     gb = f"GROUP BY {by}" if by else ""
     sel = f"{by}, " if by else ""
@@ -62,7 +65,7 @@ def metric_ctes(src: str, by: str, k: str = "greatest(1, round_even(0.1 * n, 0))
             f"{out}_r AS (SELECT *, rank() OVER ({pb} ORDER BY p) + (count(*) OVER (PARTITION BY {sel}p) - 1) / 2.0 AS ar "
             f"FROM {src}), {out}_a AS (SELECT {sel}(sum(CASE WHEN y = 1 THEN ar END) - sum(y) * (sum(y) + 1) / 2.0) / "
             f"nullif(sum(y) * (count(*) - sum(y)), 0) AS auc0 FROM {out}_r {gb}), "
-            f"{out}_s AS (SELECT x.* REPLACE (CASE WHEN coalesce(auc0 < 0.5, false) THEN 1 - p ELSE p END AS p), "
+            f"{out}_s AS (SELECT x.* REPLACE (CASE WHEN coalesce(auc0 < 0.5, false) THEN -p ELSE p END AS p), "
             f"coalesce(auc0 < 0.5, false) AS flipped FROM {src} x JOIN {out}_a {using})")
         src = f"{out}_s"
     fl = ", any_value(flipped) AS flipped" if flip else ""

@@ -1,8 +1,8 @@
 """Blending score streams and searching blend weights.
 
-Streams are columns of one wide table keyed by (cust_id, ref_date). A search scores all candidate weight vectors
-of a round in one job: candidates are a bounded constant, each row emits one score per candidate, and equal
-scores are counted before anything is shuffled.
+Streams are columns of one wide table keyed by (cust_id, ref_date). A search bounds all candidate weight vectors of a round by counts
+and ranks only those that may be best (``search.py``). ``score_candidates`` ranks every candidate: each row emits one score per
+candidate, and equal scores are counted before anything is shuffled.
 """
 
 from __future__ import annotations
@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.periods import month_start
 from ebbtide.functions.safe import clip, logit, sigmoid
+from ebbtide.operators import search
 from ebbtide.operators.correlation import rank_columns
-from ebbtide.operators.metrics import last_months, monthly_composite, ranking_metrics
+from ebbtide.operators.metrics import last_months, monthly_composite, ranking_metrics, scored
+from ebbtide.operators.ranks import join_keys
 from ebbtide.runtime import materialize
 
 # Fixed values.
 KEYS = ("cust_id", "ref_date")
 EPS = 1e-9
-SCORE_DIGITS = 9
 BATCH = 20_000
 """Candidates that one job scores; more are scored in several."""
 GRID_STEPS = 20
@@ -160,23 +161,12 @@ def with_candidates(df: DataFrame, streams: Sequence[str], candidates: Sequence[
     return _blended(df.select("*", F.inline(table)), streams)
 
 
-def with_month_candidates(
-    df: DataFrame, streams: Sequence[str], candidates: Mapping[str, Sequence[Sequence[float]]]
-) -> DataFrame:
-    """The same with a candidate list per month (key ``yyyy-MM``); rows of other months are left out."""
-    text = json.dumps({m: [{"candidate": i, "w": list(w)} for i, w in enumerate(c)] for m, c in candidates.items()})
-    table = F.from_json(F.lit(text), "map<string,array<struct<candidate:int,w:array<double>>>>")
-    mine = F.try_element_at(table, F.date_format("month", "yyyy-MM"))
-    return _blended(df.select("*", F.inline(mine)), streams)
-
-
 def _blended(df: DataFrame, streams: Sequence[str]) -> DataFrame:
-    score = F.lit(0.0)
-    for i, s in enumerate(streams):
-        score = score + F.element_at("w", i + 1) * F.col(s)
-    # Rounded so that equal blends tie whatever the order of the additions.
-    keep = [c for c in df.columns if c not in (*streams, "w")]
-    return df.select(*keep, F.round(score, SCORE_DIGITS).alias("p"))
+    # The additions have one order everywhere, so equal blends tie bit by bit.
+    score = F.element_at("w", 1) * F.col(streams[0])
+    for i, s in enumerate(streams[1:], 2):
+        score = score + F.element_at("w", i) * F.col(s)
+    return df.select(*[c for c in df.columns if c not in (*streams, "w")], score.alias("p"))
 
 
 def score_candidates(
@@ -203,6 +193,31 @@ def best_per_month(scored: DataFrame, digits: int = 9) -> DataFrame:
     )
 
 
+def best_candidates(
+    df: DataFrame, streams: Sequence[str], candidates: Sequence[Sequence[float]], label: str = "y", last_n: int | None = None, top: int = 1
+) -> DataFrame:
+    """(month, candidate, metrics..., place): the best ``top`` candidates of each month, as ``score_candidates`` would find them.
+
+    Most candidates are ruled out by counts and never ranked.
+    """
+    rows = last_months(df, last_n) if last_n else df.withColumn("month", month_start(F.col("ref_date")))
+    rows = materialize(rows.select(*KEYS, F.date_format("month", "yyyy-MM").alias("_group"), F.col(label).alias("_y"), *streams))
+    months = [r._group for r in rows.select("_group").distinct().collect()]
+    found = search.search(rows, streams, {m: candidates for m in months}, KEYS, top)
+    return found.select(F.to_date(F.concat("_group", F.lit("-01"))).alias("month"), *[c for c in found.columns if c != "_group"])
+
+
+def best_weights(df: DataFrame, streams: Sequence[str], candidates: Sequence[Sequence[float]], top: int = 1, label: str = "y") -> DataFrame:
+    """(place, candidate, composite, model, w): the best ``top`` weight vectors over all rows, without a flip guard."""
+    rows = df.select(*KEYS, F.lit("all").alias("_group"), F.col(label).alias("_y"), *streams)
+    found = search.search(rows, streams, {"all": candidates}, KEYS, top, flip=False).select("place", "candidate", "composite")
+    text = json.dumps(list(map(list, candidates)))
+    chosen = F.element_at(F.from_json(F.lit(text), "array<array<double>>"), F.col("candidate") + 1)
+    names = F.array(*[F.lit(s) for s in streams])
+    pairs = F.inline(F.arrays_zip(names.alias("model"), chosen.alias("w")))
+    return found.select("place", "candidate", "composite", pairs)
+
+
 def month_weights(best: DataFrame, streams: Sequence[str], candidates: Sequence[Sequence[float]]) -> DataFrame:
     """Best candidates as (month, model, w)."""
     text = json.dumps(list(map(list, candidates)))
@@ -242,13 +257,11 @@ def search_per_month(
 ) -> DataFrame:
     """(month, model, w, composite) by rounds of coordinate lines and random draws around the best vector so far.
 
-    One job scores every candidate of every month in a round. Only the best vector per month comes back to the
+    One search takes every candidate of every month in a round. Only the best vector per month comes back to the
     driver. Several ``starts`` make it a multi-start climb.
     """
-    rows = materialize(
-        df.select(*KEYS, month_start(F.col("ref_date")).alias("month"), F.col(label).alias("y"), *streams)
-    )
-    months = [r.m for r in rows.select(F.date_format("month", "yyyy-MM").alias("m")).distinct().collect()]
+    rows = materialize(df.select(*KEYS, F.date_format("ref_date", "yyyy-MM").alias("_group"), F.col(label).alias("_y"), *streams))
+    months = [r.m for r in rows.select(F.col("_group").alias("m")).distinct().collect()]
     k, rng = len(streams), random.Random(seed)
     even = [1.0 / k] * k
     best: dict[str, tuple[float, list[float]]] = {}
@@ -263,15 +276,10 @@ def search_per_month(
                     pool.append([(1 - a) * w + (a if j == i else 0.0) for j, w in enumerate(centre)])
             pool += [_dirichlet(rng, [1.0 + 50.0 * w for w in centre]) for _ in range(draws)]
             candidates[m] = pool
-        # A month's candidates stay together: the best of a month is found in one job.
-        a_job = max(1, BATCH // max(map(len, candidates.values()), default=1))
-        for at in range(0, len(candidates), a_job):
-            some = dict(list(candidates.items())[at:at + a_job])
-            scored = ranking_metrics(with_month_candidates(rows, streams, some), ["month", "candidate"], flip=True)
-            for row in best_per_month(scored).collect():
-                m = row.month.strftime("%Y-%m")
-                if row.composite is not None and (m not in best or row.composite > best[m][0]):
-                    best[m] = (row.composite, candidates[m][row.candidate])
+        for row in search.search(rows, streams, candidates, KEYS).collect():
+            m = row._group
+            if row.composite is not None and (m not in best or row.composite > best[m][0]):
+                best[m] = (row.composite, candidates[m][row.candidate])
     out = [
         (f"{m}-01", s, (1 - pull) * w + pull / k, score)
         for m, (score, ws) in sorted(best.items())
@@ -281,15 +289,30 @@ def search_per_month(
     return made.withColumn("month", F.col("month").cast("date"))
 
 
-def powers_table(df: DataFrame, powers: Sequence[float], fn, score: str = "p") -> DataFrame:
-    """Each row once per parameter with the transformed score; parameters are positions in ``powers``."""
-    text = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(float(g)).alias("gamma")) for i, g in enumerate(powers)])
-    out = df.select("*", F.inline(text))
-    return out.withColumn(score, F.round(fn(F.col(score), F.col("gamma")), SCORE_DIGITS))
+def sweep(df: DataFrame, by: Sequence[str], values: Sequence[float], fn, last_n: int = 6) -> DataFrame:
+    """(by, candidate, gamma, composite) of ``fn(p, gamma)``, never falling in p for a positive gamma; monthly composite over the last months.
+
+    Such a transform keeps the order, so metrics change only where it merges scores. Scores are counted once, the distinct ones are
+    transformed, and only months and values in which some of them merge are ranked again.
+    """
+    rows = materialize(scored(last_months(df, last_n), "p", "y").select(*by, "month", *KEYS, "p", "y"))
+    table = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(float(g)).alias("gamma")) for i, g in enumerate(values)])
+    plain = ranking_metrics(rows, [*by, "month"], flip=True).select(*by, "month", "composite")
+    spread = rows.select(*by, "month", "p").distinct().select(*by, "month", "p", F.inline(table))
+    left = spread.withColumn("_q", fn(F.col("p"), F.col("gamma"))).groupBy(*by, "month", "candidate", "gamma")
+    # One row per group, month and value.
+    merged = materialize(left.agg(((F.count("p") > F.count_distinct("_q")) | (F.col("gamma") <= 0)).alias("_merged")))
+    out = join_keys(merged.where("NOT _merged"), plain, [*by, "month"])
+    again = materialize(merged.where("_merged").drop("_merged"))
+    if not again.isEmpty():
+        copies = join_keys(rows, again, [*by, "month"]).withColumn("p", fn(F.col("p"), F.col("gamma")))
+        copies = ranking_metrics(copies, [*by, "month", "candidate", "gamma"], flip=True)
+        out = out.select(*by, "month", "candidate", "gamma", "composite").unionByName(copies.select(*by, "month", "candidate", "gamma", "composite"))
+    return out.groupBy(*by, "candidate", "gamma").agg(F.avg("composite").alias("composite"))
 
 
 def gamma_sweep(df: DataFrame, gammas: Sequence[float] = GAMMAS, kind: str = "power", last_n: int = 6) -> DataFrame:
-    """(gamma, composite) of p ** gamma, or of the logit scaled by gamma; monthly composite over the last months."""
+    """(candidate, gamma, composite) of p ** gamma, or of the logit scaled by gamma; monthly composite over the last months."""
 
     def power(p: Column, g: Column) -> Column:
         return clip(F.pow(clip(p, 1e-6, 1 - 1e-6), g), 1e-6, 1 - 1e-6)
@@ -297,8 +320,7 @@ def gamma_sweep(df: DataFrame, gammas: Sequence[float] = GAMMAS, kind: str = "po
     def temperature(p: Column, g: Column) -> Column:
         return sigmoid(g * logit(p))
 
-    spread = powers_table(df, gammas, power if kind == "power" else temperature)
-    return monthly_composite(spread, ["candidate", "gamma"], last_n).select("candidate", "gamma", "composite")
+    return sweep(df, [], gammas, power if kind == "power" else temperature, last_n)
 
 
 def best_gamma(sweep: DataFrame, digits: int = 9) -> DataFrame:
@@ -309,7 +331,7 @@ def best_gamma(sweep: DataFrame, digits: int = 9) -> DataFrame:
 def compare_strategies(df: DataFrame, blends: Mapping[str, Column], last_n: int = 6, label: str = "y") -> DataFrame:
     """(strategy, composite), best first. Every strategy is a column, scored together in one job."""
     entries = F.array(*[
-        F.struct(F.lit(n).alias("strategy"), F.round(c, SCORE_DIGITS).alias("p")) for n, c in blends.items()
+        F.struct(F.lit(n).alias("strategy"), c.alias("p")) for n, c in blends.items()
     ])
     long = df.select(*KEYS, F.col(label).alias("y"), F.inline(entries))
     return monthly_composite(long, ["strategy"], last_n).select("strategy", "composite").orderBy(

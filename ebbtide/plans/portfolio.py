@@ -6,10 +6,10 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from itertools import product
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.operators.blend import SCORE_DIGITS, rank_space, weighted
+from ebbtide.operators.blend import rank_space, sweep, weighted
 from ebbtide.operators.metrics import auc, monthly_composite, ranking_metrics
 from ebbtide.plans import calibration
 from ebbtide.runtime import materialize
@@ -64,7 +64,7 @@ def build(
     """(id, signature, weights, share, ranks, calibration, gamma, composite) of the kept variants, best first.
 
     ``oof`` is wide: keys, y, one column per stream. Each (blend, calibration) is fitted once; all gammas of all
-    variants are then scored in one job.
+    variants are then swept in one job, on counts.
     """
     streams = [c for c in oof.columns if c not in (*KEYS, "y")]
     oof = materialize(oof)
@@ -74,7 +74,7 @@ def build(
     todo = blends(templates, first_stage, shares, rank_modes)
     stacked, rows = None, []
     for i, b in enumerate(todo):
-        p = spaces[b.ranks].select(*KEYS, "y", F.round(weighted(dict(b.weights)), SCORE_DIGITS).alias("p"))
+        p = spaces[b.ranks].select(*KEYS, "y", weighted(dict(b.weights)).alias("p"))
         low = auc(p).first().auc
         if low is not None and low < 0.5:
             p = p.withColumn("p", F.lit(1.0) - F.col("p"))
@@ -83,11 +83,10 @@ def build(
             part = c.select(*KEYS, "y", "p", F.lit(i).alias("blend"), F.lit(m).alias("calibration"))
             stacked = part if stacked is None else stacked.unionByName(part)
         rows.append((i, b.signature, dict(b.weights), b.share, b.ranks))
-    gamma = F.explode(F.array(*[F.lit(float(g)) for g in gammas])).alias("gamma")
-    spread = materialize(stacked).select("*", gamma).withColumn(
-        "p", F.round(calibration.clip(F.pow("p", "gamma"), calibration.EPS, 1.0 - calibration.EPS), SCORE_DIGITS)
-    )
-    scored = monthly_composite(spread, ["blend", "calibration", "gamma"], last_n)
+    def power(p: Column, g: Column) -> Column:
+        return calibration.clip(F.pow(p, g), calibration.EPS, 1.0 - calibration.EPS)
+
+    scored = sweep(materialize(stacked), ["blend", "calibration"], gammas, power, last_n).drop("candidate")
     names = oof.sparkSession.createDataFrame(
         rows, "blend int, signature string, weights map<string,double>, share double, ranks boolean"
     )
@@ -114,10 +113,10 @@ def rescore(oof: DataFrame, variants: DataFrame, last_n: int = 6) -> DataFrame:
     parsed = variants.withColumn("w", F.from_json("weights", "map<string,double>")).collect()
     oof, stacked = materialize(oof), None
     for v in parsed:
-        p = oof.select(*KEYS, "y", F.round(weighted(v.w, [c for c in oof.columns if c in v.w]), SCORE_DIGITS).alias("p"))
+        p = oof.select(*KEYS, "y", weighted(v.w, [c for c in oof.columns if c in v.w]).alias("p"))
         if v.calibration != "none":
             p = calibration.fit(p, v.calibration).apply(p, raw_share=calibration.RAW_SHARE)
-        p = p.withColumn("p", F.round(calibration.power(F.col("p"), v.gamma), SCORE_DIGITS))
+        p = p.withColumn("p", calibration.power(F.col("p"), v.gamma))
         part = p.select(*KEYS, "y", "p", F.lit(v.id).alias("id"))
         stacked = part if stacked is None else stacked.unionByName(part)
     stacked = materialize(stacked)
@@ -136,7 +135,7 @@ def emit(test: DataFrame, oof: DataFrame, variants: DataFrame) -> DataFrame:
         spaces[True] = (materialize(rank_space(oof, streams)), materialize(rank_space(test, streams)))
     for i, v in enumerate(picked, 1):
         side_o, side_t = spaces[v.ranks]
-        mix = F.round(weighted(v.weights), SCORE_DIGITS).alias("p")
+        mix = weighted(v.weights).alias("p")
         a, b = side_o.select(*KEYS, "y", mix), side_t.select(*KEYS, mix)
         low = auc(a).first().auc
         if low is not None and low < 0.5:
