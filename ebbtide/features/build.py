@@ -13,7 +13,8 @@ from ebbtide.features.demographics import demographics
 from ebbtide.features.panel import KEYS, Aggregates, aggregate, point_in_time
 from ebbtide.functions.periods import month_number
 from ebbtide.functions.safe import SENTINEL, fill
-from ebbtide.operators.ranks import average_ranks, percentiles
+from ebbtide.operators.quantiles import column_percentiles
+from ebbtide.operators.ranks import average_ranks
 from ebbtide.runtime import materialize
 
 FAMILIES = {
@@ -51,23 +52,6 @@ def winsor_targets(columns: Sequence[str]) -> list[str]:
     return [c for c in columns if "trend" in c.lower() or "ratio" in c.lower() or "_DIV_" in c]
 
 
-def group_percentiles(
-    df: DataFrame, by: Sequence[str], values: dict[str, Column], probs: Sequence[float]
-) -> DataFrame:
-    """Percentiles of many columns in one job: one row per group, columns ``q:<name>`` (array) and ``n:<name>``.
-
-    The columns are laid out in long form, counted per value, and placed by the distributed order statistics.
-    """
-    entries = F.array(*[F.struct(F.lit(n).alias("var"), c.cast("double").alias("x")) for n, c in values.items()])
-    long = df.select(*by, F.inline(entries)).where(F.col("x").isNotNull())
-    q = percentiles(long, [*by, "var"], "x", probs, "q", count="n")
-    mine = [(n, F.col("var") == n) for n in values]
-    return q.groupBy(*by).agg(
-        *[F.first(F.when(c, F.col("q")), ignorenulls=True).alias(f"q:{n}") for n, c in mine],
-        *[F.first(F.when(c, F.col("n")), ignorenulls=True).alias(f"n:{n}") for n, c in mine],
-    )
-
-
 def feature_table(
     history: DataFrame,
     customers: DataFrame,
@@ -201,7 +185,7 @@ def _cohort_relative(table: DataFrame, relative: set[str], clipped: list[str], o
         enough = F.col(f"`n:{c}`") >= WINSOR_MIN
         small[f"_lo_{i}"] = F.when(enough, q(c, WINSOR[0])).otherwise(F.lit(float("-inf")))
         small[f"_hi_{i}"] = F.when(enough, q(c, WINSOR[1])).otherwise(F.lit(float("inf")))
-    stats = group_percentiles(table, ["ref_date"], values, probs)
+    stats = column_percentiles(table, "ref_date", values, probs)
     stats = materialize(stats.select("ref_date", *[c.alias(n) for n, c in small.items()]))
     out = table.join(stats, "ref_date", "left")
 
