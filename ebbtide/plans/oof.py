@@ -25,6 +25,7 @@ from ebbtide.functions.safe import sigmoid
 from ebbtide.operators import folds as fold_ops
 from ebbtide.operators.metrics import flip_guard, monthly_composite
 from ebbtide.operators.ranks import row_numbers
+from ebbtide.plans.newton import NewtonBooster
 from ebbtide.runtime import materialize
 
 KEYS = ["cust_id", "ref_date"]
@@ -35,7 +36,7 @@ POSITIVE_WEIGHT = 8.0
 
 @dataclass(frozen=True)
 class Learner:
-    """What to fit. ``kind``: gbt, forest, logistic or ridge; ``params`` go to the Spark ML estimator."""
+    """What to fit. ``kind``: gbt, newton, forest, logistic or ridge; ``params`` go to the estimator."""
 
     kind: str = "gbt"
     params: dict = field(default_factory=dict)
@@ -48,6 +49,8 @@ class Learner:
                     "featureSubsetStrategy": "0.8", "minInstancesPerNode": 20, "seed": seed}
             stop = {"validationIndicatorCol": "is_valid"} if self.early_stop else {}
             return GBTClassifier(**common, **{**base, **stop, **self.params})
+        if self.kind == "newton":
+            return NewtonBooster(**{"seed": seed, "patience": 10 if self.early_stop else 0, **self.params})
         if self.kind == "forest":
             base = {"numTrees": 50, "maxDepth": 8, "subsamplingRate": 0.8, "minInstancesPerNode": 20, "seed": seed}
             return RandomForestClassifier(**common, **{**base, **self.params})
@@ -64,6 +67,8 @@ class Learner:
     def score(self, transformed: DataFrame) -> Column:
         if self.kind == "ridge":
             return sigmoid(F.col("prediction"))
+        if self.kind == "newton":
+            return F.col("score")
         return vector_to_array(F.col("probability"))[1]
 
 
