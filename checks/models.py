@@ -20,7 +20,7 @@ from ebbtide.functions.safe import clip
 from ebbtide.operators import blend, folds, metrics
 from ebbtide.operators.metrics import monthly_composite
 from ebbtide.operators.ranks import row_numbers
-from ebbtide.plans import calibration, drift, oof, portfolio, stacking, store
+from ebbtide.plans import calibration, drift, newton, oof, portfolio, stacking, store
 from ebbtide.runtime import materialize, scratch_dir
 from ebbtide.sources import adapters
 
@@ -61,8 +61,50 @@ def last_rows(n: int, label: str = ", churn AS y") -> str:
 
 
 query("j1_boosted_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, GBT, last_n=2, seeds=(1, 11)).oof))
-query("j2_second_boosted_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(
-    matrix(s, p), FEATURES, oof.Learner("gbt", {**SMALL, "maxDepth": 4, "subsamplingRate": 0.6}, early_stop=True), last_n=2, seeds=(1,)).oof))
+SECOND = oof.Learner("newton", {"rounds": 3, "depth": 3, "rate": 0.3})
+query("j2_second_boosted_oof", last_rows(6))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, SECOND, seeds=(1,)).oof))
+
+TREE = newton.NewtonBooster(rounds=1, depth=2, rate=0.1, bins=16, row_share=1.0, column_share=1.0)
+SOFT = f"pow(greatest(abs({{g}}) - {TREE.l1}, 0), 2) / ({{h}} + {TREE.l2})"
+VALUE = f"-{TREE.rate} * sign({{g}}) * greatest(abs({{g}}) - {TREE.l1}, 0) / ({{h}} + {TREE.l2})"
+
+
+def tree_sql() -> str:
+    """The first tree level by level: sums per (node, feature, bin), every split's gain, the best one."""
+    probs = ", ".join(str(i / TREE.bins) for i in range(1, TREE.bins))
+    ctes = [
+        "x AS (SELECT row_number() OVER () AS id, y, a, b, c, (SELECT avg(y) FROM s) AS p FROM s)",
+        "e AS (" + " UNION ALL ".join(f"SELECT {i} AS f, list_sort(list_distinct(quantile_cont(CAST({x} AS DOUBLE), [{probs}]))) AS e FROM x" for i, x in enumerate(ABC)) + ")",
+        "r AS (" + " UNION ALL ".join(f"SELECT id, {i} AS f, CAST({x} AS DOUBLE) AS v FROM x" for i, x in enumerate(ABC)) + ")",
+        "d AS (SELECT id, f, e, len(list_filter(e, lambda z: z <= v)) AS code FROM r JOIN e USING (f))",
+        "n0 AS (SELECT id, p - y AS g, p * (1 - p) AS h, 0 AS node FROM x)",
+    ]
+    nodes = [f"SELECT 0 AS node, {VALUE.format(g='sum(g)', h='sum(h)')} AS value FROM n0"]
+    for i in range(TREE.depth):
+        gain = f"{SOFT.format(g='gl', h='hl')} + {SOFT.format(g='(gt - gl)', h='(ht - hl)')} - {SOFT.format(g='gt', h='ht')}"
+        ctes += [
+            f"h{i} AS (SELECT node, f, code, any_value(e) AS e, sum(g) AS g, sum(h) AS h FROM n{i} JOIN d USING (id) GROUP BY node, f, code)",
+            f"c{i} AS (SELECT *, sum(g) OVER u AS gl, sum(h) OVER u AS hl, sum(g) OVER (PARTITION BY node, f) AS gt, sum(h) OVER (PARTITION BY node, f) AS ht "
+            f"FROM h{i} WINDOW u AS (PARTITION BY node, f ORDER BY code))",
+            f"s{i} AS (SELECT *, round({gain}, 9) AS gain FROM c{i} WHERE hl >= {TREE.child} AND ht - hl >= {TREE.child})",
+            f"b{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, code) AS r FROM s{i}) WHERE r = 1 AND gain > {newton.LEAST_GAIN})",
+            f"n{i + 1} AS (SELECT n.id, n.g, n.h, 2 * n.node + CASE WHEN d.code <= b.code THEN 1 ELSE 2 END AS node FROM n{i} n JOIN b{i} b USING (node) JOIN d ON d.id = n.id AND d.f = b.f)",
+        ]
+        nodes += [f"SELECT 2 * node + 1, {VALUE.format(g='gl', h='hl')} FROM b{i}", f"SELECT 2 * node + 2, {VALUE.format(g='(gt - gl)', h='(ht - hl)')} FROM b{i}"]
+    splits = " UNION ALL ".join(f"SELECT node, f, e[code + 1] AS threshold, gain FROM b{i}" for i in range(TREE.depth))
+    return (f"{S}, {', '.join(ctes)}, v AS ({' UNION ALL '.join(nodes)}), q AS ({splits}) SELECT CAST(node AS INTEGER) AS node, CAST(coalesce(f, -1) AS INTEGER) AS feature, "
+            "round(coalesce(threshold, 0.0), 6) + 0.0 AS threshold, round(coalesce(gain, 0.0), 6) + 0.0 AS gain, round(value, 6) + 0.0 AS value FROM v LEFT JOIN q USING (node)")
+
+
+@query("j2_newton_first_tree", tree_sql())
+def j2_newton_first_tree(spark, path):
+    """Splits, gains and values of the first tree on the three streams."""
+    tree = TREE.fit(oof.assemble(meta(spark, path), ABC)).trees[0]
+    inner = {2 * i + side for i, f in enumerate(tree.feature.tolist()) if f >= 0 for side in (1, 2)} | {0}
+    rows = [(i, int(tree.feature[i]), float(tree.threshold[i]), float(tree.gain[i]), float(tree.value[i])) for i in sorted(inner)]
+    return rnd(spark.createDataFrame(rows, "node int, feature int, threshold double, gain double, value double"))
+
+
 FOREST = oof.Learner("forest", {"numTrees": 8, "maxDepth": 4})
 query("j3_forest_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2)).oof))
 query("j4_rank_averaged_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2), average="rank").oof))
