@@ -9,15 +9,20 @@ where they are and skipped when they come up. Encoding a pre-token of n bytes ta
 from __future__ import annotations
 
 import base64
+import hashlib
+import struct
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ebbtide.llm.common import small_batches
 
@@ -68,6 +73,16 @@ class RankQueue:
         return rank, bucket[0]
 
 
+class Recent(dict):
+    """Packed ids of the pre-tokens met of late; one it does not hold is looked up by its encoder."""
+
+    def __init__(self, encoder: Encoder) -> None:
+        self.encoder = encoder
+
+    def __missing__(self, piece: str) -> bytes:
+        return self.encoder.recall(piece)
+
+
 class Encoder:
     """Encoding and decoding by a rank file, one base64 token and its rank a line."""
 
@@ -76,8 +91,7 @@ class Encoder:
         self.longest = max(map(len, ranks))
         self.tokens = {r: t for t, r in ranks.items()}
         self.queue = RankQueue(max(ranks.values()) + 1)
-        self.young: dict[str, tuple[int, ...]] = {}
-        self.old: dict[str, tuple[int, ...]] = {}
+        self.young, self.old = Recent(self), {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
@@ -117,22 +131,24 @@ class Encoder:
             i = end[i]
         return ids
 
-    def recall(self, piece: str) -> tuple[int, ...]:
-        """Ids of a pre-token that the young generation does not hold."""
+    def recall(self, piece: str) -> bytes:
+        """Packed ids of a pre-token that the young generation does not hold."""
         ids = self.old.get(piece)
         if ids is None:
-            ids = tuple(self.merge(piece.encode()))
+            found = self.merge(piece.encode())
+            ids = struct.pack(f"<{len(found)}I", *found)
         if len(piece) <= CACHE_CHARS:
             if len(self.young) >= CACHE_ENTRIES:
-                self.old, self.young = self.young, {}
+                self.old, self.young = self.young, Recent(self)
             self.young[piece] = ids
         return ids
 
+    def packed(self, text: str) -> bytes:
+        """Ids of a text as little-endian unsigned 32-bit integers."""
+        return b"".join(map(self.young.__getitem__, self.split.findall(text)))
+
     def encode(self, text: str) -> np.ndarray:
-        ids: list[int] = []
-        for piece in self.split.findall(text):
-            ids.extend(self.young.get(piece) or self.recall(piece))
-        return np.array(ids, "<u4")
+        return np.frombuffer(self.packed(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids.tolist()))
@@ -155,7 +171,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id",
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = load(vocabulary, pattern)
         for b in batches:
-            yield pd.DataFrame({"_key": b["_key"], "token_ids": [encoder.encode(t).tobytes() for t in b["_text"]]})
+            yield pd.DataFrame({"_key": b["_key"], "token_ids": [encoder.packed(t) for t in b["_text"]]})
 
     given = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     kind = given.schema["_key"].dataType.simpleString()
@@ -173,3 +189,31 @@ def decode(encoded: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id
     given = encoded.select(F.col(key).alias("_key"), "token_ids")
     kind = given.schema["_key"].dataType.simpleString()
     return given.mapInPandas(run, f"_key {kind}, token_ids binary, decoded binary").withColumnRenamed("_key", key)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, pattern: str, key: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
+    """``key``, n_tokens, ids_sha256, decoded_sha256 and, unless left out, token_ids: texts encoded and their ids decoded, in one pass.
+
+    Rows as in ``encode``. The digests are of the packed ids and of the bytes that those ids stand for.
+    """
+    small_batches(docs.sparkSession)
+    given = docs.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    out = T.StructType([given.schema["_key"], *T._parse_datatype_string("n_tokens long, ids_sha256 string, decoded_sha256 string")])
+    out = out.add("token_ids", "binary") if with_ids else out
+    schema = to_arrow_schema(out)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = load(vocabulary, pattern)
+        for b in batches:
+            ids, n, coded, decoded = [], [], [], []
+            for t in b["_text"]:
+                packed = encoder.packed(t.as_py())
+                n.append(len(packed) // 4)
+                coded.append(hashlib.sha256(packed).hexdigest())
+                decoded.append(hashlib.sha256(encoder.decode(np.frombuffer(packed, "<u4"))).hexdigest())
+                if with_ids:
+                    ids.append(packed)
+            columns = [b["_key"], pa.array(n, pa.int64()), pa.array(coded, pa.string()), pa.array(decoded, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.binary())] * with_ids, schema=schema)
+
+    return given.mapInArrow(run, out).withColumnRenamed("_key", key)

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import functions as F
 
-from ebbtide.llm import html, quality, stages, turns, urls, warc
+from ebbtide.llm import bpe, html, quality, stages, turns, urls, warc
 from ebbtide.llm.decontaminate import decontaminate
 from ebbtide.llm.licenses import scan_licenses
 from ebbtide.llm.lines import dedup_lines
@@ -31,7 +32,8 @@ def query(name: str, sql: str | None = None):
 
 @query("op8_byte_bpe")
 def op8_byte_bpe(spark, path):
-    return stages.byte_bpe(spark, table(spark, path, "documents"), path).drop("token_ids")
+    ranks = public_tokenizers.path(stages.BPE_RANKS)
+    return bpe.round_trip(table(spark, path, "documents"), ranks, public_tokenizers.PATTERN, with_ids=False)
 
 
 _HOST = r"translate(regexp_extract({u}, '^(?s:.*?)://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -60,9 +60,5 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, token_ids and the digests of the ids and of what they decode to."""
-    ranks = public_tokenizers.path(BPE_RANKS)
-    both = bpe.decode(bpe.encode(docs, ranks, public_tokenizers.PATTERN), ranks, public_tokenizers.PATTERN)
-    return both.select(
-        "doc_id", (F.octet_length("token_ids") / 4).cast("long").alias("n_tokens"), F.sha2("token_ids", 256).alias("ids_sha256"),
-        F.sha2("decoded", 256).alias("decoded_sha256"), "token_ids")
+    """doc_id, n_tokens, the digests of the ids and of what they decode to, token_ids; a null text has no tokens, repeated rows stay."""
+    return bpe.round_trip(docs, public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN)

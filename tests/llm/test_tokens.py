@@ -1,5 +1,7 @@
 """Byte-level BPE against the tiktoken library, and exact round trips."""
 
+import hashlib
+
 import numpy as np
 import public_tokenizers as P
 import pytest
@@ -49,3 +51,16 @@ def test_odd_rows(odd, none, library):
     got = [(r.doc_id, np.frombuffer(r.token_ids, "<u4").tolist(), bytes(r.decoded)) for r in out.collect()]
     assert counted(got) == counted(want)
     assert bpe.encode(none, RANKS, P.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("with_ids", [True, False])
+def test_round_trip_of_odd_rows(odd, none, library, with_ids):
+    def digest(x):
+        return hashlib.sha256(x).hexdigest()
+
+    want = []
+    for r in odd.select("doc_id", "text").collect():
+        ids = np.array(library.encode_ordinary(r.text or ""), "<u4").tobytes()
+        want.append((r.doc_id, len(ids) // 4, digest(ids), digest((r.text or "").encode()), *[bytearray(ids)] * with_ids))
+    assert counted(bpe.round_trip(odd, RANKS, P.PATTERN, with_ids=with_ids).collect()) == counted(want)
+    assert bpe.round_trip(none, RANKS, P.PATTERN, with_ids=with_ids).count() == 0
