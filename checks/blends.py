@@ -253,6 +253,16 @@ query("g17_quartile_segments", f"WITH {CUSTOMERS_SQL.strip()}, {QUART} SELECT cu
     lambda s, p: quantile_segments(customers(s, p).select("cust_id", "tenure"), "tenure", "seg").select("cust_id", "seg"))
 query("k16_segment_weights")(lambda s, p: s.createDataFrame(sorted(
     blend.segment_weights(segmented(s, p), ABC, ["seg"]).items()), "model string, w double"))
+LEAST = "(SELECT CAST(count(*) / 4 AS BIGINT) FROM s)"
+
+
+@query("k16_skipped", f"{S}, {CUSTOMERS_SQL.strip()}, {QUART} SELECT seg, count(*) AS n FROM s JOIN sg4 USING (cust_id) GROUP BY seg HAVING count(*) < {LEAST}")
+def k16_skipped(spark, path):
+    """Segments smaller than a quarter of the rows."""
+    rows = segmented(spark, path)
+    return blend.skipped_segments(rows, ABC, ["seg"], round(streams(spark, path).count() / 4))
+
+
 query("k16_gram", f"{S}, {CUSTOMERS_SQL.strip()}, {QUART} SELECT seg, count(*) AS n, " + ", ".join(
     f"round(sum({x} * {y}), 4) + 0.0 AS g{i}_{j}" for i, x in enumerate(ABC) for j, y in enumerate(ABC) if i <= j)
     + ", " + ", ".join(f"round(sum({x} * y), 4) + 0.0 AS b{i}" for i, x in enumerate(ABC)) + " FROM s JOIN sg4 USING (cust_id) GROUP BY seg")(

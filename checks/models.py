@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -206,6 +207,25 @@ def k1_meta_features(spark, path):
 
 
 query("k2_month_stacker", last_rows(6))(lambda s, p: inside(stacking.month_stacker(meta(s, p), ABC, last_n=6).oof))
+@query("k2_penalty", f"{S}, m AS (SELECT DISTINCT date_trunc('month', ref_date)::DATE AS month FROM s), f AS (SELECT month AS fold FROM m ORDER BY 1 DESC LIMIT 6) "
+       "SELECT strftime(fold, '%Y-%m') AS fold, count(*) AS n, true AS optimal FROM f JOIN s ON date_diff('month', date_trunc('month', ref_date)::DATE, fold) >= 2 GROUP BY fold")
+def k2_penalty(spark, path):
+    """The stacker of every month meets the first-order conditions of a sum of losses plus half the squared coefficients (c = 1)."""
+    rows = materialize(oof.assemble(meta(spark, path), ABC).withColumn("x", vector_to_array("features")))
+    got, out = stacking.month_stacker(meta(spark, path), ABC), []
+    for split in oof.month_splits(rows):
+        scaler, model = next(m for f, _, m in got.models if f == split.name).stages
+        b, z = model.coefficients, [(F.col("x")[i] - float(scaler.mean[i])) / float(scaler.std[i]) for i in range(len(ABC))]
+        margin = F.lit(float(model.intercept))
+        for i, x in enumerate(z):
+            margin = margin + float(b[i]) * x
+        off = 1 / (1 + F.exp(-margin)) - F.col("y")
+        sums = rows.where(split.train).agg(F.count(F.lit(1)).alias("n"), F.sum(off).alias("g"), *[F.sum(off * x).alias(f"g{i}") for i, x in enumerate(z)]).first()
+        steep = max(abs(sums.g), *[abs(sums[f"g{i}"] + float(b[i])) for i in range(len(ABC))])
+        out.append((split.name, sums.n, steep < 1e-3 * sums.n ** 0.5))
+    return spark.createDataFrame(out, "fold string, n long, optimal boolean")
+
+
 query("k3_kfold_stacker", last_rows(99))(lambda s, p: inside(stacking.kfold_stacker(meta(s, p), ABC, k=5).oof))
 query("k3_compare_stackers")(lambda s, p: stacking.compare_stackers(meta(s, p), ["a", "b"], ["c"], GBT, 2))
 query("k4_forward_stacker")(lambda s, p: stacking.forward_stacker(meta(s, p), ABC, (0.1, 1.0), 3)[0].oof)

@@ -352,6 +352,22 @@ query("h6_grouped_folds", f"WITH {COHORT_SQL.strip()}, d AS (SELECT *, CASE WHEN
       "% 5 AS INTEGER) AS fold FROM d")(
     lambda s, p: folds.grouped_folds(cohort(s, p).withColumn("domain", (F.col("ref_date") >= "2000-11-01").cast("int")), "domain", IDS)
     .select(*IDS, "domain", "fold"))
+FILL = "pos / CAST(greatest(sum(pos) OVER (), 1) AS DOUBLE) + neg / CAST(greatest(sum(neg) OVER (), 1) AS DOUBLE)"
+
+
+@query("h6_stratified_group_folds", f"WITH RECURSIVE {COHORT_SQL.strip()}, c AS (SELECT ref_date, count(*) AS n, count(*) FILTER (churn = 1) AS pos, count(*) FILTER (churn = 0) AS neg "
+       f"FROM cohort GROUP BY ref_date), o AS (SELECT ref_date, n, pos, neg, {FILL} AS fill, row_number() OVER (ORDER BY n DESC, ref_date) AS i FROM c), "
+       "g AS (SELECT CAST(0 AS BIGINT) AS i, CAST(NULL AS DATE) AS ref_date, CAST(0 AS BIGINT) AS at, [0.0::DOUBLE, 0.0, 0.0, 0.0, 0.0] AS filled UNION ALL "
+       "SELECT o.i, CAST(o.ref_date AS DATE), CAST(list_position(filled, list_min(filled)) AS BIGINT), list_transform(filled, lambda x, j: x + CASE WHEN j = list_position(filled, list_min(filled)) "
+       "THEN o.fill ELSE 0 END) FROM g JOIN o ON o.i = g.i + 1) SELECT CAST(g.at - 1 AS INTEGER) AS fold, CAST(sum(n) AS BIGINT) AS n, CAST(sum(pos) AS BIGINT) AS positives, count(*) AS months "
+       "FROM g JOIN o USING (i) GROUP BY g.at")
+def h6_stratified_group_folds(spark, path):
+    """Rows, positives and months of each fold; no month is split."""
+    got = folds.stratified_group_folds(cohort(spark, path), "churn", "ref_date")
+    return got.groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("churn").cast("long")).alias("positives"), F.count_distinct("ref_date").alias("months"))
+
+
 query("h7_forward_tiles", f"WITH {COHORT_SQL.strip()}, o AS (SELECT *, row_number() OVER (ORDER BY ref_date, cust_id) AS rn, count(*) OVER () AS n FROM cohort), "
       "z AS (SELECT *, n // 6 AS w, n - (n // 6) * 5 AS st FROM o) SELECT cust_id, ref_date, CAST(CASE WHEN rn <= st THEN 0 ELSE (rn - 1 - st) // w + 1 END "
       "AS INTEGER) AS tile FROM z")(

@@ -385,18 +385,27 @@ def _fit(df: DataFrame, streams: Sequence[str], segments: Sequence[str], l2: flo
     return sums.drop(*segments).mapInPandas(solve, "n long, model string, w double")
 
 
+def least_rows(streams: Sequence[str]) -> int:
+    return max(200, 50 * len(streams))
+
+
 def segment_weights(
-    df: DataFrame, streams: Sequence[str], segments: Sequence[str], l2: float = 1e-3, label: str = "y"
+    df: DataFrame, streams: Sequence[str], segments: Sequence[str], l2: float = 1e-3, label: str = "y", least: int | None = None
 ) -> dict[str, float]:
     """Blend weights as the size-weighted mean of per-segment non-negative ridge fits.
 
-    Segments below max(200, 50 per stream) rows are skipped; with none left the global fit is used. Rows are reduced
-    to k-by-k sums per segment, the sums are solved in the tasks that hold them, and one weight per stream comes back.
+    Segments below ``least`` rows (max(200, 50 per stream)) are skipped, ``skipped_segments`` names them; with none left the global fit is
+    used. Rows are reduced to k-by-k sums per segment, the sums are solved in the tasks that hold them, and one weight per stream comes back.
     """
-    least = max(200, 50 * len(streams))
-    fitted = materialize(_fit(df, streams, segments, l2, label, least))
+    fitted = materialize(_fit(df, streams, segments, l2, label, least_rows(streams) if least is None else least))
     if fitted.isEmpty():
         fitted = _fit(df, streams, [], l2, label, 0)
     mixed = fitted.groupBy("model").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w")).collect()
     total = sum(r.w for r in mixed)
     return {r.model: r.w / total for r in mixed}
+
+
+def skipped_segments(df: DataFrame, streams: Sequence[str], segments: Sequence[str], least: int | None = None) -> DataFrame:
+    """(segments..., n): the segments that ``segment_weights`` leaves out, with their rows."""
+    sizes = df.groupBy(*segments).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.where(F.col("n") < (least_rows(streams) if least is None else least))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ebbtide.functions.periods import month_number, month_start
-from ebbtide.operators.ranks import row_numbers
+from ebbtide.operators.ranks import join_keys, row_numbers
 from ebbtide.runtime import materialize
 
 # Fixed values.
@@ -107,6 +107,25 @@ def stratified_folds(df: DataFrame, label: str, ids: Sequence[str], k: int = 5,
     return placed.withColumn("fold", ((F.col("_rn") - 1) % k).cast("int")).drop("_h", "_rn", "_rn_total")
 
 
+def stratified_group_folds(df: DataFrame, label: str, group: str, k: int = 5) -> DataFrame:
+    """Add ``fold`` 0..k-1 so that no group is split and every fold has its share of each class.
+
+    Groups go largest first to the fold that is least filled, a fold's filling being the sum of its shares of the classes; ties go to the
+    group and the fold that come first. Groups are as few as months: their counts per class come to the driver. With at least ``k``
+    groups no fold stays empty. Rows without a label are placed with their group; a null group is a group.
+    """
+    counts = df.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg")).collect()
+    totals = sum(r.pos for r in counts) or 1, sum(r.neg for r in counts) or 1
+    filled, at = [0.0] * k, []
+    for r in sorted(counts, key=lambda r: (-r.n, r[group] is not None, r[group])):
+        fold = filled.index(min(filled))
+        filled[fold] += r.pos / totals[0] + r.neg / totals[1]
+        at.append((r[group], fold))
+    kind = df.schema[group].dataType.simpleString()
+    table = df.sparkSession.createDataFrame(at, f"`{group}` {kind}, fold int")
+    return join_keys(df, table, [group])
+
+
 def grouped_folds(df: DataFrame, domain: str, ids: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
     """Rows of domain 0 fold by month, so a month is never split; rows of domain 1 fold by id."""
     by_month = _hash_number(["month"], seed) % k

@@ -64,6 +64,15 @@ class Learner:
             return Pipeline(stages=[scaler, LinearRegression(**scaled, **{**base, **self.params})])
         raise ValueError(self.kind)
 
+    def for_rows(self, train: DataFrame) -> Learner:
+        """The same with a parameter ``c``, an inverse penalty on the sum of losses, turned into Spark's penalty on their mean."""
+        if "c" not in self.params:
+            return self
+        held = train.where("NOT is_valid") if "is_valid" in train.columns else train
+        total = held.where("y IS NOT NULL").agg(F.sum("w").alias("w")).first().w or 1.0
+        rest = {k: v for k, v in self.params.items() if k != "c"}
+        return replace(self, params={**rest, "regParam": 1.0 / (self.params["c"] * total)})
+
     def score(self, transformed: DataFrame) -> Column:
         if self.kind == "ridge":
             return sigmoid(F.col("prediction"))
@@ -204,7 +213,8 @@ def fit_folds(
         if learner.early_stop:
             train = train.withColumn("is_valid", F.lit(False)).unionByName(valid.withColumn("is_valid", F.lit(True)))
         train = _in_fixed_order(materialize(train))
-        return [(split.name, s, learner.estimator(s).fit(train), valid) for s in seeds]
+        mine = learner.for_rows(train)
+        return [(split.name, s, mine.estimator(s).fit(train), valid) for s in seeds]
 
     if parallel > 1 and len(splits) > 1:
         with ThreadPoolExecutor(parallel) as pool:

@@ -32,8 +32,8 @@ def meta_features(
 
 
 def logistic(c: float = 1.0) -> Learner:
-    """Ridge-penalised logistic regression on standardised inputs; ``c`` is the inverse penalty per row."""
-    return Learner("logistic", {"regParam": 1.0 / (c * 1000.0)})
+    """Ridge-penalised logistic regression on standardised inputs; ``c`` weighs the sum of losses against the penalty, whatever the rows."""
+    return Learner("logistic", {"c": c})
 
 
 def month_stacker(meta: DataFrame, features: Sequence[str], learner: Learner = logistic(), last_n: int = 6, gap: int = 1) -> OofResult:
