@@ -34,7 +34,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Common blocks cut from later documents; a document of which nothing but white space is left goes, one that lost nothing stays."""
-    cut = dedup_lines(docs, removed=REMOVED).where(f"{REMOVED} = 0 OR text IS NULL OR trim(text) <> ''")
+    left = F.col("text").isNull() | F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    cut = dedup_lines(docs, removed=REMOVED).where((F.col(REMOVED) == 0) | left)
     n_chars = F.when(F.col(REMOVED) > 0, F.length("text")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None
     return cut.select(*((n_chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else column(cut, c)) for c in docs.columns))
 

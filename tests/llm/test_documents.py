@@ -207,3 +207,11 @@ def test_pipeline_equals_its_stages(spark, odd, tmp_path):
         docs = spark.read.parquet(str(tmp_path / f"{i}.parquet"))
     assert counted(corpus_pipeline.run(spark, str(tmp_path)).collect()) == counted(docs.collect())
     assert docs.count() > 20
+
+
+def test_documents_of_which_white_space_is_left_go(spark):
+    block = "\n".join(f"a line of the common block with number {i} and more words" for i in range(4))
+    rows = [(1, f"{block}\nown words"), (2, f"\t\n{block}\n \x0b"), (3, f"{block}\nleft"), (4, "\t"), (5, None)]
+    docs = spark.createDataFrame([(i, t, None if t is None else len(t)) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r.text for r in stages.line_dedup(spark, docs, "").collect()}
+    assert set(got) == {1, 3, 4, 5} and got[3].strip() == "left"
