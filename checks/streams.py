@@ -124,7 +124,7 @@ query("i8_monthly_recall", f"{S}, {ALLM}, {metric_ctes('lm', 'model, month')} SE
     lambda s, p: rnd(metrics.ranking_metrics(
         long_streams(s, p).withColumn("month", month_start(F.col("ref_date"))), ["model", "month"]).select("model", "month", "recall")))
 query("j8_flip_guard", f"{S}, {ALLM}, {metric_ctes('lm', 'model, month', flip=True)} SELECT cust_id, ref_date, model, "
-      "round(p, 6) + 0.0 AS p FROM mt_s")(
+      "round(CASE WHEN flipped THEN 1 + p ELSE p END, 6) + 0.0 AS p FROM mt_s")(
     lambda s, p: rnd(metrics.flip_guard(long_streams(s, p).withColumn("month", month_start(F.col("ref_date"))), ["model", "month"])
                      .select(*IDS, "model", "p")))
 query("e10_top_k", f"{S}, {metric_ctes('l', 'model')} SELECT model, cust_id, ref_date, rn FROM mt_w WHERE rn <= greatest(1, round_even(0.1 * n, 0))")(
