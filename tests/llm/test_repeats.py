@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from ebbtide.llm import near
-from ebbtide.llm.lines import common_blocks, dedup_lines, patience
+from ebbtide.llm.lines import common_blocks, dedup_lines, patience, run_keys
 from ebbtide.llm.near import near_duplicates, shingle_sets
 from ebbtide.llm.rolling import Words, slide
 from ebbtide.llm.substrings import remove_repeats
@@ -142,6 +142,65 @@ def test_lines_go_from_the_later_document_only(spark):
     assert got[None, a][1] == 0 and got[6, None] == (0, 0, "x") and got[7, ""] == (1, 0, "x")
 
 
+def lines_by_hand(rows, block_chars=60):
+    """Every later document against every earlier one."""
+    docs = sorted({(k, t) for k, t in rows})
+    split = [[x.strip(" ") for x in t.split("\n")] for _, t in docs]
+    out = {}
+    for d, (doc, lines) in enumerate(zip(docs, split, strict=True)):
+        sizes = [len(x) for x in lines]
+        gone = {j for h in range(d) for j in common_blocks(split[h], lines, sizes, block_chars)}
+        out[doc] = (len(lines), len(gone), "\n".join(x for j, x in enumerate(doc[1].split("\n")) if j not in gone))
+    return out
+
+
+def test_lines_against_all_pairs(spark):
+    rnd = random.Random(11)
+    pool = [some_text(rnd, 1, 14, 99) for _ in range(60)]
+    rows = []
+    for i in range(120):
+        at = rnd.randrange(40)
+        part = pool[at:at + rnd.randint(2, 9)] + ([""] if i % 3 else [])
+        own = [f"{some_text(rnd, 2, 9, 99)} {i}" for _ in range(rnd.randint(0, 4))]
+        rows.append((i, "\n".join(part + own if i % 2 else own + part)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = lines_by_hand(rows)
+    assert sum(n for _, n, _ in want.values()) > 300
+    got = {r.doc_id: (r.n_lines, r.n_removed, r.text) for r in dedup_lines(docs, rare_docs=1000).collect()}
+    assert got == {k: v for (k, _), v in want.items()}
+    # Frequent keys lead to hubs: blank lines beside a block may stay.
+    got = {r.doc_id: r.text.split() for r in dedup_lines(docs).collect()}
+    assert got == {k: v[2].split() for (k, _), v in want.items()}
+
+
+def test_lines_that_stand_twice_short_ones_and_other_hubs(spark):
+    twice = "a passage of one line that is long enough to be a block of its own, standing twice in the first"
+    a, b, c = (f"{x} line of five and thirty characters."[:35] for x in ("one", "two", "six"))
+    short = "\n".join(f"short one {i}" for i in range(8))
+    rows = [(1, f"{twice}\nown text\n{twice}"), *((i, f"{twice}\nend {i}") for i in range(2, 9))]
+    rows += [(11, f"{a}\nx"), (12, f"{b}\ny"), (13, f"{c}\nz"), (14, f"{a}\n{b}\n{c}\n14"), (15, f"15\n{a}\n{b}\n{c}")]
+    rows += [(21, f"{short}\n21"), (22, f"22\n{short}")]
+    got = {r.doc_id: (r.n_removed, r.text) for r in dedup_lines(spark.createDataFrame(rows, "doc_id long, text string"), rare_docs=2).collect()}
+    assert all(got[i] == (1, f"end {i}") for i in range(2, 9)) and got[1][0] == 0
+    assert got[14][0] == 0 and got[15] == (3, "15")
+    assert got[21][0] == 0 and got[22] == (8, "22")
+
+
+def test_run_keys_are_those_of_equal_runs():
+    rnd = np.random.default_rng(4)
+    lines = [rnd.integers(0, 5, rnd.integers(1, 40)) for _ in range(30)]
+    sizes = [x * 9 for x in lines]
+    doc, run = run_keys(lines, sizes, 60)
+    want = []
+    for d, x in enumerate(lines):
+        for i in range(len(x)):
+            for j in range(i + 1, len(x) + 1):
+                if x[i] and x[j - 1] and sum(x[i:j]) * 9 >= 60 and (sum(x[i + 1:j]) * 9 < 60 or sum(x[i:j - 1]) * 9 < 60):
+                    want.append((d, tuple(x[i:j].tolist())))
+    assert doc.tolist() == [d for d, _ in want]
+    assert len(set(run.tolist())) == len({r for _, r in want}) == len(set(zip(run.tolist(), [r for _, r in want], strict=True)))
+
+
 def test_lines_of_odd_rows(odd):
     before, after = odd.collect(), dedup_lines(odd).collect()
     assert len(before) == len(after)
