@@ -4,8 +4,8 @@ Each item is cut into windows of ``window`` words. A window can only occur in a
 containment the necessary prefix is one shingle: the rarest in the documents, the others ordered behind it by their counts.
 Document words stream through one broadcast join on the shingle; the position of the shingle in its window then fixes where the
 window would start, which must lie inside the document with room for the whole window, and the words there must equal the
-window's. Only DataFrame functions are used, and no document text is shuffled: the words array stays in the row that the join
-looks at, and only verified hits leave the map side.
+window's. Only DataFrame functions are used, and no document text is shuffled: documents are cut into words once and written where
+they were read, the words array stays in the row that the join looks at, and only verified hits leave the map side.
 """
 
 from __future__ import annotations
@@ -21,7 +21,6 @@ from ebbtide.runtime import materialize
 
 WINDOW, SHINGLE = 10, 3
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-ANY_CASE = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def words_of(text: Column) -> Column:
@@ -55,12 +54,14 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     offsets = F.sequence(F.lit(0), F.size("_window") - size)
     parts = materialize(windows.withColumn("_size", size).select("_id", "_window", "_size", F.explode(offsets).alias("_off")).withColumn(
         "_shingle", _hash_at(shingle)))
-    given = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_print"), words_of(F.col(text)).alias("_words"))
+    # xxhash64 of a null is a number too, so null texts keep a print.
+    given = materialize(docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_print"), words_of(F.col(text)).alias("_words")).withColumn(
+        "n_words", F.size("_words").cast("long")))
     sizes = sorted(r[0] for r in parts.select("_size").distinct().collect())  # at most ``shingle`` values
     counted = [
         _keys(given, n).join(b, "_shingle").groupBy("_shingle").agg(F.count("*").alias("_df")).withColumn("_size", F.lit(n))
         for n in sizes for b in blocks(materialize(parts.where(F.col("_size") == n).select("_shingle").distinct()), "_shingle", 32)]
-    hits = [docs.sparkSession.createDataFrame([], f"_key {given.schema['_key'].dataType.simpleString()}, _print long, _start int, _len int, _id string")]
+    hits = [given.where(F.lit(False)).select("_key", "_print", *(F.lit(None).cast(t).alias(c) for c, t in (("_start", "int"), ("_len", "int"), ("_id", "string"))))]
     if counted:
         # A window whose rarest shingle no document holds cannot occur and drops out of the inner join.
         ranked = parts.join(reduce(DataFrame.unionByName, counted), ["_shingle", "_size"])
@@ -87,10 +88,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW, shing
     ids = ids.groupBy("_key", "_print").agg(F.array_sort(F.collect_set("_item")).alias("item_ids"))
     both = covered.join(ids, (covered["_key"].eqNullSafe(ids["_key"])) & (covered["_print"] == ids["_print"]), "left").select(
         covered["_key"].alias("_hit_key"), covered["_print"].alias("_hit_print"), "n_hit", "item_ids")
-    # xxhash64 of a null is a number too, so null texts keep a print.
-    base = docs.select(F.col(key).alias("_key"), F.xxhash64(F.col(text)).alias("_print"), F.coalesce(
-        F.regexp_count(F.col(text), F.lit(ANY_CASE)), F.lit(0)).cast("long").alias("n_words"))
-    out = base.join(both, F.col("_key").eqNullSafe(F.col("_hit_key")) & (F.col("_print") == F.col("_hit_print")), "left")
+    out = given.select("_key", "_print", "n_words").join(both, F.col("_key").eqNullSafe(F.col("_hit_key")) & (F.col("_print") == F.col("_hit_print")), "left")
     ids = F.coalesce("item_ids", F.array().cast("array<string>"))
     n_hit = F.coalesce("n_hit", F.lit(0)).cast("long")
     return out.select(
