@@ -218,6 +218,12 @@ query("i9_pearson", f"{S}, q AS ({pair_sql('s')}) SELECT a, b, {r6('corr')} FROM
     lambda s, p: rnd(correlation.pearson_pairs(streams(s, p), ABC)))
 query("i9_spearman", f"{SPEAR} SELECT a, b, {r6('corr')} FROM sp")(
     lambda s, p: rnd(correlation.spearman_pairs(streams(s, p), ABC, IDS)))
+# Every row against every row: the sum of the products of signs is twice the pairs that agree less those that do not.
+SIGNS = ", ".join(f"sum(sign(u.{x} - v.{x}) * sign(u.{y} - v.{y})) AS {x}{y}" for x, y in ("ab", "ac", "bc"))
+UNTIED = ", ".join(f"sum(abs(sign(u.{x} - v.{x}))) AS {x}{x}" for x in ABC)
+query("i9_kendall", f"{S}, g AS (SELECT floor(a * 40) AS a, b, CAST(c AS DOUBLE) AS c FROM s), t AS (SELECT {SIGNS}, {UNTIED} FROM g u, g v) "
+      + " UNION ALL ".join(f"SELECT '{x}' AS a, '{y}' AS b, round({x}{y} / (sqrt({x}{x}) * sqrt({y}{y})), 6) + 0.0 AS corr FROM t" for x, y in ("ab", "ac", "bc")))(
+    lambda s, p: rnd(correlation.kendall_pairs(streams(s, p).withColumn("a", F.floor(F.col("a") * 40)), ABC)))
 WIDE = 44
 
 

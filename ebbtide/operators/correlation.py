@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.functions.safe import clip
 from ebbtide.operators.metrics import auc, scored, top_rows
-from ebbtide.operators.ranks import average_ranks, row_numbers
+from ebbtide.operators.ranks import average_ranks, row_numbers, running_totals
 from ebbtide.runtime import materialize
 
 # Fixed values.
@@ -72,6 +72,43 @@ def spearman_pairs(df: DataFrame, streams: Sequence[str], ids: Sequence[str]) ->
     return pearson_pairs(rank_columns(df, streams, ids), streams)
 
 
+def kendall_pairs(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(a, b, corr), tau-b for all pairs a < b in the order given; a pair uses the rows that have both values.
+
+    Two rows are compared once: at the highest bit in which the dense ranks of their second values differ. So each row of (first value,
+    second value, count) is looked at once per bit: among rows that agree above it, ordered by the first value, the running counts of
+    zeros and ones before it say how many pairs agree and how many do not. Ties in either value fall out by themselves. Rows are shuffled
+    log n times in one job, and large groups are ordered by ranges. A pair without two different values of each has a null.
+    """
+    pairs = list(combinations(columns, 2))
+    names = df.sparkSession.createDataFrame(pairs, "a string, b string")
+    if not pairs:
+        return names.withColumn("corr", F.lit(None).cast("double"))
+    both = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                     for a, b in pairs])
+    counts = df.select(F.inline(both)).where(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("a", "b", "x", "y").agg(F.count("*").alias("n"))
+    counts = materialize(counts)
+    exact = "decimal(38,0)"
+
+    def untied(value: str) -> DataFrame:
+        """Twice the pairs of rows that differ in ``value``."""
+        n = counts.groupBy("a", "b", value).agg(F.sum("n").cast(exact).alias("n")).groupBy("a", "b").agg(
+            F.sum("n").alias("n"), F.sum((F.col("n") * F.col("n")).cast(exact)).alias("ties"))
+        return n.select("a", "b", (F.col("n").cast("double") * F.col("n") - F.col("ties")).alias(f"untied_{value}"))
+
+    place = row_numbers(counts.select("a", "b", "y").distinct(), ["a", "b"], [F.col("y")], "q")
+    bits = counts.join(place, ["a", "b", "y"]).withColumn("bit", F.explode(F.expr("sequence(0, length(bin(q_total - 1)) - 1)")))
+    one = F.expr("shiftright(q - 1, bit) & 1")
+    split = bits.withColumn("above", F.expr("shiftright(q - 1, bit + 1)")).groupBy("a", "b", "bit", "above", "x").agg(
+        F.sum(F.col("n") * (1 - one)).alias("zeros"), F.sum(F.col("n") * one).alias("ones"))
+    split = running_totals(split, ["a", "b", "bit", "above"], "x", ["zeros", "ones"])
+    product = lambda c, d: F.col(c).cast("decimal(19,0)") * F.col(d).cast("decimal(19,0)")
+    agree = split.groupBy("a", "b").agg(F.sum((product("ones", "zeros_before") - product("zeros", "ones_before")).cast(exact)).alias("agree"))
+    out = names.join(agree, ["a", "b"], "left").join(untied("x"), ["a", "b"], "left").join(untied("y"), ["a", "b"], "left")
+    scale = F.sqrt("untied_x") * F.sqrt("untied_y")
+    return out.select("a", "b", F.when(scale > 0, 2 * F.col("agree").cast("double") / scale).alias("corr"))
+
+
 def full_matrix(pairs: DataFrame, names: Sequence[str]) -> DataFrame:
     """Both directions of each pair plus the diagonal; undefined correlations count as 0."""
     both = pairs.select(

@@ -1,6 +1,7 @@
 """Folds, blends, clusters, calibration, readers: properties and small brute-force checks."""
 
 import datetime as dt
+import random
 
 import numpy as np
 import pandas as pd
@@ -106,6 +107,24 @@ def test_clusters_follow_chains(spark):
     assert got["n09"] == "n09" and got["n10"] == got["n11"] == "n10"
 
 
+def test_kendall_with_ties_and_nulls(spark):
+    rnd = random.Random(9)
+    draw = lambda: rnd.choice([None, 0.0, -0.0, 1e-12, *(rnd.randint(-3, 9) for _ in range(3)), rnd.random()])
+    rows = [(draw(), draw(), draw(), 1.0, None) for _ in range(300)]
+    rows = [tuple(None if v is None else float(v) for v in r) for r in rows]
+    names = ["p", "q", "r", "same", "none"]
+    got = {(r.a, r.b): r.corr for r in correlation.kendall_pairs(spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names)).repartition(3), names).collect()}
+    sign = lambda v: (v > 0) - (v < 0)
+    assert len(got) == 10
+    for i, a in enumerate(names):
+        for j in range(i + 1, len(names)):
+            both = [(r[i], r[j]) for r in rows if r[i] is not None and r[j] is not None]
+            signs = [(sign(x[0] - y[0]), sign(x[1] - y[1])) for x in both for y in both]
+            scale = (sum(map(abs, (s for s, _ in signs))) * sum(map(abs, (s for _, s in signs)))) ** 0.5
+            want = sum(s * t for s, t in signs) / scale if scale else None
+            assert got[a, names[j]] == (None if want is None else pytest.approx(want, abs=1e-12))
+
+
 def test_correlation_in_blocks(spark, monkeypatch):
     rows = spark.range(200).select(*[F.when((F.col("id") + i) % 4 != 0, F.rand(i)).alias(f"c{i}") for i in range(7)])
     rows = spark.createDataFrame(rows.toPandas(), "c0 double, c1 double, c2 double, c3 double, c4 double, c5 double, c6 double")
