@@ -153,8 +153,7 @@ query("e8_null_group", f"{S}, g AS (SELECT *, CASE WHEN cust_id % 5 <> 0 THEN re
                      .select("model", "grp", *IDS, "rank")))
 query("e11_top_preview", f"{S}, t AS (SELECT a FROM s ORDER BY a DESC, cust_id, ref_date LIMIT 20) SELECT count(*) AS n, "
       "round(avg(a), 6) + 0.0 AS mean, round(median(a), 6) + 0.0 AS median, round(stddev_samp(a), 6) + 0.0 AS std FROM t")(
-    lambda s, p: rnd(streams(s, p).orderBy(F.desc("a"), *IDS).limit(20).agg(
-        F.count(F.lit(1)).alias("n"), F.avg("a").alias("mean"), F.median("a").alias("median"), F.stddev_samp("a").alias("std"))))
+    lambda s, p: rnd(metrics.top_preview(streams(s, p), "a", IDS)))
 query("e12_last_months", f"{S}, {LAST6} SELECT month, count(*) AS n FROM lm GROUP BY month")(
     lambda s, p: metrics.last_months(long_streams(s, p), 6).groupBy("month").agg(F.count(F.lit(1)).alias("n")))
 query("e8_average_rank", f"{S} SELECT model, cust_id, ref_date, round((rank() OVER w + (count(*) OVER (PARTITION BY model, p) - 1) "
@@ -314,9 +313,7 @@ def k33_diverse_pick(spark, path):
 
 query("k34_month_priority", f"{S}, {ALLM}, {metric_ctes('lm', 'model, month')} SELECT model, round(max(CASE WHEN month = '2000-12-01' "
       "THEN recall END) + 0.5 * max(CASE WHEN month = '2000-11-01' THEN recall END), 6) + 0.0 AS priority FROM mt GROUP BY model")(
-    lambda s, p: rnd(metrics.ranking_metrics(long_streams(s, p).withColumn("month", month_start(F.col("ref_date"))), ["model", "month"])
-                     .groupBy("model").pivot("month", ["2000-11-01", "2000-12-01"]).agg(F.first("recall"))
-                     .select("model", (F.col("2000-12-01") + 0.5 * F.col("2000-11-01")).alias("priority"))))
+    lambda s, p: rnd(metrics.month_priority(long_streams(s, p), ["model"], {"2000-12-01": 1.0, "2000-11-01": 0.5})))
 
 # ---------------------------------------------------------------- folds and weights
 

@@ -8,7 +8,8 @@ one by one, because there the id decides. Rows without a score or a label are in
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -182,6 +183,26 @@ def last_months(df: DataFrame, n: int, date: str = "ref_date") -> DataFrame:
     return df.withColumn("month", month).join(materialize(months), "month")
 
 
+def top_preview(df: DataFrame, score: str, ids: Sequence[str], n: int = 20) -> DataFrame:
+    """Count, mean, median and deviation of the ``n`` highest scores; ties are taken in id order, null scores last."""
+    first = df.orderBy(F.desc_nulls_last(score), *ids).limit(n)
+    return first.agg(
+        F.count(F.lit(1)).alias("n"), F.avg(score).alias("mean"), F.median(score).alias("median"), F.stddev_samp(score).alias("std")
+    )
+
+
+def month_priority(df: DataFrame, by: Sequence[str], weights: Mapping[str, float], date: str = "ref_date", **kw) -> DataFrame:
+    """Weighted sum of the recalls of the months (first days) in ``weights``; null for a group that lacks one of them.
+
+    Rows of other months are left out before anything is ranked.
+    """
+    month = month_start(F.col(date))
+    rows = df.withColumn("month", month).where(month.cast("string").isin(list(weights)))
+    recall = ranking_metrics(rows, [*by, "month"], **kw)
+    parts = [F.lit(float(w)) * F.max(F.when(F.col("month").cast("string") == m, F.col("recall"))) for m, w in weights.items()]
+    return recall.groupBy(*by).agg(reduce(lambda a, b: a + b, parts).alias("priority"))
+
+
 def monthly_metrics(
     df: DataFrame, by: Sequence[str] = (), last_n: int | None = 6, score: str = "p", label: str = "y", **kw
 ) -> DataFrame:
