@@ -13,12 +13,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from checks.features import table
-from checks.registry import COHORT_SQL, cohort, query
+from checks.registry import COHORT_SQL, cohort, customers, query
 from checks.streams import ABC, IDS, S, rnd, streams
 from checks.tables import NUM, sides
 from ebbtide.features.build import attach_labels
 from ebbtide.functions.safe import clip
-from ebbtide.operators import blend, folds, metrics
+from ebbtide.operators import blend, folds, isotonic, metrics
 from ebbtide.operators.metrics import monthly_composite
 from ebbtide.operators.ranks import row_numbers
 from ebbtide.plans import calibration, drift, newton, oof, portfolio, stacking, store
@@ -70,17 +70,17 @@ SOFT = f"pow(greatest(abs({{g}}) - {TREE.l1}, 0), 2) / ({{h}} + {TREE.l2})"
 VALUE = f"-{TREE.rate} * sign({{g}}) * greatest(abs({{g}}) - {TREE.l1}, 0) / ({{h}} + {TREE.l2})"
 
 
-def tree_sql() -> str:
-    """The first tree level by level: sums per (node, feature, bin), every split's gain, the best one."""
+def tree_ctes() -> str:
+    """The first tree level by level: sums per (node, feature, bin), every split's gain, the best one; nodes in v, splits in q."""
     probs = ", ".join(str(i / TREE.bins) for i in range(1, TREE.bins))
     ctes = [
-        "x AS (SELECT row_number() OVER () AS id, y, a, b, c, (SELECT avg(y) FROM s) AS p FROM s)",
+        "x AS (SELECT row_number() OVER (ORDER BY cust_id, ref_date) AS id, cust_id, ref_date, y, a, b, c, (SELECT avg(y) FROM s) AS p FROM s)",
         "e AS (" + " UNION ALL ".join(f"SELECT {i} AS f, list_sort(list_distinct(quantile_cont(CAST({x} AS DOUBLE), [{probs}]))) AS e FROM x" for i, x in enumerate(ABC)) + ")",
         "r AS (" + " UNION ALL ".join(f"SELECT id, {i} AS f, CAST({x} AS DOUBLE) AS v FROM x" for i, x in enumerate(ABC)) + ")",
         "d AS (SELECT id, f, e, len(list_filter(e, lambda z: z <= v)) AS code FROM r JOIN e USING (f))",
         "n0 AS (SELECT id, p - y AS g, p * (1 - p) AS h, 0 AS node FROM x)",
     ]
-    nodes = [f"SELECT 0 AS node, {VALUE.format(g='sum(g)', h='sum(h)')} AS value FROM n0"]
+    nodes = [f"SELECT 0 AS node, {VALUE.format(g='sum(g)', h='sum(h)')} AS value, sum(h) AS cover FROM n0"]
     for i in range(TREE.depth):
         gain = f"{SOFT.format(g='gl', h='hl')} + {SOFT.format(g='(gt - gl)', h='(ht - hl)')} - {SOFT.format(g='gt', h='ht')}"
         ctes += [
@@ -91,9 +91,13 @@ def tree_sql() -> str:
             f"b{i} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY gain DESC, f, code) AS r FROM s{i}) WHERE r = 1 AND gain > {newton.LEAST_GAIN})",
             f"n{i + 1} AS (SELECT n.id, n.g, n.h, 2 * n.node + CASE WHEN d.code <= b.code THEN 1 ELSE 2 END AS node FROM n{i} n JOIN b{i} b USING (node) JOIN d ON d.id = n.id AND d.f = b.f)",
         ]
-        nodes += [f"SELECT 2 * node + 1, {VALUE.format(g='gl', h='hl')} FROM b{i}", f"SELECT 2 * node + 2, {VALUE.format(g='(gt - gl)', h='(ht - hl)')} FROM b{i}"]
+        nodes += [f"SELECT 2 * node + 1, {VALUE.format(g='gl', h='hl')}, hl FROM b{i}", f"SELECT 2 * node + 2, {VALUE.format(g='(gt - gl)', h='(ht - hl)')}, ht - hl FROM b{i}"]
     splits = " UNION ALL ".join(f"SELECT node, f, e[code + 1] AS threshold, gain FROM b{i}" for i in range(TREE.depth))
-    return (f"{S}, {', '.join(ctes)}, v AS ({' UNION ALL '.join(nodes)}), q AS ({splits}) SELECT CAST(node AS INTEGER) AS node, CAST(coalesce(f, -1) AS INTEGER) AS feature, "
+    return f"{S}, {', '.join(ctes)}, v AS ({' UNION ALL '.join(nodes)}), q AS ({splits})"
+
+
+def tree_sql() -> str:
+    return (f"{tree_ctes()} SELECT CAST(node AS INTEGER) AS node, CAST(coalesce(f, -1) AS INTEGER) AS feature, "
             "round(coalesce(threshold, 0.0), 6) + 0.0 AS threshold, round(coalesce(gain, 0.0), 6) + 0.0 AS gain, round(value, 6) + 0.0 AS value FROM v LEFT JOIN q USING (node)")
 
 
@@ -106,6 +110,43 @@ def j2_newton_first_tree(spark, path):
     return rnd(spark.createDataFrame(rows, "node int, feature int, threshold double, gain double, value double"))
 
 
+def shapley_sql() -> str:
+    """Shapley values by their definition: the tree's value for every set of known features, then the weighted differences."""
+    x = "CASE {t}.f WHEN 0 THEN x.a WHEN 1 THEN x.b ELSE x.c END"
+    pick = ("CASE WHEN {t}.f IS NULL THEN {t}.value WHEN (mask >> {t}.f) & 1 = 1 THEN CASE WHEN " + x + " < {t}.threshold THEN {l} ELSE {r} END "
+            "ELSE (lc.cover * {l} + rc.cover * {r}) / (lc.cover + rc.cover) END")
+    weight = {0: "1 / 3.0", 1: "1 / 6.0", 2: "1 / 3.0"}
+    parts = [" + ".join(f"{weight[m.bit_count()]} * (z[{(m | 1 << i) + 1}] - z[{m + 1}])" for m in range(8) if not m >> i & 1) for i in range(3)]
+    return (f"{tree_ctes()}, m AS (SELECT unnest(range(8)) AS mask), t AS (SELECT v.node, value, cover, f, threshold FROM v LEFT JOIN q USING (node)), "
+            f"k AS (SELECT x.id, mask, t.node, {pick.format(t='t', l='lc.value', r='rc.value')} AS val FROM x CROSS JOIN m JOIN t ON t.node IN (1, 2) "
+            "LEFT JOIN t lc ON lc.node = 2 * t.node + 1 LEFT JOIN t rc ON rc.node = 2 * t.node + 2), "
+            f"g AS (SELECT x.id, mask, {pick.format(t='t', l='kl.val', r='kr.val')} AS val FROM x JOIN k kl ON kl.id = x.id AND kl.node = 1 "
+            "JOIN k kr USING (id, mask) JOIN t ON t.node = 0 JOIN t lc ON lc.node = 1 JOIN t rc ON rc.node = 2 WHERE kr.node = 2), "
+            "z AS (SELECT id, list(val ORDER BY mask) AS z FROM g GROUP BY id) SELECT cust_id, ref_date, "
+            + ", ".join(f"round({p}, 6) + 0.0 AS {c}" for c, p in zip(ABC, parts)) + " FROM z JOIN x USING (id)")
+
+
+@query("j9_attributions", shapley_sql())
+def j9_attributions(spark, path):
+    """What each stream adds to every row's margin, by the first tree."""
+    rows = materialize(oof.assemble(meta(spark, path), ABC))
+    got = TREE.fit(rows).explain(rows)
+    return got.select(*IDS, *[(F.round(F.col("contributions")[i], 6) + 0.0).alias(c) for i, c in enumerate(ABC)])
+
+
+@query("j9_attributions_add_up", last_rows(99, "").replace("in_range", "adds_up"))
+def j9_attributions_add_up(spark, path):
+    """A row's contributions and the mean add up to the log odds of its score, for models of several trees."""
+    rows = materialize(oof.assemble(matrix(spark, path), FEATURES))
+    model = SECOND.estimator(1).fit(rows)
+    got = model.transform(model.explain(rows))
+    total = F.aggregate("contributions", F.lit(model.expected()), lambda a, b: a + b)
+    return got.select(*IDS, (F.abs(total - F.ln(F.col("score") / (1 - F.col("score")))) < 1e-9).alias("adds_up"))
+
+
+BOOTSTRAP = oof.Learner("newton", {"rounds": 3, "depth": 3, "rate": 0.3, "bootstrap": 1.0, "row_share": 1.0})
+query("j3_bootstrap_oof", last_rows(6))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, BOOTSTRAP, seeds=(1,)).oof))
+
 FOREST = oof.Learner("forest", {"numTrees": 8, "maxDepth": 4})
 query("j3_forest_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2)).oof))
 query("j4_rank_averaged_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2), average="rank").oof))
@@ -177,11 +218,22 @@ def e14_mean_of_two_rankings(spark, path):
     return drift.mean_rank(d.importance, drift.permutation_importance(d, rows, FEATURES))
 
 
+@query("e14_attribution_ranking")
+def e14_attribution_ranking(spark, path):
+    """The features that tell the halves apart, ranked by what they add to the margins and by what their exchange costs."""
+    train, test = halves(spark, path)
+    d = drift.domain_classifier(train, test, FEATURES, SECOND, holdout=True)
+    rows = drift.domain_rows(train, test, FEATURES)
+    return drift.mean_rank(drift.attribution_importance(d, rows, FEATURES), drift.permutation_importance(d, rows, FEATURES))
+
+
 query("j15_pseudo_label_round")(lambda s, p: oof.pseudo_label_round(*halves(s, p), FEATURES, oof.Learner("logistic"), last_n=2))
 query("j16_steady_features")(lambda s, p: oof.steady_features(matrix(s, p), FEATURES, GBT, 3))
 query("j17_cross_period")(lambda s, p: oof.cross_period(matrix(s, p), FEATURES, GBT, 3))
 query("j18_parameter_search")(lambda s, p: oof.search(
     matrix(s, p), FEATURES, [oof.with_params(GBT, maxDepth=d) for d in (2, 3)], last_n=2))
+query("j18_halving_search")(lambda s, p: oof.halving_search(
+    matrix(s, p), FEATURES, [oof.Learner("newton", {"rounds": 2, "depth": d, "rate": r}) for d in (2, 3) for r in (0.1, 0.3)]))
 query("j20_mini_evaluation")(lambda s, p: oof.mini_evaluation(matrix(s, p), FEATURES, GBT))
 query("f6_pseudo_labels", f"{S}, o AS (SELECT *, row_number() OVER (ORDER BY a, cust_id, ref_date) AS rn, count(*) OVER () AS n FROM s) "
       "SELECT cust_id, ref_date, CAST(CASE WHEN rn <= greatest(1, round_even(0.4 * n, 0)) THEN 0 ELSE 1 END AS INTEGER) AS churn FROM o "
@@ -268,6 +320,41 @@ query("k20_isotonic_out_of_fold", f"{S} SELECT cust_id, ref_date, y, true AS in_
     folds.stratified_folds(raw(s, p), "y", IDS, 5), "fold", "isotonic")))
 
 
+# Isotonic fits by their min-max formula: the largest, over starts up to a score, of the smallest mean over ends from it on.
+MIN_MAX = ("n AS (SELECT *, sum(w) OVER o AS cw, sum(wy) OVER o AS cy, row_number() OVER o AS i FROM pts WINDOW o AS (PARTITION BY g ORDER BY p)), "
+           "mm AS (SELECT l.g, l.i AS i, r.i AS j, (r.cy - l.cy + l.wy) / (r.cw - l.cw + l.w) AS v FROM n l JOIN n r ON l.g = r.g AND r.i >= l.i), "
+           "mi AS (SELECT g, i, j, min(v) OVER (PARTITION BY g, i ORDER BY j DESC) AS v FROM mm), "
+           "fit AS (SELECT n.g, n.p, z.v FROM (SELECT g, j, max(v) AS v FROM mi GROUP BY g, j) z JOIN n ON n.g = z.g AND n.i = z.j)")
+NATIONS = (f"{S}, b AS (SELECT cust_id, ref_date, y, n_name AS province, CAST(cust_id % 5 AS INTEGER) AS fold, CAST(a * 0.5 + b * 0.3 + c * 0.2 AS DOUBLE) AS p "
+           "FROM s JOIN customer ON c_custkey = cust_id JOIN nation ON n_nationkey = c_nationkey)")
+
+
+def by_nation(spark, path) -> DataFrame:
+    p = (F.col("a") * 0.5 + F.col("b") * 0.3 + F.col("c") * 0.2).alias("p")
+    scores = streams(spark, path).select(*IDS, "y", p, (F.col("cust_id") % 5).cast("int").alias("fold"))
+    return materialize(scores.join(customers(spark, path).select("cust_id", "province"), "cust_id"))
+
+
+@query("k21_isotonic_by_nation", f"{NATIONS}, pts AS (SELECT province AS g, p, CAST(count(*) AS DOUBLE) AS w, CAST(sum(y) AS DOUBLE) AS wy FROM b GROUP BY 1, 2), "
+       f"{MIN_MAX} SELECT cust_id, ref_date, round(v, 6) + 0.0 AS p FROM b JOIN fit ON fit.g = b.province AND fit.p = b.p")
+def k21_isotonic_by_nation(spark, path):
+    """One curve a nation, all of them fitted and used in one job each."""
+    rows = by_nation(spark, path)
+    curves = isotonic.fit_curves(calibration.points(rows, by=["province"]).withColumnRenamed("province", "g"))
+    return rows.select(*IDS, (F.round(curves.at(F.col("province"), F.col("p")), 6) + 0.0).alias("p"))
+
+
+@query("k20_isotonic_folds_by_nation", f"{NATIONS}, f AS (SELECT unnest(range(5)) AS fold), "
+       "pts AS (SELECT province || f.fold AS g, p, CAST(count(*) AS DOUBLE) AS w, CAST(sum(y) AS DOUBLE) AS wy FROM b JOIN f ON b.fold <> f.fold GROUP BY 1, 2), "
+       f"{MIN_MAX}, r AS (SELECT *, province || fold AS g FROM b), d AS (SELECT r.*, fit.p AS p0, fit.v AS v0 FROM r ASOF LEFT JOIN fit ON r.g = fit.g AND r.p >= fit.p), "
+       "u AS (SELECT d.*, fit.p AS p1, fit.v AS v1 FROM d ASOF LEFT JOIN fit ON d.g = fit.g AND d.p <= fit.p) "
+       "SELECT cust_id, ref_date, round(CASE WHEN p0 IS NULL THEN v1 WHEN p1 IS NULL OR p0 = p1 THEN v0 ELSE v0 + (v1 - v0) * (p - p0) / (p1 - p0) END, 6) + 0.0 AS p FROM u")
+def k20_isotonic_folds_by_nation(spark, path):
+    """Every fold of every nation by the nation's other folds: 125 fits in one job."""
+    got = calibration.out_of_fold(by_nation(spark, path), "fold", within=["province"])
+    return got.select(*IDS, (F.round("p", 6) + 0.0).alias("p"))
+
+
 @query("k21_segment_isotonic", f"{S} SELECT cust_id, ref_date, y, true AS in_range FROM s")
 def k21_segment_isotonic(spark, path):
     binned, n, _ = calibration.segment_bins(materialize(streams(spark, path).select(*IDS, "y", "c", F.col("a").alias("p"))), "c")

@@ -2,7 +2,8 @@
 
 A calibrator looks at (score, label) only, so rows are first counted per exact score and label. Scores are neither
 rounded nor cut off before a fit; only the two logarithms of beta are kept away from 0 and 1. An isotonic fit pools inside
-Spark's range partitions first: what reaches the driver are its steps, not the points.
+Spark's range partitions first: what reaches the driver are its steps, not the points. The isotonic fits of all folds and segments
+are one job, and so is their use.
 """
 
 from __future__ import annotations
@@ -21,6 +22,7 @@ from pyspark.sql import functions as F
 from ebbtide.features.rfm import QUINTILES
 from ebbtide.functions.safe import clip
 from ebbtide.operators.blend import best_gamma, gamma_sweep
+from ebbtide.operators.isotonic import Curves, fit_curves
 from ebbtide.operators.metrics import monthly_composite
 from ebbtide.operators.ranks import percentiles
 from ebbtide.runtime import materialize
@@ -36,10 +38,10 @@ TAIL_START = 0.10
 TAIL_LOSS = 0.002
 
 
-def points(df: DataFrame, score: str = "p", label: str = "y") -> DataFrame:
+def points(df: DataFrame, score: str = "p", label: str = "y", by: Sequence[str] = ()) -> DataFrame:
     """Distinct (score, label) pairs with their number of rows as weight; rows that lack either count for nothing."""
     return df.na.drop("any", subset=[score, label]).groupBy(
-        F.col(score).cast("double").alias("p"), F.col(label).cast("double").alias("y")
+        *by, F.col(score).cast("double").alias("p"), F.col(label).cast("double").alias("y")
     ).agg(F.count(F.lit(1)).cast("double").alias("w"))
 
 
@@ -91,12 +93,40 @@ def fit(df: DataFrame, method: str = "isotonic", score: str = "p", label: str =
     return Calibrator(method, lr.fit(_inputs(pts, method)))
 
 
+def _mixed(value: Column, score: str, raw_share: float) -> Column:
+    """A calibrated score with its share of the raw one; null where there was no score."""
+    raw = F.col(score).cast("double")
+    cal = F.when(raw.isNotNull(), value)
+    return F.lit(1.0 - raw_share) * cal + F.lit(raw_share) * raw if raw_share else cal
+
+
+def _joined(*parts: Column) -> Column:
+    """One text for several values, nulls included; different values give different texts."""
+    return F.to_json(F.array(*[F.coalesce(F.concat(F.lit("="), p.cast("string")), F.lit("")) for p in parts]))
+
+
 def out_of_fold(
-    df: DataFrame, fold: str, method: str = "isotonic", score: str = "p", label: str = "y", raw_share: float = 0.0
+    df: DataFrame, fold: str, method: str = "isotonic", score: str = "p", label: str = "y", raw_share: float = 0.0,
+    within: Sequence[str] = ()
 ) -> DataFrame:
-    """Each fold calibrated by a fit on the others. ``fold`` is a month or a fold number: few distinct values."""
+    """Each fold calibrated by a fit on the others. ``fold`` is a month or a fold number: few distinct values.
+
+    ``within`` names columns whose groups are fitted apart (isotonic only); a group that is in one fold alone has nothing to be
+    fitted on, and its rows get null.
+    """
     df = materialize(df)
-    names = sorted(r[0] for r in df.select(fold).distinct().collect())
+    names = sorted(r[0] for r in df.select(fold).distinct().collect() if r[0] is not None)
+    if method == "isotonic":
+        # Counts go to the fits of all folds but their own.
+        counted = points(df, score, label, [fold, *within]).where(F.col(fold).isNotNull())
+        others = F.array_remove(F.array(*[F.lit(n) for n in names]), F.col(fold)) if names else F.array(F.col(fold))
+        dealt = counted.withColumn("_for", F.explode(others))
+        groups = [F.col(c) for c in within]
+        curves = fit_curves(dealt.select(_joined(F.col("_for"), *groups).alias("g"), "p", "y", "w"))
+        rows = df.where(F.col(fold).isNotNull())
+        return rows.withColumn(score, _mixed(curves.at(_joined(F.col(fold), *groups), F.col(score)), score, raw_share))
+    if within:
+        raise ValueError("only isotonic fits go by group")
     parts = [
         fit(df.where(F.col(fold) != F.lit(n)), method, score, label).apply(
             df.where(F.col(fold) == F.lit(n)), score, raw_share
@@ -142,11 +172,31 @@ class SegmentCalibrator:
         return reduce(DataFrame.unionByName, parts)
 
 
+WHOLE = "whole"
+
+
+@dataclass
+class SegmentCurves:
+    """The isotonic curve of each large segment, under its number, and the global one for the others."""
+
+    curves: Curves
+
+    def apply(self, df: DataFrame, score: str = "p", raw_share: float = RAW_SHARE) -> DataFrame:
+        own = [g for g in self.curves.places if g != WHOLE]
+        name = F.col("segment").cast("string")
+        group = F.when(name.isin(*own), name).otherwise(F.lit(WHOLE)) if own else F.lit(WHOLE)
+        return df.withColumn(score, _mixed(self.curves.at(group, F.col(score)), score, raw_share))
+
+
 def fit_segments(
     df: DataFrame, segments: int, method: str = "isotonic", min_rows: int = MIN_SEGMENT, score: str = "p", label: str = "y"
-) -> SegmentCalibrator:
+) -> SegmentCalibrator | SegmentCurves:
     sizes = {r.segment: r.n for r in df.groupBy("segment").agg(F.count(F.lit(1)).alias("n")).collect()}
     large = [s for s in range(segments) if sizes.get(s, 0) >= min_rows]
+    if method == "isotonic":
+        own = F.when(F.col("segment").isin(*large), F.col("segment").cast("string")) if large else F.lit(None).cast("string")
+        dealt = points(df, score, label, ["segment"]).withColumn("g", F.explode(F.array(own, F.lit(WHOLE))))
+        return SegmentCurves(fit_curves(dealt))
     return SegmentCalibrator(
         fit(df, method, score, label), {s: fit(df.where(F.col("segment") == s), method, score, label) for s in large}
     )

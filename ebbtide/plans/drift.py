@@ -188,6 +188,12 @@ def permutation_importance(domain: Domain, rows: DataFrame, features: Sequence[s
     return rows.sparkSession.createDataFrame(out, "feature string, drop double")
 
 
+def attribution_importance(domain: Domain, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+    """(feature, gain): mean size of a feature's Shapley values in the first model, which must be of second-order trees."""
+    _, _, model = domain.result.models[0]
+    return model.mean_contributions(assemble(rows, features, "domain"), features)
+
+
 def mean_rank(gain: DataFrame, other: DataFrame) -> DataFrame:
     """(feature, mean_rank) of two importance tables; one row per feature name."""
     from pyspark.sql import Window

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from math import factorial
 
 import numpy as np
 import pandas as pd
@@ -25,6 +26,8 @@ from ebbtide.runtime import materialize
 
 REFRESH = 10
 LEAST_GAIN = 1e-6
+BOOTSTRAP_STREAM = 1 << 32
+"""Keeps the bootstrap's numbers apart from those that draw rows."""
 LEAST_SHARE = 1e-6
 """The base score stays this far from 0 and 1."""
 
@@ -38,11 +41,13 @@ class Tree:
     threshold: np.ndarray
     gain: np.ndarray
     value: np.ndarray
+    cover: np.ndarray
+    """Sum of the Hessians of a node's training rows."""
 
     @staticmethod
     def empty(depth: int) -> Tree:
         n = 2 ** (depth + 1) - 1
-        return Tree(np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n), np.zeros(n))
+        return Tree(np.full(n, -1), np.zeros(n, dtype=np.int64), np.zeros(n), np.zeros(n), np.zeros(n), np.zeros(n))
 
     def nodes(self, codes: np.ndarray, by: str) -> np.ndarray:
         """Where each row ends; ``codes`` are bins (``by`` bin) or numbers (threshold). Not-a-number goes right."""
@@ -59,6 +64,59 @@ class Tree:
             at[inner] = 2 * at[inner] + np.where(stays, 1, 2)
 
 
+    def paths(self) -> list[Path]:
+        """One path for each leaf; several splits on one feature become one interval."""
+        out = []
+
+        def walk(at: int, sides: dict[int, tuple[float, float, float]]) -> None:
+            f = int(self.feature[at])
+            if f < 0:
+                out.append(Path(float(self.value[at]), [(i, *s) for i, s in sides.items()]))
+                return
+            lo, hi, share = sides.get(f, (-np.inf, np.inf, 1.0))
+            edge, total = float(self.threshold[at]), self.cover[2 * at + 1] + self.cover[2 * at + 2]
+            left = float(self.cover[2 * at + 1] / total) if total else 0.5
+            walk(2 * at + 1, {**sides, f: (lo, min(hi, edge), share * left)})
+            walk(2 * at + 2, {**sides, f: (max(lo, edge), hi, share * (1.0 - left))})
+
+        walk(0, {})
+        return out
+
+
+@dataclass
+class Path:
+    """A leaf's value, and for every feature on the way to it: its interval [lo, hi) and the share of the rows that keep to it.
+
+    Not-a-number stands above all edges.
+    """
+
+    value: float
+    sides: list[tuple[int, float, float, float]]
+
+    def add(self, x: np.ndarray, out: np.ndarray) -> float:
+        """Adds the leaf's part of every feature's Shapley value to ``out``; returns its part of the mean.
+
+        With the features of a set known and the others drawn by cover, a row reaches the leaf with the product of its own
+        sides (0 or 1) over the set and of the shares over the rest. The products of all sets of one size are the
+        coefficients of a polynomial, so no set is listed.
+        """
+        d = len(self.sides)
+        share = [s for *_, s in self.sides]
+        if not d:
+            return self.value
+        keeps = [(~(x[:, f] < lo) & ((x[:, f] < hi) if hi < np.inf else True)).astype(np.float64) for f, lo, hi, _ in self.sides]
+        size = [factorial(s) * factorial(d - 1 - s) / factorial(d) for s in range(d)]
+        for i, (f, *_) in enumerate(self.sides):
+            sums = np.zeros((d, len(x)))
+            sums[0] = 1.0
+            for n, j in enumerate(j for j in range(d) if j != i):
+                for s in range(n + 1, 0, -1):
+                    sums[s] = sums[s] * share[j] + sums[s - 1] * keeps[j]
+                sums[0] *= share[j]
+            out[:, f] += self.value * (keeps[i] - share[i]) * np.tensordot(size, sums, 1)
+        return self.value * float(np.prod(share))
+
+
 def score_of(g: np.ndarray, h: np.ndarray, l1: float, l2: float) -> np.ndarray:
     """What a node with these sums takes off the loss, twice."""
     t = np.sign(g) * np.maximum(np.abs(g) - l1, 0.0)
@@ -77,6 +135,11 @@ def _uniform(h: np.ndarray, seed: int, tree: int) -> np.ndarray:
     return ((z ^ (z >> np.uint64(31))) >> np.uint64(11)).astype(np.float64) / 2.0**53
 
 
+def bootstrap_weights(h: np.ndarray, seed: int, tree: int, power: float) -> np.ndarray:
+    """Weights of a Bayesian bootstrap, ``(-ln u) ** power`` with u from the key: exponential for a power of one, equal for zero."""
+    return (-np.log(1.0 - _uniform(h, seed + BOOTSTRAP_STREAM, tree))) ** power
+
+
 def _codes(batch: pa.RecordBatch, k: int) -> np.ndarray:
     return np.frombuffer(b"".join(batch["codes"].to_pylist()), dtype=np.uint8).reshape(batch.num_rows, k)
 
@@ -103,7 +166,7 @@ def _advance(batches: Iterator[pa.RecordBatch], trees: list[Tree], k: int) -> It
 
 
 def _sums(batches: Iterator[pa.RecordBatch], trees: list[Tree], tree: Tree, level: int, use: np.ndarray, k: int, bins: int,
-          seed: int, number: int, share: float) -> Iterator[pa.RecordBatch]:
+          seed: int, number: int, share: float, bootstrap: float) -> Iterator[pa.RecordBatch]:
     """Sums of gradients and Hessians per node of this level, feature and bin."""
     first, n_nodes = 2**level - 1, 2**level
     g_sum, h_sum = np.zeros((n_nodes, len(use), bins)), np.zeros((n_nodes, len(use), bins))
@@ -119,6 +182,8 @@ def _sums(batches: Iterator[pa.RecordBatch], trees: list[Tree], tree: Tree, leve
         open_ = at >= first
         codes, node = codes[open_], at[open_] - first
         y, w, margin = (b[c].to_numpy(zero_copy_only=False)[here][open_] for c in ("y", "w", "margin"))
+        if bootstrap:
+            w = w * bootstrap_weights(h[here][open_], seed, number, bootstrap)
         margin = margin.copy()
         for t in trees:
             margin += t.value[t.nodes(codes, "bin")]
@@ -201,6 +266,47 @@ class NewtonModel:
         return rows.withColumn("score", score(vector_to_array("features")))
 
 
+    def contributions(self, x: np.ndarray) -> tuple[np.ndarray, float]:
+        """Shapley values of each row's features, and the mean margin: they add up to the row's margin."""
+        out, mean = np.zeros((len(x), self.n_features)), self.base
+        for t in self.trees:
+            for p in t.paths():
+                mean += p.add(x, out)
+        return out, mean
+
+    def explain(self, rows: DataFrame) -> DataFrame:
+        """Adds ``contributions``, one number a feature, which with :meth:`expected` add up to the margin (log odds)."""
+        model, k = self, self.n_features
+
+        @F.pandas_udf("array<double>")
+        def parts(x: pd.Series) -> pd.Series:
+            got, _ = model.contributions(np.array(x.tolist(), dtype=np.float64).reshape(len(x), k))
+            return pd.Series(list(got))
+
+        return rows.withColumn("contributions", parts(vector_to_array("features")))
+
+    def expected(self) -> float:
+        return self.contributions(np.zeros((0, self.n_features)))[1]
+
+    def mean_contributions(self, rows: DataFrame, features: Sequence[str]) -> DataFrame:
+        """(feature, gain): the mean size of a feature's contributions over all rows, largest first."""
+        means = self.explain(rows).agg(*[F.avg(F.abs(F.col("contributions")[i])).alias(f"m{i}") for i in range(self.n_features)])
+        pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"m{i}").alias("gain")) for i, f in enumerate(features)])
+        return means.select(F.inline(pairs)).orderBy(F.desc("gain"), "feature")
+
+    def table(self, spark) -> DataFrame:
+        """(tree, node, feature, bin, threshold, gain, value, cover), all nodes of the heap."""
+        rows = [(n, i, *(c[i].item() for c in (t.feature, t.bin, t.threshold, t.gain, t.value, t.cover)))
+                for n, t in enumerate(self.trees) for i in range(len(t.value))]
+        return spark.createDataFrame(rows, "tree int, node int, feature int, bin int, threshold double, gain double, value double, cover double")
+
+    @staticmethod
+    def of(base: float, n_features: int, table: DataFrame, history: list[dict]) -> NewtonModel:
+        trees = [Tree(*(t[c].to_numpy() for c in ("feature", "bin", "threshold", "gain", "value", "cover")))
+                 for _, t in table.toPandas().sort_values(["tree", "node"]).groupby("tree")]
+        return NewtonModel(base, trees, n_features, history)
+
+
 @dataclass(frozen=True)
 class NewtonBooster:
     """``fit`` takes rows with features (vector), y, w, keys that tell rows apart, and with early stopping is_valid."""
@@ -213,6 +319,8 @@ class NewtonBooster:
     child: float = 1.0
     row_share: float = 0.8
     column_share: float = 0.8
+    bootstrap: float = 0.0
+    """Power of the weights (-ln u)^power that every row gets anew for each tree; 0 leaves weights as they are."""
     bins: int = 64
     patience: int = 0
     """Trees without a better validation score after which to stop; 0 never stops. AUC, or log loss where validation has one class."""
@@ -285,7 +393,7 @@ class NewtonBooster:
         for level in range(self.depth):
             now = tree
             sums = state.mapInArrow(
-                lambda b, t=now, lv=level: _sums(b, before, t, lv, use, k, spread, self.seed, number, self.row_share),
+                lambda b, t=now, lv=level: _sums(b, before, t, lv, use, k, spread, self.seed, number, self.row_share, self.bootstrap),
                 "node int, feature int, task int, g binary, h binary")
             judged = sums.repartition("node", "feature").sortWithinPartitions("node", "feature", "task").mapInArrow(
                 lambda b: _splits(b, self.l1, self.l2, self.child), "node int, feature int, bin int, gain double, g double, h double, gl double, hl double")
@@ -298,13 +406,13 @@ class NewtonBooster:
             for node, r in found.items():
                 at = 2**level - 1 + node
                 if level == 0:
-                    tree.value[at] = self.rate * leaf_value(r.g, r.h, self.l1, self.l2)
+                    tree.value[at], tree.cover[at] = self.rate * leaf_value(r.g, r.h, self.l1, self.l2), r.h
                 if r.gain <= LEAST_GAIN or r.bin >= len(edges[r.feature]):
                     continue
                 split = True
                 tree.feature[at], tree.bin[at], tree.threshold[at], tree.gain[at] = r.feature, r.bin, edges[r.feature][r.bin], r.gain
                 for side, g, h in ((1, r.gl, r.hl), (2, r.g - r.gl, r.h - r.hl)):
-                    tree.value[2 * at + side] = self.rate * leaf_value(g, h, self.l1, self.l2)
+                    tree.value[2 * at + side], tree.cover[2 * at + side] = self.rate * leaf_value(g, h, self.l1, self.l2), h
             if not split:
                 break
         return tree

@@ -11,6 +11,7 @@ from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 from functools import reduce
 
+import numpy as np
 from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -344,6 +345,58 @@ def search(
     return table.orderBy(F.desc_nulls_last(F.round("composite", 9)), "candidate")
 
 
+def stops(means: dict[int, float], rung_ends: bool, eta: int = 2) -> dict[int, str]:
+    """Which candidates stop, and why, by their mean over the folds so far; a mean that is missing counts as the lowest.
+
+    After each fold those below the median stop; where a rung ends, all but the best 1 / ``eta`` do. Ties go to the first.
+    """
+    low = {i: -np.inf if m is None or np.isnan(m) else round(m, 9) for i, m in means.items()}
+    order = sorted(low, key=lambda i: (-low[i], i))
+    middle = low[order[(len(order) - 1) // 2]]
+    out = {i: "median" for i in order if low[i] < middle}
+    if rung_ends:
+        out |= {i: "halving" for i in order[-(-len(order) // eta):] if i not in out}
+    return out
+
+
+def halving_search(
+    matrix: DataFrame, features: Sequence[str], candidates: Sequence[Learner], last_n: int = 6, gap: int = 1, seeds: Sequence[int] = (1,),
+    eta: int = 2, parallel: int = 2, **kw
+) -> DataFrame:
+    """(candidate, params, fold, composite, mean, state): the search of :func:`search` with candidates that fall behind stopped early.
+
+    Rungs take one month's fold, then two, four and so on; all candidates still in are fitted side by side. ``state`` is kept,
+    median or halving (see :func:`stops`) or finished, for those that were fitted on all folds.
+    """
+    rows = materialize(assemble(matrix, features))
+    splits = month_splits(rows, last_n, gap)
+    scores: dict[int, list] = {i: [] for i in range(len(candidates))}
+    out, rung, left = [], 1, 1
+    alive = list(scores)
+    for n, split in enumerate(splits):
+
+        def one(i: int) -> float | None:
+            return fit_folds(rows, features, [split], candidates[i], seeds, 0.2, **kw).composite(1)
+
+        with ThreadPoolExecutor(parallel) as pool:
+            got = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), alive))
+        for i, g in zip(alive, got, strict=True):
+            scores[i].append(g)
+        left -= 1
+        last = n == len(splits) - 1
+        means = {i: float(np.mean([np.nan if s is None else s for s in scores[i]])) for i in alive}
+        out_now = {} if last else stops(means, left == 0, eta)
+        for i in alive:
+            state = "finished" if last else out_now.get(i, "kept")
+            out.append((i, f"{candidates[i].kind} {sorted(candidates[i].params.items())}", split.name, scores[i][-1], means[i], state))
+        alive = [i for i in alive if i not in out_now]
+        if left == 0:
+            rung *= 2
+            left = rung
+    return matrix.sparkSession.createDataFrame(
+        out, "candidate int, params string, fold string, composite double, mean double, state string")
+
+
 def mini_evaluation(
     matrix: DataFrame, features: Sequence[str], learner: Learner = Learner(), sample: int = 20_000, seed: int = 42
 ) -> DataFrame:

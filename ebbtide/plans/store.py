@@ -11,10 +11,15 @@ import json
 
 from pyspark.sql import SparkSession
 
-from ebbtide.plans.calibration import Calibrator, SegmentCalibrator
+from ebbtide.operators.isotonic import Curves
+from ebbtide.plans.calibration import Calibrator, SegmentCalibrator, SegmentCurves
+from ebbtide.plans.newton import NewtonModel
 from ebbtide.plans.oof import Learner, OofResult, TwoStage
 
 
+NEWTON = "newton"
+
+
 def _write_note(spark: SparkSession, path: str, note: dict) -> None:
     spark.createDataFrame([(json.dumps(note),)], "value string").coalesce(1).write.text(f"{path}/note")
 
@@ -25,11 +30,20 @@ def _read_note(spark: SparkSession, path: str) -> dict:
 
 def _save_model(model, path: str) -> str:
     """Save and return the name of the class that reads it."""
+    if isinstance(model, NewtonModel):
+        spark = SparkSession.active()
+        model.table(spark).coalesce(1).write.parquet(f"{path}/trees")
+        _write_note(spark, path, {"base": model.base, "n_features": model.n_features, "history": model.history})
+        return NEWTON
     model.write().save(path)
     return f"{type(model).__module__}.{type(model).__name__}"
 
 
 def _load_model(kind: str, path: str):
+    if kind == NEWTON:
+        spark = SparkSession.active()
+        note = _read_note(spark, path)
+        return NewtonModel.of(note["base"], note["n_features"], spark.read.parquet(f"{path}/trees"), note["history"])
     module, _, name = kind.rpartition(".")
     if not module.startswith("pyspark.ml."):
         raise ValueError(f"{kind} is not a Spark ML model")
@@ -69,13 +83,20 @@ def load_calibrator(spark: SparkSession, path: str) -> Calibrator:
     return Calibrator(note["method"], _load_model(note["kind"], f"{path}/model"))
 
 
-def save_segments(spark: SparkSession, calibrator: SegmentCalibrator, path: str) -> None:
+def save_segments(spark: SparkSession, calibrator: SegmentCalibrator | SegmentCurves, path: str) -> None:
+    if isinstance(calibrator, SegmentCurves):
+        calibrator.curves.table(spark).write.parquet(f"{path}/curves")
+        _write_note(spark, path, {"curves": True})
+        return
     save_calibrator(spark, calibrator.whole, f"{path}/whole")
     for s, c in calibrator.own.items():
         save_calibrator(spark, c, f"{path}/segment_{s}")
     _write_note(spark, path, {"segments": sorted(calibrator.own)})
 
 
-def load_segments(spark: SparkSession, path: str) -> SegmentCalibrator:
-    own = {s: load_calibrator(spark, f"{path}/segment_{s}") for s in _read_note(spark, path)["segments"]}
+def load_segments(spark: SparkSession, path: str) -> SegmentCalibrator | SegmentCurves:
+    note = _read_note(spark, path)
+    if note.get("curves"):
+        return SegmentCurves(Curves.of(spark.read.parquet(f"{path}/curves")))
+    own = {s: load_calibrator(spark, f"{path}/segment_{s}") for s in note["segments"]}
     return SegmentCalibrator(load_calibrator(spark, f"{path}/whole"), own)

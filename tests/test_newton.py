@@ -97,3 +97,85 @@ def test_second_stream_out_of_fold(spark):
     got = oof.train_oof(matrix, ["f0", "f2"], learner, last_n=2, seeds=(1, 2))
     assert got.oof.count() == 300 and got.composite(2) > 0.5
     assert got.predict(matrix).count() == 900
+
+
+def test_attributions_by_definition(spark):
+    """Every set of features known in turn, all others drawn by cover."""
+    from itertools import combinations
+    from math import factorial
+
+    pdf, df = frame(spark, 400)
+    model = newton.NewtonBooster(rounds=2, depth=4, rate=0.5, bins=8, row_share=1.0, column_share=1.0).fit(df)
+    x = pdf[["f0", "f1", "f2"]].to_numpy()[:60]
+
+    def value(t, row, known, at=0):
+        f = t.feature[at]
+        if f < 0:
+            return t.value[at]
+        left, right = (value(t, row, known, 2 * at + s) for s in (1, 2))
+        if f in known:
+            return left if row[f] < t.threshold[at] else right
+        a, b = t.cover[2 * at + 1], t.cover[2 * at + 2]
+        return (a * left + b * right) / (a + b)
+
+    got, mean = model.contributions(x)
+    assert mean == pytest.approx(model.base + sum(value(t, x[0], set()) for t in model.trees)) and mean == pytest.approx(model.expected())
+    assert got.sum(axis=1) + mean == pytest.approx(model.margins(x))
+    for n, row in enumerate(x):
+        for i in range(3):
+            others = [j for j in range(3) if j != i]
+            want = sum(factorial(s) * factorial(2 - s) / 6 * sum(value(t, row, {*c, i}) - value(t, row, set(c)) for t in model.trees)
+                       for s in range(3) for c in combinations(others, s))
+            assert got[n, i] == pytest.approx(want, abs=1e-9)
+    ranked = model.mean_contributions(df, ["f0", "f1", "f2"]).collect()
+    assert [r.feature for r in ranked][0] == "f0" and len(ranked) == 3
+
+
+def test_bootstrap_weights(spark):
+    w = newton.bootstrap_weights(np.arange(50_000, dtype=np.int64) * 7919, 3, 5, 1.0)
+    assert abs(w.mean() - 1) < 0.02 and abs(w.std() - 1) < 0.03 and (w >= 0).all()  # exponential
+    assert (newton.bootstrap_weights(np.arange(9, dtype=np.int64), 3, 5, 0.0) == 1).all()
+    pdf, df = frame(spark, 600)
+    x = pdf[["f0", "f1", "f2"]].to_numpy()
+    fit = newton.NewtonBooster(rounds=2, depth=2, bins=8, bootstrap=1.0, row_share=1.0)
+    drawn = fit.fit(df).margins(x)
+    assert drawn == pytest.approx(fit.fit(df.repartition(2)).margins(x), abs=1e-9)
+    assert np.abs(drawn - newton.NewtonBooster(rounds=2, depth=2, bins=8, row_share=1.0).fit(df).margins(x)).max() > 1e-4
+
+
+def test_halving_stops():
+    assert oof.stops({0: 0.5, 1: 0.7, 2: 0.6, 3: 0.4}, False) == {0: "median", 3: "median"}
+    assert oof.stops({0: 0.5, 1: 0.5, 2: 0.5, 3: 0.5}, True) == {2: "halving", 3: "halving"}
+    assert oof.stops({0: float("nan"), 1: 0.2, 2: 0.1}, True) == {0: "median"}
+    assert oof.stops({4: 0.3}, True) == {}
+
+
+def test_halving_search_keeps_what_its_scores_say(spark):
+    pdf, df = frame(spark, 900)
+    matrix = df.drop("features", "w").withColumnRenamed("y", "churn")
+    tries = [oof.Learner("newton", {"rounds": 2, "depth": d, "bins": 8, "rate": r}) for d, r in ((1, 0.01), (2, 0.3), (2, 0.1))]
+    table = oof.halving_search(matrix, ["f0", "f2"], tries, last_n=3, gap=0).toPandas()
+    folds = sorted(table.fold.unique())
+    alive, seen = set(range(3)), {i: [] for i in range(3)}
+    for n, fold in enumerate(folds):
+        now = table[table.fold == fold].set_index("candidate")
+        assert set(now.index) == alive
+        for i in alive:
+            seen[i].append(now.composite[i])
+            assert now["mean"][i] == pytest.approx(np.mean(seen[i]))
+        want = {} if n == 2 else oof.stops({i: float(np.mean(seen[i])) for i in alive}, n == 0)
+        assert {i: s for i, s in now.state.items() if s not in ("kept", "finished")} == want
+        alive -= set(want)
+    assert set(table[table.state == "finished"].candidate) == alive and alive
+
+
+def test_saved_trees(spark, tmp_path):
+    from ebbtide.plans import store
+
+    pdf, df = frame(spark, 600)
+    matrix = df.drop("features", "w").withColumnRenamed("y", "churn")
+    made = oof.train_oof(matrix, ["f0", "f1"], oof.Learner("newton", {"rounds": 2, "depth": 2, "bins": 8}), last_n=2, seeds=(1,))
+    store.save_result(made, f"{tmp_path}/trees")
+    again = store.load_result(spark, f"{tmp_path}/trees")
+    a, b = (r.predict(matrix).toPandas().sort_values(["cust_id", "ref_date"]).p.to_numpy() for r in (made, again))
+    assert a == pytest.approx(b, abs=0) and again.composite(2) == made.composite(2)
