@@ -120,8 +120,8 @@ def shapley_sql() -> str:
     return (f"{tree_ctes()}, m AS (SELECT unnest(range(8)) AS mask), t AS (SELECT v.node, value, cover, f, threshold FROM v LEFT JOIN q USING (node)), "
             f"k AS (SELECT x.id, mask, t.node, {pick.format(t='t', l='lc.value', r='rc.value')} AS val FROM x CROSS JOIN m JOIN t ON t.node IN (1, 2) "
             "LEFT JOIN t lc ON lc.node = 2 * t.node + 1 LEFT JOIN t rc ON rc.node = 2 * t.node + 2), "
-            f"g AS (SELECT x.id, mask, {pick.format(t='t', l='kl.val', r='kr.val')} AS val FROM x JOIN k kl ON kl.id = x.id AND kl.node = 1 "
-            "JOIN k kr USING (id, mask) JOIN t ON t.node = 0 JOIN t lc ON lc.node = 1 JOIN t rc ON rc.node = 2 WHERE kr.node = 2), "
+            f"g AS (SELECT x.id, kl.mask, {pick.format(t='t', l='kl.val', r='kr.val').replace('(mask', '(kl.mask')} AS val FROM x JOIN k kl ON kl.id = x.id AND kl.node = 1 "
+            "JOIN k kr ON kr.id = x.id AND kr.mask = kl.mask AND kr.node = 2 JOIN t ON t.node = 0 JOIN t lc ON lc.node = 1 JOIN t rc ON rc.node = 2), "
             "z AS (SELECT id, list(val ORDER BY mask) AS z FROM g GROUP BY id) SELECT cust_id, ref_date, "
             + ", ".join(f"round({p}, 6) + 0.0 AS {c}" for c, p in zip(ABC, parts)) + " FROM z JOIN x USING (id)")
 
