@@ -181,9 +181,13 @@ class SegmentCurves:
 
     curves: Curves
 
+    @property
+    def own(self) -> list[str]:
+        """The segments that have a curve of their own."""
+        return [g for g in self.curves.places if g != WHOLE]
+
     def apply(self, df: DataFrame, score: str = "p", raw_share: float = RAW_SHARE) -> DataFrame:
-        own = [g for g in self.curves.places if g != WHOLE]
-        name = F.col("segment").cast("string")
+        own, name = self.own, F.col("segment").cast("string")
         group = F.when(name.isin(*own), name).otherwise(F.lit(WHOLE)) if own else F.lit(WHOLE)
         return df.withColumn(score, _mixed(self.curves.at(group, F.col(score)), score, raw_share))
 
