@@ -61,7 +61,7 @@ def last_rows(n: int, label: str = ", churn AS y") -> str:
             f"WHERE ref_date IN (SELECT DISTINCT ref_date FROM cohort ORDER BY ref_date DESC LIMIT {n})")
 
 
-query("j1_boosted_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, GBT, last_n=2, seeds=(1, 11)).oof))
+query("j1_boosted_oof", last_rows(6))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, GBT, seeds=(1, 11)).oof))
 SECOND = oof.Learner("newton", {"rounds": 3, "depth": 3, "rate": 0.3})
 query("j2_second_boosted_oof", last_rows(6))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, SECOND, seeds=(1,)).oof))
 
@@ -148,8 +148,8 @@ BOOTSTRAP = oof.Learner("newton", {"rounds": 3, "depth": 3, "rate": 0.3, "bootst
 query("j3_bootstrap_oof", last_rows(6))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, BOOTSTRAP, seeds=(1,)).oof))
 
 FOREST = oof.Learner("forest", {"numTrees": 8, "maxDepth": 4})
-query("j3_forest_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2)).oof))
-query("j4_rank_averaged_oof", last_rows(2))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, last_n=2, seeds=(1, 2), average="rank").oof))
+query("j3_forest_oof", last_rows(6))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, seeds=(1, 2)).oof))
+query("j4_rank_averaged_oof", last_rows(6))(lambda s, p: inside(oof.train_oof(matrix(s, p), FEATURES, FOREST, seeds=(1, 2), average="rank").oof))
 
 
 @query("j5_two_stage", last_rows(3))
@@ -191,8 +191,8 @@ def shares(importance: DataFrame, by: str) -> DataFrame:
         F.count(F.lit(1)).alias("features"), (F.min("gain") >= 0).alias("none_negative"), (F.abs(F.sum("gain") - 1) < 1e-6).alias("sums_to_one")).drop(by)
 
 
-query("j9_model_importance", f"SELECT CAST({len(FEATURES)} AS BIGINT) AS features, true AS none_negative, true AS sums_to_one FROM range(2)")(
-    lambda s, p: shares(oof.train_oof(matrix(s, p), FEATURES, GBT, last_n=2, seeds=(1,)).importance(), "fold"))
+query("j9_model_importance", f"SELECT CAST({len(FEATURES)} AS BIGINT) AS features, true AS none_negative, true AS sums_to_one FROM range(6)")(
+    lambda s, p: shares(oof.train_oof(matrix(s, p), FEATURES, GBT, seeds=(1,)).importance(), "fold"))
 
 
 @query("j10_domain_classifier")
