@@ -40,6 +40,27 @@ def test_average_rank_row_number_percentile(spark, path, request):
     assert np.allclose(whole, np.quantile(pdf["p"], 0.25))
 
 
+def test_a_row_is_compared_with_few_cut_points(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    keys = [None, *np.round(rng.random(300), 3).tolist()]
+    for size in (0, 1, 5, ranks.RANGES - 1, ranks.RANGES):
+        cuts = sorted(np.round(rng.random(size), 3).tolist())
+        df = spark.createDataFrame([(x, cuts) for x in keys], "x double, cuts array<double>").select("x", "cuts", F.struct("x").alias("k"))
+        df = df.withColumn("structs", F.transform("cuts", lambda c: F.struct(c.alias("x"))))
+        for cut, key, want in (("cuts", "x", [0, *np.searchsorted(cuts, keys[1:])]), ("structs", "k", None)):
+            got = [r[0] for r in df.select(ranks._below(cut, key)).collect()]
+            assert want is None or got == list(want)
+            assert got == [r[0] for r in df.select(F.size(F.expr(f"filter({cut}, c -> c < {key})")))).collect()]
+    # The rows are read for the sample and once more, whatever follows from their ranges.
+    written = []
+    monkeypatch.setattr(ranks, "SAMPLE_ONE_IN", 2)
+    monkeypatch.setattr(ranks, "MIN_SAMPLED", 2)
+    monkeypatch.setattr(ranks, "materialize", lambda d, keep=ranks.materialize: written.append(d.columns) or keep(d))
+    rows = spark.range(200).select(F.lit(1).alias("g"), F.col("id").alias("x"), F.lit(1).cast("long").alias("n"))
+    assert {(r.x, r.n_before) for r in ranks.running_totals(rows, ["g"], "x", ["n"]).collect()} == {(i, i) for i in range(200)}
+    assert ["g", "x", "n", "_range"] in written
+
+
 def brute(part, flip=False):
     part = part.sort_values("id")
     p, y = part["p"].to_numpy(), part["y"].to_numpy()
