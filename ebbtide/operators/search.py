@@ -5,7 +5,7 @@ Passes over the rows of a group (a month, or the whole table):
 1. every candidate's scores are counted in bins, once per task, so nothing the size of rows times candidates is ever built. The counts
    bound AUC and the hits of the top share from both sides, whatever the order inside a bin, and with them the composite. Candidates
    whose upper bound misses the best lower bound are out;
-2. those left are counted again in more bins;
+2. those left are counted again in more bins, twice, as long as any are left to rule out;
 3. those left then are ranked exactly, row by row.
 
 The bins of a candidate are cut at places of its scores on a bounded sample of the group. They only decide how tight the bounds are;
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 from ebbtide.operators import metrics
 from ebbtide.runtime import materialize
 
-ROUNDS = ((256, 2048), (4096, 16384))
+ROUNDS = ((256, 2048), (4096, 16384), (16384, 65536))
 """Bins, and rows of a group whose scores place their cuts (those with the least hashes), of each pass over bins."""
 
 LOT = 20_000
-"""Candidates of a group that one job counts; more are counted in several."""
+"""Candidates of a group that one job counts in the bins of the first round; more are counted in several, and fewer where bins are more."""
+
+HELD = 1 << 16
+"""Rows of a group that a task counts at once."""
 
 SLACK = 1e-8
 """Bounds within this of each other count as equal: composites are compared in nine digits."""
@@ -54,11 +57,40 @@ def _places(n: int, bins: int, share: float, flip: bool) -> np.ndarray:
     return np.unique(np.concatenate([even, *[np.arange(max(0, b - reach), min(n, b + reach)) for b in border]]).astype(np.int64))
 
 
+def _apart(cuts: np.ndarray) -> np.ndarray:
+    """Sorted cuts in which a repeated value is cut off on its other side too, so that the bin between holds that value alone."""
+    again = np.concatenate([[False], cuts[1:] == cuts[:-1]]) & np.isfinite(cuts)
+    return np.where(again, np.nextafter(cuts, np.inf), cuts)
+
+
+def _single(cuts: np.ndarray) -> np.ndarray:
+    """The bins that hold one value alone."""
+    inside = cuts[1:] == np.nextafter(cuts[:-1], np.inf)
+    return np.concatenate([[False], inside, [False]])
+
+
 def _count(batches: Iterator[pa.RecordBatch], streams: Sequence[str], grids: Grids, samples: Mapping[str, list[np.ndarray]],
            bins: int, share: float, flip: bool) -> Iterator[pa.RecordBatch]:
     """Rows and positives per bin of every candidate, for the groups this task has rows of."""
     cuts: dict[str, np.ndarray] = {}
     counts: dict[str, np.ndarray] = {}
+    held: dict[str, list[tuple[np.ndarray, list[np.ndarray]]]] = {}
+
+    def add(g: str) -> None:
+        """Count the rows held of a group. Sorting scores and looking up the cuts is cheaper than the other way round."""
+        if g not in counts:
+            places = _places(len(samples[g][0]), bins, share, flip)
+            cuts[g] = np.stack([_apart(np.sort(blended(samples[g], w))[places]) for _, w in grids[g]])
+            counts[g] = np.zeros((len(grids[g]), 2 * (len(places) + 1)), dtype=np.int64)
+        label = np.concatenate([y for y, _ in held[g]])
+        columns = [np.concatenate(parts) for parts in zip(*(x for _, x in held.pop(g)))]
+        bins_ = counts[g].shape[1] // 2
+        for part, at in ((label == 0, 0), (label == 1, bins_)):
+            mine = [c[part] for c in columns]
+            for i, (_, w) in enumerate(grids[g]):
+                below = np.searchsorted(np.sort(blended(mine, w)), cuts[g][i], side="left")
+                counts[g][i, at:at + bins_] += np.diff(below, prepend=0, append=len(mine[0]))
+
     for batch in batches:
         groups = batch["_group"].to_numpy(zero_copy_only=False)
         label = batch["_y"].to_numpy(zero_copy_only=False).astype(np.int64)
@@ -66,25 +98,26 @@ def _count(batches: Iterator[pa.RecordBatch], streams: Sequence[str], grids: Gri
         for g in set(groups):
             if not grids.get(g):
                 continue
-            if g not in counts:
-                places = _places(len(samples[g][0]), bins, share, flip)
-                cuts[g] = np.stack([np.sort(blended(samples[g], w))[places] for _, w in grids[g]])
-                counts[g] = np.zeros((len(grids[g]), 2 * (len(places) + 1)), dtype=np.int64)
             here = groups == g
-            width = counts[g].shape[1]
-            mine, side = [c[here] for c in columns], label[here] * (width // 2)
-            for i, (_, w) in enumerate(grids[g]):
-                counts[g][i] += np.bincount(np.searchsorted(cuts[g][i], blended(mine, w), side="right") + side, minlength=width)
+            held.setdefault(g, []).append((label[here], [c[here] for c in columns]))
+            if sum(len(y) for y, _ in held[g]) >= HELD:
+                add(g)
+    for g in list(held):
+        add(g)
     for g, table in counts.items():
         names = [c for c, _ in grids[g]]
         for s in range(0, len(table), 64):
             part = slice(s, s + 64)
             yield pa.RecordBatch.from_pydict(
-                {"_group": [g] * len(names[part]), "candidate": pa.array(names[part], pa.int32()), "counts": [r.tobytes() for r in table[part]]})
+                {"_group": [g] * len(names[part]), "candidate": pa.array(names[part], pa.int32()), "counts": [r.tobytes() for r in table[part]],
+                 "single": [np.packbits(_single(c)).tobytes() for c in cuts[g][part]]})
 
 
-def bounds(counts: np.ndarray, share: float, flip: bool) -> tuple[float, float] | None:
-    """Least and largest composite that the counts per bin allow, bins from low to high scores; None with one class only."""
+def bounds(counts: np.ndarray, share: float, flip: bool, single: np.ndarray | None = None) -> tuple[float, float] | None:
+    """Least and largest composite that the counts per bin allow, bins from low to high scores; None with one class only.
+
+    The rows of a ``single`` bin are tied: their pairs count half, and only which of them are in the top share is open.
+    """
     neg, pos = counts.reshape(2, -1)
     n_neg, n_pos = int(neg.sum()), int(pos.sum())
     if not n_neg or not n_pos:
@@ -92,8 +125,10 @@ def bounds(counts: np.ndarray, share: float, flip: bool) -> tuple[float, float]
     n = n_neg + n_pos
     top = max(1, int(np.rint(share * n)))
     above = n_pos - np.cumsum(pos)
-    least = float((neg * above).sum())
-    auc = least / (n_pos * n_neg), (least + float((neg * pos).sum())) / (n_pos * n_neg)
+    inside = neg * pos
+    tied = float(inside[single].sum()) if single is not None else 0.0
+    least = float((neg * above).sum()) + tied / 2
+    auc = least / (n_pos * n_neg), (least + float(inside.sum()) - tied) / (n_pos * n_neg)
 
     def hits(neg: np.ndarray, pos: np.ndarray) -> tuple[int, int]:
         """Of the first ``top`` rows, bins given best first."""
@@ -120,11 +155,13 @@ def bounds(counts: np.ndarray, share: float, flip: bool) -> tuple[float, float]
 
 def _bound(batches: Iterator[pa.RecordBatch], share: float, flip: bool) -> Iterator[pa.RecordBatch]:
     total: dict[tuple, np.ndarray] = {}
+    single: dict[tuple, np.ndarray] = {}
     for batch in batches:
-        for g, c, packed in zip(*(batch[x].to_pylist() for x in ("_group", "candidate", "counts"))):
+        for g, c, packed, alone in zip(*(batch[x].to_pylist() for x in ("_group", "candidate", "counts", "single"))):
             counts = np.frombuffer(packed, dtype=np.int64)
             total[g, c] = total[g, c] + counts if (g, c) in total else counts
-    found = [(g, c, bounds(counts, share, flip)) for (g, c), counts in total.items()]
+            single[g, c] = np.unpackbits(np.frombuffer(alone, np.uint8), count=len(counts) // 2).astype(bool)
+    found = [(g, c, bounds(counts, share, flip, single[g, c])) for (g, c), counts in total.items()]
     if found:
         yield pa.RecordBatch.from_pydict({
             "_group": [g for g, *_ in found], "candidate": pa.array([c for _, c, _ in found], pa.int32()),
@@ -151,7 +188,7 @@ def candidate_bounds(rows: DataFrame, streams: Sequence[str], grids: Grids, samp
     spark = rows.sparkSession
     names, sent = list(streams), spark.sparkContext.broadcast((dict(grids), dict(samples)))
     dealt = rows.repartitionByRange(spark.sparkContext.defaultParallelism, "_group", F.xxhash64("_group", *streams))
-    counted = dealt.mapInArrow(lambda b: _count(b, names, *sent.value, bins, share, flip), "_group string, candidate int, counts binary")
+    counted = dealt.mapInArrow(lambda b: _count(b, names, *sent.value, bins, share, flip), "_group string, candidate int, counts binary, single binary")
     merged = counted.repartition("_group", "candidate")
     return merged.mapInArrow(lambda b: _bound(b, share, flip), "_group string, candidate int, low double, high double")
 
@@ -187,18 +224,18 @@ def search(rows: DataFrame, streams: Sequence[str], grids: Mapping[str, Sequence
         if all(len(some) <= top for some in left.values()):
             break
         first = {g: [x[:n] for x in columns] for g, columns in samples.items()}
-        parts = [candidate_bounds(slim, streams, lot, first, bins, share, flip) for lot in _lots(left)]
+        parts = [candidate_bounds(slim, streams, lot, first, bins, share, flip) for lot in _lots(left, max(1, LOT * ROUNDS[0][0] // bins))]
         kept = survivors(reduce(DataFrame.unionByName, parts), top)
         left = {g: {c: left[g][c] for c in some} for g, some in kept.items()}
     scored = metrics.ranking_metrics(_copies(slim, streams, left), ["_group", "candidate"], label="_y", ids=ids, share=share, flip=flip)
     return best(scored, top)
 
 
-def _lots(left: Mapping[str, dict[int, list[float]]]) -> list[Grids]:
-    """Candidates in lots of at most ``LOT`` a group, the most that a task counts at once."""
+def _lots(left: Mapping[str, dict[int, list[float]]], size: int) -> list[Grids]:
+    """Candidates in lots of at most ``size`` a group, the most that a task counts at once."""
     most = max(map(len, left.values()), default=0)
     pairs = {g: list(some.items()) for g, some in left.items()}
-    return [{g: some[i:i + LOT] for g, some in pairs.items()} for i in range(0, max(most, 1), LOT)]
+    return [{g: some[i:i + size] for g, some in pairs.items()} for i in range(0, max(most, 1), size)]
 
 
 def _copies(rows: DataFrame, streams: Sequence[str], left: Mapping[str, dict[int, list[float]]]) -> DataFrame:

@@ -50,7 +50,7 @@ def test_a_row_is_compared_with_few_cut_points(spark, monkeypatch):
         for cut, key, want in (("cuts", "x", [0, *np.searchsorted(cuts, keys[1:])]), ("structs", "k", None)):
             got = [r[0] for r in df.select(ranks._below(cut, key)).collect()]
             assert want is None or got == list(want)
-            assert got == [r[0] for r in df.select(F.size(F.expr(f"filter({cut}, c -> c < {key})")))).collect()]
+            assert got == [r[0] for r in df.select(F.size(F.expr(f"filter({cut}, c -> c < {key})"))).collect()]
     # The rows are read for the sample and once more, whatever follows from their ranges.
     written = []
     monkeypatch.setattr(ranks, "SAMPLE_ONE_IN", 2)

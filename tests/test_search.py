@@ -60,6 +60,20 @@ def test_bounds_hold_and_rule_most_candidates_out(spark):
     assert all(len(c) < len(grid) / 3 for c in search.survivors(bounded).values())
 
 
+def test_tied_scores_are_told_apart_by_their_counts(spark):
+    # Streams of few values: a bin that holds one of them leaves nothing open but the border of the top share.
+    df = frame(spark, 8, n=3000, digits=1)
+    rows = materialize(df.select("cust_id", "ref_date", F.date_format("ref_date", "yyyy-MM").alias("_group"), F.col("y").alias("_y"), *NAMES))
+    grid = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.5, 0.5, 0.0]]
+    names = ["2000-01", "2000-02", "2000-03"]
+    bounded = search.candidate_bounds(rows, NAMES, {m: list(enumerate(grid)) for m in names}, search.sample_scores(rows, NAMES, 1000), 512, share=1.0, flip=False)
+    found = {(r._group, r.candidate): (r.low, r.high) for r in bounded.collect()}
+    assert len(found) == 9
+    for r in metrics.ranking_metrics(blend.with_candidates(rows, NAMES, grid), ["_group", "candidate"], label="_y", share=1.0).collect():
+        low, high = found[r._group, r.candidate]
+        assert low - 1e-9 <= r.composite <= high + 1e-9 and high - low < 1e-3
+
+
 def test_odd_groups(spark):
     df = frame(spark, 6, n=300)
     odd = df.withColumn("y", F.when(F.month("ref_date") == 1, 0).otherwise(F.col("y")))  # one class: no composite
