@@ -198,3 +198,23 @@ def test_submission_without_id_is_skipped(spark, tmp_path):
     (tmp_path / "submission_y.csv").write_text("churn\n0.5\n")
     got = scores.read_submissions(spark, f"{tmp_path}/submission_*.csv").collect()
     assert [(r.model, r.cust_id, r.churn) for r in got] == [("x", "1", 0.25)]
+
+
+def test_correlations_of_many_columns_take_one_pass(spark):
+    """Gaps, a large offset, infinite and undefined values in more columns than one aggregate holds."""
+    rng = np.random.default_rng(4)
+    n, k = 400, 30
+    x = rng.random((n, k)) + rng.random((n, 1)) * np.arange(k)
+    x[:, 2], x[5, 3] = x[:, 2] + 1e6, np.inf
+    gone = rng.random((n, k)) < 0.2
+    gone[:, 6] = True
+    rows = [[None if g else float(v) for v, g in zip(r, gs)] for r, gs in zip(x, gone)]
+    rows[7][8] = float("nan")
+    names = [f"c{i}" for i in range(k)]
+    df = spark.createDataFrame(rows, ", ".join(f"{c} double" for c in names))
+    got = {(r.a, r.b): r["corr"] for r in correlation.pearson_pairs(df, names).collect()}
+    want = {(r.a, r.b): r["corr"] for i in range(0, k) for r in correlation._plain_pairs(df, [(names[i], c) for c in names[i + 1:]]).collect()}
+    assert got.keys() == want.keys() and len(got) == k * (k - 1) // 2
+    for pair, value in want.items():
+        assert (got[pair] is None) == (value is None) and (value is None or got[pair] == pytest.approx(value, abs=1e-9)), pair
+    assert want["c6", "c7"] is None and want["c3", "c9"] is None and want["c1", "c9"] is not None
