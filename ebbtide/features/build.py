@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ebbtide.features import base, behavior, lifecycle, performance, rfm, risk, timing
 from ebbtide.features.demographics import demographics
-from ebbtide.features.panel import KEYS, Aggregates, aggregate, point_in_time
+from ebbtide.features.panel import KEYS, MEASURES, Aggregates, aggregate, point_in_time, tasks_for
 from ebbtide.functions.periods import month_number
 from ebbtide.functions.safe import SENTINEL, fill
 from ebbtide.operators.quantiles import column_percentiles
@@ -75,7 +75,11 @@ def feature_table(
     training and the scoring cohort separately. ``relative=False`` leaves those columns out.
     """
     families = list(families)
-    joined = point_in_time(history, cohort, unit, keyed)
+    # Written, as several branches read them; their sizes then decide the number of tasks.
+    history = materialize(history.select("cust_id", "date", *MEASURES))
+    cohort = materialize(cohort.select(*KEYS).distinct())
+    tasks = tasks_for(cohort, history)
+    joined = point_in_time(history, cohort, unit, keyed, tasks=tasks)
     a = Aggregates()
     columns: dict[str, Column] = {}
     owner: dict[str, str] = {}
@@ -104,7 +108,7 @@ def feature_table(
         *[c.alias(n) for n, c in columns.items()],
     )
     if "risk" in families and relative:
-        table = table.join(risk.peak_quarter(history, cohort, months), KEYS, "left")
+        table = table.join(risk.peak_quarter(history, cohort, months, tasks), KEYS, "left")
 
     clipped = [
         c

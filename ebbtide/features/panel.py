@@ -40,6 +40,19 @@ SPANS = {
 }
 BORDERS = (1, 2, 3, 6, 9, 12)
 PEAK_BASE = 1 << 20
+ROWS_PER_TASK = 1 << 16
+"""Cohort and history rows that one task of the point-in-time join takes: its sorts and aggregates hold them at once."""
+
+
+def tasks_for(*tables: DataFrame) -> int:
+    """Tasks that keep ``ROWS_PER_TASK`` rows of the (written) tables each, and at least one a core."""
+    rows = sum(t.count() for t in tables)
+    return max(tables[0].sparkSession.sparkContext.defaultParallelism, -(-rows // ROWS_PER_TASK))
+
+
+def placed(df: DataFrame, tasks: int | None) -> DataFrame:
+    """Rows placed by customer in a number of tasks that AQE does not merge; without a number left to Spark."""
+    return df.repartition(tasks, "cust_id") if tasks else df
 
 
 def merge_same_day(history: DataFrame) -> DataFrame:
@@ -102,18 +115,22 @@ def with_running_columns(panel: DataFrame) -> DataFrame:
 
 
 def point_in_time(
-    history: DataFrame, cohort: DataFrame, unit: str = "month", keyed: bool = False, horizon: int | None = 12
+    history: DataFrame, cohort: DataFrame, unit: str = "month", keyed: bool = False, horizon: int | None = 12,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Cohort rows with the history rows they need: those of the last ``horizon`` periods and the latest row.
 
     ``horizon=None`` joins every row on or before the reference date. ``keyed=True`` promises that (cust_id, date) is
     already unique and saves the merge. Cohort rows without history stay, with nulls on the history side.
+
+    ``tasks`` (see :func:`tasks_for`) fixes how many tasks the rows are dealt to: what is shuffled is small, but it grows
+    many times in the windows, the join and the aggregates behind, so partitions merged by their bytes are too large.
     """
-    c = cohort.select(*KEYS).distinct()
+    c = placed(cohort.select(*KEYS).distinct(), tasks)
     # Rows after the last reference date are not read (a runtime filter on the scan).
     panel = history.select("cust_id", "date", *MEASURES).where(F.col("date") <= c.agg(F.max("ref_date")).scalar())
     panel = panel if keyed else merge_same_day(panel)
-    panel = with_running_columns(panel.join(c.select("cust_id").distinct(), "cust_id", "left_semi"))
+    panel = with_running_columns(placed(panel, tasks).join(c.select("cust_id").distinct(), "cust_id", "left_semi"))
     latest = panel["next_date"].isNull() | (panel["next_date"] > c["ref_date"])
     on = (c["cust_id"] == panel["cust_id"]) & (panel["date"] <= c["ref_date"])
     if horizon is not None:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ebbtide.features.panel import CC_AMT, EFT_AMT, KEYS, PRODUCTS, Aggregates
+from ebbtide.features.panel import CC_AMT, EFT_AMT, KEYS, PRODUCTS, Aggregates, placed
 from ebbtide.functions import periods
 from ebbtide.functions.safe import clip, ratio, shifted_ratio
 
@@ -90,16 +90,16 @@ def rfm_level(rec: Column, n: Column, amt: Column, n95: Column, amt95: Column) -
     )
 
 
-def peak_quarter(history: DataFrame, cohort: DataFrame, month_places: DataFrame) -> DataFrame:
+def peak_quarter(history: DataFrame, cohort: DataFrame, month_places: DataFrame, tasks: int | None = None) -> DataFrame:
     """Largest sum of rows over three neighbouring observed cohort months, per (cust_id, ref_date).
 
     A best window can always be moved left until it ends in a month the customer was active in, so only those
     months are looked at and no customer-by-month grid is built. ``month_places`` numbers the months seen in
     the cohort: (ref_date, month_no, place).
     """
-    days = history.select("cust_id", "date").distinct()
-    rows = cohort.select(*KEYS).distinct().join(days, "cust_id").where(F.col("date") <= F.col("ref_date"))
+    days = placed(history.select("cust_id", "date").distinct(), tasks)
+    rows = placed(cohort.select(*KEYS).distinct(), tasks).join(days, "cust_id").where(F.col("date") <= F.col("ref_date"))
     months = rows.groupBy(*KEYS, periods.month_number(F.col("date")).alias("month_no")).agg(F.count(F.lit(1)).alias("c"))
-    placed = months.join(month_places, ["ref_date", "month_no"])
+    numbered = months.join(month_places, ["ref_date", "month_no"])
     near = Window.partitionBy(*KEYS).orderBy("place").rangeBetween(-2, Window.currentRow)
-    return placed.withColumn("c3", F.sum("c").over(near)).groupBy(*KEYS).agg(F.max("c3").alias("_peak_quarter"))
+    return numbered.withColumn("c3", F.sum("c").over(near)).groupBy(*KEYS).agg(F.max("c3").alias("_peak_quarter"))

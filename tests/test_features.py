@@ -138,3 +138,24 @@ def test_future_leak_validator(spark):
     quality.assert_no_future(df, F.lit("2000-02-01"), inclusive=False)
     with pytest.raises(ValueError, match="n=1"):
         quality.assert_no_future(df, F.lit("2000-02-01"))
+
+
+def test_tasks_of_the_panel_follow_its_rows(spark, monkeypatch):
+    """The join and what comes after it are dealt to tasks by rows, however few bytes are shuffled."""
+    import datetime
+
+    from ebbtide.features import panel
+    from ebbtide.runtime import materialize
+
+    day = datetime.date(2000, 1, 1)
+    h = spark.createDataFrame([(i, day, 1.0, 2.0, 3.0, 4.0, 5.0) for i in range(300)], "cust_id long, date date, " + ", ".join(f"{c} double" for c in panel.MEASURES))
+    c = spark.createDataFrame([(i, datetime.date(2000, 2, 1)) for i in range(300)], "cust_id long, ref_date date")
+    monkeypatch.setattr(panel, "ROWS_PER_TASK", 20)
+    h, c = materialize(h), materialize(c)
+    tasks = panel.tasks_for(c, h)
+    joined = panel.point_in_time(h, c, tasks=tasks)
+    assert tasks == 30 and joined.rdd.getNumPartitions() == 30
+    a = panel.Aggregates()
+    total = a.sum(panel.EFT_AMT, "3")
+    got = panel.aggregate(joined, a).select(total.alias("s"))
+    assert got.rdd.getNumPartitions() == 30 and [r.s for r in got.collect()] == [2.0] * 300
