@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,8 +34,9 @@ class Domain:
 
 
 def domain_rows(train: DataFrame, test: DataFrame, features: Sequence[str], k: int = 5, seed: int = 42) -> DataFrame:
+    """Both sides with ``domain`` and ``fold``, written: fits and importances read them many times."""
     both = with_split(train.select(*KEYS, *features), test.select(*KEYS, *features))
-    return fold_ops.stratified_folds(both, "domain", KEYS, k, seed)
+    return materialize(fold_ops.stratified_folds(both, "domain", KEYS, k, seed))
 
 
 def domain_classifier(
@@ -48,9 +50,7 @@ def domain_classifier(
 ) -> Domain:
     """Cross-validated over ``k`` stratified folds, or one stratified hold-out of a fifth."""
     folded = domain_rows(train, test, features, HOLDOUT if holdout else k, seed)
-    keyed = folded.select(*KEYS, "fold", "domain", *features)
-    vectors = assemble(keyed, features, "domain").join(keyed.select(*KEYS, "fold"), KEYS)
-    rows = materialize(vectors)
+    rows = materialize(assemble(folded.na.drop("any", subset=KEYS), features, "domain", keep=["fold"]))
     splits = column_splits("fold", HOLDOUT if holdout else k)[: 1 if holdout else None]
     result = fit_folds(rows, features, splits, learner, (seed,))
     # Folds are scored apart: their models are not on one scale.
@@ -166,7 +166,8 @@ def drift_report(
 def permutation_importance(domain: Domain, rows: DataFrame, features: Sequence[str], seed: int = 42) -> DataFrame:
     """(feature, drop): fall of the AUC when one feature's values are exchanged between rows.
 
-    Values move between rows by joining two hash orders on the row number, so nothing is gathered in one task.
+    Values move between rows by joining two hash orders on the row number, so nothing is gathered in one task. The rows are
+    scored as they are and with each feature changed in one job, and one more finds all the AUCs.
     """
     from ebbtide.operators.ranks import row_numbers
 
@@ -178,13 +179,14 @@ def permutation_importance(domain: Domain, rows: DataFrame, features: Sequence[s
     two = row_numbers(base, [], [h[1], *map(F.col, KEYS)], "_place")
     swapped = materialize(one.join(two.select("_place", *[F.col(f).alias(f"o_{f}") for f in features]), "_place"))
 
-    def score(changed: str | None) -> float:
+    def scores(changed: str | None) -> DataFrame:
         cols = [F.col(f"o_{f}").alias(f) if f == changed else F.col(f) for f in features]
         got = model.transform(assemble(swapped.select(*KEYS, "domain", *cols), features, "domain"))
-        return auc(got.select(F.col("y").cast("int").alias("y"), learner.score(got).alias("p"))).first().auc
+        return got.select(F.lit(changed).cast("string").alias("changed"), F.col("y").cast("int").alias("y"), learner.score(got).alias("p"))
 
-    whole = score(None)
-    out = [(f, whole - score(f)) for f in features]
+    every = reduce(DataFrame.unionByName, [scores(f) for f in (None, *features)])
+    found = {r.changed: r.auc for r in auc(every, ["changed"]).collect()}  # one row a feature
+    out = [(f, found[None] - found[f]) for f in features]
     return rows.sparkSession.createDataFrame(out, "feature string, drop double")
 
 

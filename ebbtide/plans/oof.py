@@ -43,6 +43,11 @@ class Learner:
     params: dict = field(default_factory=dict)
     early_stop: bool = False
 
+    @property
+    def draws_by_place(self) -> bool:
+        """Whether the rows of a tree are drawn by their place; the others take all rows or draw them by key."""
+        return self.kind in ("gbt", "forest")
+
     def estimator(self, seed: int):
         common = {"featuresCol": "features", "labelCol": "y", "weightCol": "w"}
         if self.kind == "gbt":
@@ -120,12 +125,14 @@ class OofResult:
         return mean_score(rows, [m for _, _, m in self.models], self.learner)
 
 
-def assemble(matrix: DataFrame, features: Sequence[str], label: str | None = "churn", weight: str | None = None) -> DataFrame:
-    """Keys, month, label, weight and the feature vector."""
+def assemble(
+    matrix: DataFrame, features: Sequence[str], label: str | None = "churn", weight: str | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
+    """Keys, month, label, weight, the columns to keep and the feature vector."""
     w = fold_ops.clean_weight(F.col(weight)) if weight else F.lit(1.0)
     y = F.col(label).cast("double") if label else F.lit(None).cast("double")
     slim = matrix.select(
-        *KEYS, month_start(F.col("ref_date")).alias("month"), y.alias("y"), w.alias("w"),
+        *KEYS, month_start(F.col("ref_date")).alias("month"), y.alias("y"), w.alias("w"), *keep,
         *[F.col(f).cast("double").alias(f"x_{i}") for i, f in enumerate(features)],
     )
     names = [f"x_{i}" for i in range(len(features))]
@@ -203,6 +210,7 @@ def fit_folds(
 ) -> OofResult:
     """Fit every (fold, seed), guard each against a flipped score, average over seeds.
 
+    ``rows`` are read again for every fold and pass: give a written table.
     ``average='rank'`` averages the scaled ordinal ranks inside a fold instead of the scores.
     """
 
@@ -213,7 +221,8 @@ def fit_folds(
         valid = rows.where(split.valid)
         if learner.early_stop:
             train = train.withColumn("is_valid", F.lit(False)).unionByName(valid.withColumn("is_valid", F.lit(True)))
-        train = _in_fixed_order(materialize(train))
+        if learner.draws_by_place:
+            train = _in_fixed_order(materialize(train))
         mine = learner.for_rows(train)
         return [(split.name, s, mine.estimator(s).fit(train), valid) for s in seeds]
 

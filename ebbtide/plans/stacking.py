@@ -41,17 +41,28 @@ def month_stacker(meta: DataFrame, features: Sequence[str], learner: Learner = l
 
 
 def kfold_stacker(meta: DataFrame, features: Sequence[str], learner: Learner = logistic(), k: int = 5, seed: int = 42) -> OofResult:
-    rows = assemble(meta, features)
-    folded = fold_ops.stratified_folds(rows, "y", KEYS, k, seed)
-    return fit_folds(materialize(folded), features, column_splits("fold", k), learner)
+    return _on_folds(materialize(_folded(meta, features, k, seed)), features, learner, k)
+
+
+def _folded(meta: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+    slim = meta.select(*dict.fromkeys([*KEYS, "churn", *features]))
+    return fold_ops.stratified_folds(slim, "churn", KEYS, k, seed)
+
+
+def _on_folds(folded: DataFrame, features: Sequence[str], learner: Learner, k: int) -> OofResult:
+    return fit_folds(assemble(folded, features, keep=["fold"]), features, column_splits("fold", k), learner)
 
 
 def compare_stackers(meta: DataFrame, streams: Sequence[str], extra: Sequence[str], boosted: Learner, k: int = 5) -> DataFrame:
-    """(stacker, auc, composite) of logistic and boosted, on streams alone and with raw features; best first."""
+    """(stacker, auc, composite) of logistic and boosted, on streams alone and with raw features; best first.
+
+    A row's fold depends on its keys and label alone, so all four stackers read the same written folds.
+    """
     rows = []
+    folded = materialize(_folded(meta, [*streams, *extra], k))
     for name, learner in (("logistic", logistic()), ("boosted", boosted)):
         for kind, features in (("streams", list(streams)), ("streams and features", [*streams, *extra])):
-            m = ranking_metrics(kfold_stacker(meta, features, learner, k).oof).first()
+            m = ranking_metrics(_on_folds(folded, features, learner, k).oof).first()
             rows.append((f"{name}, {kind}", m.auc, m.composite))
     made = meta.sparkSession.createDataFrame(rows, "stacker string, auc double, composite double")
     return made.orderBy(F.desc_nulls_last("composite"), "stacker")
