@@ -112,6 +112,71 @@ def test_lists_of_words_between_bars_are_rejected(spark):
     assert {r.doc_id for r in quality.assess(docs).where("NOT kept").collect()} == {1000, 1001, 1002}
 
 
+def test_spelling_equals_the_plain_model_and_leaves_single_texts_out(spark):
+    rnd = random.Random(5)
+    text = some_text(rnd, 400, 400).encode()
+    code, n = np.unique(quality.grams(text), return_counts=True)
+    rows = [("en", int(c), int(k) * quality.WHOLE, 0, 1) for c, k in zip(code, n)]
+    model = quality.Model(quality.kneser_ney(code, n))
+    counts = spark.createDataFrame(rows, "_lang string, gram long, n long, lo long, hi long")
+    got = {r.gram: r.log for r in quality.spelling(counts, 4, 5).collect()}
+    assert [got[c] for c in code] == pytest.approx(model._log(code, 4), abs=1e-5)
+    # The same with texts of their own, some n-grams having one alone.
+    own = {int(c): rnd.randrange(3) for c in code}
+    single = counts.withColumn("hi", F.when(F.col("gram").isin([c for c, k in own.items() if k]), F.col("hi")).otherwise(F.col("lo")))
+    alone = {r.gram: r.log for r in quality.spelling(single, 4, 5).collect()}
+    want = np.log([left_out({int(c): (int(k), bool(own[int(c)])) for c, k in zip(code, n)}, 4)[c] for c in code])
+    assert [alone[c] for c in code] == pytest.approx(want, abs=1e-5)
+    assert max(abs(alone[c] - got[c]) for c in code) > 0.1
+
+
+def left_out(seen, k):
+    """{gram: probability} over units of five bits; ``seen`` has counts, and whether more than one text has the gram."""
+    if k == 0:
+        return {0: 1 / 32}
+    few: dict[int, tuple[int, bool]] = {}
+    for g, (_, shared) in seen.items():
+        short = g % 32 ** (k - 1)
+        few[short] = few.get(short, (0, False))[0] + 1, few.get(short, (0, False))[1] or shared
+    down = left_out(few, k - 1)
+    ones, twos, threes, fours = ([n for n, _ in seen.values()].count(i) for i in (1, 2, 3, 4))
+    y = ones / (ones + 2 * twos) if ones else 0.5
+    cut = [min(max(i - (i + 1) * y * b / a, 0), i) if a else 0.5 for i, a, b in ((1, ones, twos), (2, twos, threes), (3, threes, fours))]
+    off = {g: cut[min(n, 3) - 1] if shared else n for g, (n, shared) in seen.items()}
+    total, left = {}, {}
+    for g, (n, _) in seen.items():
+        total[g // 32] = total.get(g // 32, 0) + n
+        left[g // 32] = left.get(g // 32, 0) + off[g]
+    return {g: (n - off[g] + left[g // 32] * down[g % 32 ** (k - 1)]) / total[g // 32] for g, (n, _) in seen.items()}
+
+
+def test_bytes_are_counted_unfolded(spark, monkeypatch):
+    rnd = random.Random(9)
+    texts = [some_text(rnd, 60, 300) for _ in range(30)] + ["", None, "É", "x" * 40]
+    docs = spark.createDataFrame([("en", i, t or "") for i, t in enumerate(texts)], "_lang string, _print long, _text string").repartition(3)
+    want: dict[int, list] = {}
+    for i, t in enumerate(texts):
+        raw = b"    " + (t or "").encode()
+        for k in range(len(raw) - 4):
+            want.setdefault(int.from_bytes(raw[k:k + 5], "big"), []).append(i)
+    for held in (quality.HELD, 500):  # with few held, tasks hand on several times
+        monkeypatch.setattr(quality, "HELD", held)
+        got = {r.gram: (r.n, r.lo != r.hi) for r in quality.count_grams(docs).collect()}
+        assert got == {g: (len(of) * quality.WHOLE, len(set(of)) > 1) for g, of in want.items()}
+
+
+def test_letters_of_unusual_case_are_rejected_however_the_model_is_cut(spark, monkeypatch):
+    rnd = random.Random(10)
+    rows = [(i, some_text(rnd, 60, 300), "en") for i in range(200)]
+    rows += [(1000, "".join(rnd.choice([c.upper(), c.lower()]) for c in some_text(rnd, 200, 200)), "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in quality.assess(docs).collect()}
+    assert [k for k, r in got.items() if not r.kept] == [1000]
+    assert got[1000].low < got[1000].loss < got[1000].high  # the folded model sees nothing
+    monkeypatch.setattr(quality, "BLOCK_BYTES", 12 * 4000)
+    assert {r.doc_id: (r.kept, round(r.spelled, 9)) for r in quality.assess(docs).collect()} == {k: (r.kept, round(r.spelled, 9)) for k, r in got.items()}
+
+
 @pytest.mark.parametrize("near", [False, True])
 def test_copies_of_one_text_do_not_narrow_the_band(spark, near):
     rnd = random.Random(7)
