@@ -107,3 +107,16 @@ def test_rounding_of_the_top_share_is_half_even(spark):
     df = spark.createDataFrame([(i, i / 25, 1) for i in range(25)], "id long, p double, y int")
     assert metrics.ranking_metrics(df, ids=["id"]).first().k == 2
     assert metrics.ranking_metrics(df, ids=["id"], rounding="ceil").first().k == 3
+
+
+def test_numbered_rows_are_worked_out_once(spark, ranged):
+    read = spark.sparkContext.accumulator(0)
+
+    def run(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+
+    rows = spark.range(500).mapInPandas(run, "id long")
+    assert [r.rn for r in ranks.row_numbers(rows, [], [F.col("id")]).orderBy("id").collect()] == list(range(1, 501))
+    assert read.value == 500
