@@ -154,33 +154,43 @@ def _dirichlet(rng: random.Random, alpha: Sequence[float]) -> list[float]:
     return [d / sum(draws) for d in draws]
 
 
-def with_candidates(df: DataFrame, streams: Sequence[str], candidates: Sequence[Sequence[float]]) -> DataFrame:
-    """Each row once per candidate with ``candidate`` (its position) and the blended score ``p``."""
+def with_candidates(df: DataFrame, streams: Sequence[str], candidates: Sequence[Sequence[float]], keep: bool = False) -> DataFrame:
+    """Each row once per candidate with ``candidate`` (its position) and the blended score ``p``; ``keep`` leaves the streams in."""
     text = json.dumps([{"candidate": i, "w": list(w)} for i, w in enumerate(candidates)])
     table = F.from_json(F.lit(text), "array<struct<candidate:int,w:array<double>>>")
-    return _blended(df.select("*", F.inline(table)), streams)
+    return _blended(df.select("*", F.inline(table)), streams, keep)
 
 
-def _blended(df: DataFrame, streams: Sequence[str]) -> DataFrame:
+def _blended(df: DataFrame, streams: Sequence[str], keep: bool = False) -> DataFrame:
     # The additions have one order everywhere, so equal blends tie bit by bit.
     score = F.element_at("w", 1) * F.col(streams[0])
     for i, s in enumerate(streams[1:], 2):
         score = score + F.element_at("w", i) * F.col(s)
-    return df.select(*[c for c in df.columns if c not in (*streams, "w")], score.alias("p"))
+    return df.select(*[c for c in df.columns if c != "w" and (keep or c not in streams)], score.alias("p"))
 
 
 def score_candidates(
     df: DataFrame, streams: Sequence[str], candidates: Sequence[Sequence[float]], label: str = "y",
     last_n: int | None = None
 ) -> DataFrame:
-    """(month, candidate, metrics...) with the per-month flip guard; one job for ``BATCH`` candidates."""
+    """(month, candidate, metrics...) with the per-month flip guard; one job for ``BATCH`` candidates.
+
+    Rows of one month that agree in all streams and the label have equal blends whatever the weights: they are counted first, and
+    each such vector is scored once per candidate. Only vectors tied at the border of the top share meet their rows again.
+    """
     rows = last_months(df, last_n) if last_n else df.withColumn("month", month_start(F.col("ref_date")))
-    slim = rows.select(*KEYS, "month", F.col(label).alias("y"), *streams)
-    if len(candidates) > BATCH:
-        slim = materialize(slim)
+    names = [f"_stream_{i}" for i in range(len(streams))]
+    slim = materialize(rows.select(*KEYS, "month", F.col(label).alias("y"), *[F.col(s).alias(n) for s, n in zip(streams, names)]))
+    same = ["month", *names, "y"]
+    vectors = materialize(slim.groupBy(*same).agg(F.count(F.lit(1)).alias("_rows")))
+
+    def members(ties: DataFrame) -> DataFrame:
+        return join_keys(slim, materialize(ties.select(*same, "candidate", "_need")), same)
+
     parts = []
     for i in range(0, max(len(candidates), 1), BATCH):
-        some = ranking_metrics(with_candidates(slim, streams, candidates[i:i + BATCH]), ["month", "candidate"], flip=True)
+        blends = with_candidates(vectors, names, candidates[i:i + BATCH], keep=True)
+        some = ranking_metrics(blends, ["month", "candidate"], flip=True, weight="_rows", members=members)
         parts.append(some.withColumn("candidate", F.col("candidate") + i))
     return reduce(DataFrame.unionByName, parts)
 

@@ -92,3 +92,18 @@ def test_sweeps_equal_ranking_every_copy(spark):
         for i, g in enumerate(values):
             want = metrics.monthly_composite(df.withColumn("p", fn(F.col("p"), F.lit(g)))).first().composite
             assert got[i] == pytest.approx(want, abs=1e-12)
+
+
+def test_equal_vectors_are_scored_once_and_tied_rows_stay_apart(spark, monkeypatch):
+    df = frame(spark, 8, n=600, digits=1).withColumn(NAMES[0], F.when(F.col("cust_id") % 11 != 0, F.col(NAMES[0])))
+    df = df.unionByName(df.where("cust_id < 50"))  # rows that come twice
+    grid = blend.simplex_grid(NAMES, 4)
+    plain = metrics.ranking_metrics(blend.with_candidates(df.withColumn("month", F.trunc("ref_date", "month")), NAMES, grid), ["month", "candidate"], flip=True)
+    want = {(r.month, r.candidate): (r.n, r.positives, r.k, r.hits, r.auc, r.composite) for r in plain.collect()}
+    sizes = []
+    rank = blend.ranking_metrics
+    monkeypatch.setattr(blend, "ranking_metrics", lambda rows, *a, **k: (sizes.append(rows.count()), rank(rows, *a, **k))[1])
+    got = {(r.month, r.candidate): (r.n, r.positives, r.k, r.hits, r.auc, r.composite) for r in blend.score_candidates(df, NAMES, grid).collect()}
+    assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+    distinct = df.select(F.trunc("ref_date", "month"), "y", *NAMES).distinct().count()
+    assert sizes == [distinct * len(grid)] and distinct < df.count()
