@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ebbtide.llm.common import small_batches
 
-CACHE_ENTRIES = 200_000
+CACHE_ENTRIES = 400_000
 """Pre-tokens in each of the two generations a worker remembers. Forgetting changes no result."""
 CACHE_CHARS = 40
 """Longer pre-tokens are encoded each time."""
@@ -35,7 +35,8 @@ CACHE_CHARS = 40
 class RankQueue:
     """Positions by rank; ``pop`` gives the leftmost position of the lowest rank.
 
-    Bit r of the leaves says that rank r's bucket is in use, bit w of ``top`` that leaf w has a bit set.
+    Bit r of the leaves says that rank r's bucket is in use, bit w of ``top`` that leaf w has a bit set. ``Encoder.merge``
+    takes these two steps in place, on the leaves and buckets kept here: a call would cost as much as the step.
     """
 
     __slots__ = ("buckets", "leaves", "top")
@@ -89,16 +90,18 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.longest = max(map(len, ranks))
-        self.tokens = {r: t for t, r in ranks.items()}
-        self.queue = RankQueue(max(ranks.values()) + 1)
+        self.by_rank: list[bytes | None] = [None] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.by_rank[rank] = token
+        self.queue = RankQueue(len(self.by_rank))
         self.young, self.old = Recent(self), {}
 
     def merge(self, piece: bytes) -> list[int]:
         """Ids of one pre-token."""
         if piece in self.ranks:
             return [self.ranks[piece]]
-        get, longest, n, queue = self.ranks.get, self.longest, len(piece), self.queue
-        push, pop = queue.push, queue.pop
+        get, longest, n = self.ranks.get, self.longest, len(piece)
+        leaves, buckets, bits, top = self.queue.leaves, self.queue.buckets, RankQueue.BITS, 0
         end = list(range(1, n + 2))  # the token at i is piece[i:end[i]]; the next one starts at end[i]
         before = list(range(-1, n))
         waits = [-1] * n  # rank of the pair that starts at i, as it stands now
@@ -106,9 +109,26 @@ class Encoder:
             rank = get(piece[i:i + 2])
             if rank is not None:
                 waits[i] = rank
-                push(rank, i)
-        while queue.top:
-            rank, i = pop()
+                if rank in buckets:
+                    buckets[rank].append(i)  # positions rise here, so the bucket stays a heap
+                else:
+                    buckets[rank] = [i]
+                    top |= 1 << (rank >> 8)
+                    leaves[rank >> 8] |= bits[rank & 255]
+        while top:
+            leaf = (top & -top).bit_length() - 1
+            word = leaves[leaf]
+            first = word & -word
+            rank = leaf << 8 | first.bit_length() - 1
+            bucket = buckets[rank]
+            if len(bucket) > 1:
+                i = heappop(bucket)
+            else:
+                i = bucket[0]
+                del buckets[rank]
+                leaves[leaf] = word = word ^ first
+                if not word:
+                    top &= top - 1
             if waits[i] != rank:
                 continue  # stale: one of its tokens has been merged since
             j = end[i]
@@ -118,13 +138,23 @@ class Encoder:
                 before[stop] = i
                 if end[stop] - i <= longest and (rank := get(piece[i:end[stop]])) is not None:
                     waits[i] = rank
-                    push(rank, i)
+                    if rank in buckets:
+                        heappush(buckets[rank], i)
+                    else:
+                        buckets[rank] = [i]
+                        top |= 1 << (rank >> 8)
+                        leaves[rank >> 8] |= bits[rank & 255]
             left = before[i]
             if left >= 0:
                 waits[left] = -1
                 if stop - left <= longest and (rank := get(piece[left:stop])) is not None:
                     waits[left] = rank
-                    push(rank, left)
+                    if rank in buckets:
+                        heappush(buckets[rank], left)
+                    else:
+                        buckets[rank] = [left]
+                        top |= 1 << (rank >> 8)
+                        leaves[rank >> 8] |= bits[rank & 255]
         ids, i = [], 0
         while i < n:
             ids.append(self.ranks[piece[i:end[i]]])
@@ -151,7 +181,7 @@ class Encoder:
         return np.frombuffer(self.packed(text), "<u4")
 
     def decode(self, ids: np.ndarray) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids.tolist()))
+        return b"".join(map(self.by_rank.__getitem__, ids.tolist()))
 
 
 @lru_cache(maxsize=2)

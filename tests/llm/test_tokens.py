@@ -36,6 +36,21 @@ def test_forgetting_changes_nothing(encoder, library, monkeypatch):
     assert encoder.encode(text).tolist() == library.encode_ordinary(text)
 
 
+def test_words_of_a_large_vocabulary_are_merged_once():
+    own, merged = bpe.Encoder({bytes([b]): b for b in range(256)}, P.PATTERN), []
+    own.merge = lambda piece: merged.append(piece) or [0]
+    text = " ".join(f"{i:05x}".translate(str.maketrans("0123456789", "ghijklmnop")) for i in range(390_000))
+    own.encode(text)
+    own.encode(text)
+    assert len(merged) == len(set(merged)) == 390_000
+
+
+def test_merging_leaves_the_queue_empty(encoder, library):
+    for text in ("abababab", "aaaaaaaaaaaa", "zzyzzyx", "éèêçç", "q", "漢漢漢字字"):
+        assert encoder.merge(text.encode()) == library.encode_ordinary(text)
+        assert not encoder.queue.buckets and not any(encoder.queue.leaves)
+
+
 def test_queue_gives_lowest_rank_then_leftmost():
     q = bpe.RankQueue(70_000)
     entries = [(69_999, 4), (300, 9), (300, 2), (0, 7), (255, 1), (256, 1)]
