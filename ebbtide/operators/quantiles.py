@@ -23,14 +23,16 @@ from pyspark.sql import functions as F
 RANGES = 256
 SAMPLE_ROWS = 4096
 """Rows of a group that place the cut points: those with the least hashes."""
+PER_PERCENTILE = 16
+"""Ranges for each percentile asked, where all rows are one group."""
 
 
-def _cuts(values: np.ndarray) -> np.ndarray:
+def _cuts(values: np.ndarray, ranges: int) -> np.ndarray:
     """Different values that cut a sample into even parts; a value that fills several parts is cut off on both sides."""
     known = np.sort(values[~np.isnan(values)])
     if not len(known):
         return np.empty(0)
-    places = (np.arange(1, RANGES) * len(known)) // RANGES
+    places = (np.arange(1, ranges) * len(known)) // ranges
     picked, often = np.unique(known[places], return_counts=True)
     heavy = picked[often > 1]
     return np.unique(np.concatenate([picked, np.nextafter(heavy[np.isfinite(heavy)], np.inf)]))
@@ -76,23 +78,30 @@ def _pick(batches: Iterator[pa.RecordBatch], cuts: list[list[np.ndarray]], wante
                     "r": pa.array(spot[inside][at], pa.int32()), "x": pa.array(values, pa.float64()), "n": pa.array(often, pa.int64())})
 
 
-def column_percentiles(df: DataFrame, by: str, values: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
+def column_percentiles(df: DataFrame, by: str | None, values: Mapping[str, Column], probs: Sequence[float]) -> DataFrame:
     """Linear-interpolated percentiles: one row per value of ``by`` with columns ``q:<name>`` (array in the order of ``probs``) and ``n:<name>``.
 
     Nulls are not counted; a column without values in a group has a null array and a null count. NaN is above all numbers. A null in
-    ``by`` is a group like any other.
+    ``by`` is a group like any other. Without ``by`` all rows are one group and its row has no key; many percentiles are then cut into
+    as many more ranges, so that what is picked stays a small share.
     """
     spark, names = df.sparkSession, list(values)
-    wide = df.select(F.col(by).alias("_by"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(values.values())])
+    ranges = RANGES if by else max(RANGES, PER_PERCENTILE * len(probs))
+    rows = SAMPLE_ROWS * ranges // RANGES
+    wide = df.select((F.col(by) if by else F.lit(0)).alias("_by"), *[c.cast("double").alias(f"c{i}") for i, c in enumerate(values.values())])
     columns = [f"c{i}" for i in range(len(names))]
-    place = F.row_number().over(Window.partitionBy("_by").orderBy("_h"))
-    some = wide.withColumn("_h", F.xxhash64(*columns)).withColumn("_p", place).where(F.col("_p") <= SAMPLE_ROWS).drop("_h", "_p").toArrow()
+    hashed = wide.withColumn("_h", F.xxhash64(*columns))
+    if by:
+        place = F.row_number().over(Window.partitionBy("_by").orderBy("_h"))
+        some = hashed.withColumn("_p", place).where(F.col("_p") <= rows).drop("_h", "_p").toArrow()
+    else:  # no sort: each task keeps its least
+        some = hashed.orderBy("_h").limit(rows).drop("_h").toArrow()
     keys = some["_by"].unique()
     groups = keys.to_pylist()
     code = {k: g for g, k in enumerate(groups)}
     at = np.array([code[k] for k in some["_by"].to_pylist()], dtype=np.int64)
     sample = [some[c].to_numpy() for c in columns]
-    cuts = [[_cuts(x[at == g].astype(np.float64)) for x in sample] for g in range(len(groups))]
+    cuts = [[_cuts(x[at == g].astype(np.float64), ranges) for x in sample] for g in range(len(groups))]
     sent = spark.sparkContext.broadcast(cuts)
 
     index = F.lit(0)
@@ -101,7 +110,7 @@ def column_percentiles(df: DataFrame, by: str, values: Mapping[str, Column], pro
     coded = wide.withColumn("_g", index).drop("_by")
     counted = coded.mapInArrow(lambda b: _count(b, sent.value, len(columns)), "g int, i int, r int, n long").groupBy("g", "i", "r").agg(F.sum("n").alias("n"))
     sizes = {(g, i): np.zeros(len(cuts[g][i]) + 1, dtype=np.int64) for g in range(len(groups)) for i in range(len(names))}
-    for r in counted.toArrow().to_pylist():  # at most RANGES numbers a group and column
+    for r in counted.toArrow().to_pylist():  # one number a group, column and range
         sizes[r["g"], r["i"]][r["r"]] = r["n"]
 
     wanted, targets = {}, []
@@ -124,7 +133,7 @@ def column_percentiles(df: DataFrame, by: str, values: Mapping[str, Column], pro
 
     rows = []
     for g, key in enumerate(groups):
-        row = [key]
+        row = [key] if by else []
         for i in range(len(names)):
             n = int(sizes[g, i].sum())
             q = None
@@ -136,5 +145,5 @@ def column_percentiles(df: DataFrame, by: str, values: Mapping[str, Column], pro
                     q.append(low if low == high else low + (h - math.floor(h)) * (high - low))
             row += [q, n or None]
         rows.append(row)
-    schema = f"`{by}` {df.schema[by].dataType.simpleString()}, " + ", ".join(f"`q:{n}` array<double>, `n:{n}` long" for n in names)
+    schema = (f"`{by}` {df.schema[by].dataType.simpleString()}, " if by else "") + ", ".join(f"`q:{n}` array<double>, `n:{n}` long" for n in names)
     return spark.createDataFrame(rows, schema)

@@ -3,7 +3,7 @@
 Features are cut into bins once, at exact percentiles, and stored as one byte each. A level of a tree is one pass: every task adds up
 gradients and Hessians per node, feature and bin, the sums of all tasks are added where their feature's splits are judged, and one row
 per node and feature comes back. What is shuffled is bounded by tasks, nodes, features and bins, not by rows. Rows keep the margin of
-the trees so far; it is written again every ``REFRESH`` trees.
+the trees so far; it is written again every ``REFRESH`` trees. Boosters that are fitted together share the bins and every pass.
 """
 
 from __future__ import annotations
@@ -141,7 +141,14 @@ def bootstrap_weights(h: np.ndarray, seed: int, tree: int, power: float) -> np.n
 
 
 def _codes(batch: pa.RecordBatch, k: int) -> np.ndarray:
-    return np.frombuffer(b"".join(batch["codes"].to_pylist()), dtype=np.uint8).reshape(batch.num_rows, k)
+    """The codes as rows of ``k`` bytes; all are equally long and none is null, so they lie one after the other."""
+    codes = batch["codes"].cast(pa.binary())
+    start = np.frombuffer(codes.buffers()[1], dtype=np.int32)[codes.offset] if len(codes) else 0
+    return np.frombuffer(codes.buffers()[2] or b"", dtype=np.uint8, count=len(codes) * k, offset=int(start)).reshape(len(codes), k)
+
+
+def _vectors(x: pa.Array, k: int) -> np.ndarray:
+    return x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), k)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -149,83 +156,108 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def _bin(batches: Iterator[pa.RecordBatch], edges: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    k = len(edges)
     for b in batches:
-        x = np.array(b["x"].to_pylist(), dtype=np.float64).reshape(b.num_rows, len(edges))
+        x = _vectors(b["x"], k)
         codes = np.stack([np.searchsorted(e, x[:, i], side="right") for i, e in enumerate(edges)], axis=1).astype(np.uint8)
-        yield pa.RecordBatch.from_arrays([b["h"], b["y"], b["w"], b["v"], pa.array([r.tobytes() for r in codes], pa.binary()), b["margin"]],
-                                         names=["h", "y", "w", "v", "codes", "margin"])
+        ends = pa.py_buffer(np.arange(len(codes) + 1, dtype=np.int32) * np.int32(k))
+        packed = pa.Array.from_buffers(pa.binary(), len(codes), [None, ends, pa.py_buffer(codes.tobytes())])
+        yield pa.RecordBatch.from_arrays([b["h"], b["y"], b["w"], b["v"], packed], names=["h", "y", "w", "v", "codes"])
 
 
-def _advance(batches: Iterator[pa.RecordBatch], trees: list[Tree], k: int) -> Iterator[pa.RecordBatch]:
+def _advance(batches: Iterator[pa.RecordBatch], trees: list[list[Tree]], k: int) -> Iterator[pa.RecordBatch]:
+    """Adds each booster's trees to its margin."""
     for b in batches:
         if b.num_rows:
-            codes, margin = _codes(b, k), b["margin"].to_numpy(zero_copy_only=False).copy()
-            for t in trees:
-                margin += t.value[t.nodes(codes, "bin")]
-            yield b.set_column(b.schema.get_field_index("margin"), "margin", pa.array(margin))
+            codes = _codes(b, k)
+            for i, fresh in enumerate(trees):
+                if fresh:
+                    margin = b[f"m{i}"].to_numpy(zero_copy_only=False).copy()
+                    for t in fresh:
+                        margin += t.value[t.nodes(codes, "bin")]
+                    b = b.set_column(b.schema.get_field_index(f"m{i}"), f"m{i}", pa.array(margin))
+            yield b
+
+
+@dataclass
+class Growing:
+    """A tree on its way: the booster's place among those fitted together, its trees since the margin was written, features to use."""
+
+    place: int
+    booster: NewtonBooster
+    fresh: list[Tree]
+    tree: Tree
+    use: np.ndarray
 
 
-def _sums(batches: Iterator[pa.RecordBatch], trees: list[Tree], tree: Tree, level: int, use: np.ndarray, k: int, bins: int,
-          seed: int, number: int, share: float, bootstrap: float) -> Iterator[pa.RecordBatch]:
-    """Sums of gradients and Hessians per node of this level, feature and bin."""
+def _sums(batches: Iterator[pa.RecordBatch], trees: list[Growing], level: int, k: int, bins: int, number: int) -> Iterator[pa.RecordBatch]:
+    """Sums of gradients and Hessians per tree, node of this level, feature and bin."""
     first, n_nodes = 2**level - 1, 2**level
-    g_sum, h_sum = np.zeros((n_nodes, len(use), bins)), np.zeros((n_nodes, len(use), bins))
+    sums = [(np.zeros((n_nodes, len(t.use), bins)), np.zeros((n_nodes, len(t.use), bins))) for t in trees]
     for b in batches:
-        h = b["h"].to_numpy(zero_copy_only=False)
-        here = ~b["v"].to_numpy(zero_copy_only=False).astype(bool)
-        if share < 1:
-            here &= _uniform(h, seed, number) < share
-        if not here.any():
-            continue
-        codes = _codes(b, k)[here]
-        at = tree.nodes(codes, "bin")
-        open_ = at >= first
-        codes, node = codes[open_], at[open_] - first
-        y, w, margin = (b[c].to_numpy(zero_copy_only=False)[here][open_] for c in ("y", "w", "margin"))
-        if bootstrap:
-            w = w * bootstrap_weights(h[here][open_], seed, number, bootstrap)
-        margin = margin.copy()
-        for t in trees:
-            margin += t.value[t.nodes(codes, "bin")]
-        p = _sigmoid(margin)
-        g, hess = w * (p - y), w * np.maximum(p * (1 - p), 1e-16)
-        for j, f in enumerate(use):
-            spot = node * bins + codes[:, f]
-            g_sum[:, j] += np.bincount(spot, weights=g, minlength=n_nodes * bins).reshape(n_nodes, bins)
-            h_sum[:, j] += np.bincount(spot, weights=hess, minlength=n_nodes * bins).reshape(n_nodes, bins)
+        h, learns = b["h"].to_numpy(zero_copy_only=False), ~b["v"].to_numpy(zero_copy_only=False).astype(bool)
+        rows, y_all, w_all = _codes(b, k), b["y"].to_numpy(zero_copy_only=False), b["w"].to_numpy(zero_copy_only=False)
+        drawn: dict[tuple, np.ndarray] = {}
+        for grown, (g_sum, h_sum) in zip(trees, sums):
+            own = grown.booster
+            draw = own.seed, own.row_share
+            if draw not in drawn:
+                drawn[draw] = learns & (_uniform(h, own.seed, number) < own.row_share) if own.row_share < 1 else learns
+            here = drawn[draw]
+            if not here.any():
+                continue
+            codes = rows[here]
+            at = grown.tree.nodes(codes, "bin")
+            open_ = at >= first
+            codes, node = codes[open_], at[open_] - first
+            y, w, margin = (x[here][open_] for x in (y_all, w_all, b[f"m{grown.place}"].to_numpy(zero_copy_only=False)))
+            if own.bootstrap:
+                w = w * bootstrap_weights(h[here][open_], own.seed, number, own.bootstrap)
+            for t in grown.fresh:
+                margin += t.value[t.nodes(codes, "bin")]
+            p = _sigmoid(margin)
+            g, hess = w * (p - y), w * np.maximum(p * (1 - p), 1e-16)
+            for j, f in enumerate(grown.use):
+                spot = node * bins + codes[:, f]
+                g_sum[:, j] += np.bincount(spot, weights=g, minlength=n_nodes * bins).reshape(n_nodes, bins)
+                h_sum[:, j] += np.bincount(spot, weights=hess, minlength=n_nodes * bins).reshape(n_nodes, bins)
     task = TaskContext.get().partitionId()
-    for node in range(n_nodes):
-        if h_sum[node, 0].any():
-            yield pa.RecordBatch.from_pydict({
-                "node": pa.array([node] * len(use), pa.int32()), "feature": pa.array(use, pa.int32()), "task": pa.array([task] * len(use), pa.int32()),
-                "g": [r.tobytes() for r in g_sum[node]], "h": [r.tobytes() for r in h_sum[node]]})
+    for grown, (g_sum, h_sum) in zip(trees, sums):
+        n = len(grown.use)
+        for node in range(n_nodes):
+            if h_sum[node, 0].any():
+                yield pa.RecordBatch.from_pydict({
+                    "place": pa.array([grown.place] * n, pa.int32()), "node": pa.array([node] * n, pa.int32()),
+                    "feature": pa.array(grown.use, pa.int32()), "task": pa.array([task] * n, pa.int32()),
+                    "g": [r.tobytes() for r in g_sum[node]], "h": [r.tobytes() for r in h_sum[node]]})
 
 
-_BEST = pa.schema([("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("gain", pa.float64()), ("g", pa.float64()), ("h", pa.float64()),
+_BEST = pa.schema([("place", pa.int32()), ("node", pa.int32()), ("feature", pa.int32()), ("bin", pa.int32()), ("gain", pa.float64()), ("g", pa.float64()), ("h", pa.float64()),
                    ("gl", pa.float64()), ("hl", pa.float64())])
 
 
-def _splits(batches: Iterator[pa.RecordBatch], l1: float, l2: float, child: float) -> Iterator[pa.RecordBatch]:
-    """The best split of each (node, feature), whose parts come one after the other in the order of tasks."""
+def _splits(batches: Iterator[pa.RecordBatch], boosters: Sequence[NewtonBooster]) -> Iterator[pa.RecordBatch]:
+    """The best split of each (booster, node, feature), whose parts come one after the other in the order of tasks."""
     key, g, h, out = None, None, None, []
 
     def judge() -> None:
         if key is None:
             return
-        gl, hl = np.cumsum(g), np.cumsum(h)
+        own, gl, hl = boosters[key[0]], np.cumsum(g), np.cumsum(h)
+        l1, l2, child = own.l1, own.l2, own.child
         gt, ht = float(gl[-1]), float(hl[-1])
         gain = score_of(gl, hl, l1, l2) + score_of(gt - gl, ht - hl, l1, l2) - score_of(np.float64(gt), np.float64(ht), l1, l2)
         gain = np.where((hl >= child) & (ht - hl >= child), np.round(gain, 9), -np.inf)[:-1]
         at = int(np.argmax(gain)) if len(gain) else 0
-        out.append({"node": key[0], "feature": key[1], "bin": at, "gain": float(gain[at]) if len(gain) else -np.inf,
+        out.append({"place": key[0], "node": key[1], "feature": key[2], "bin": at, "gain": float(gain[at]) if len(gain) else -np.inf,
                     "g": gt, "h": ht, "gl": float(gl[at]), "hl": float(hl[at])})
 
     for b in batches:
-        for node, f, gb, hb in zip(*(b[c].to_pylist() for c in ("node", "feature", "g", "h"))):
+        for place, node, f, gb, hb in zip(*(b[c].to_pylist() for c in ("place", "node", "feature", "g", "h"))):
             gs, hs = np.frombuffer(gb), np.frombuffer(hb)
-            if (node, f) != key:
+            if (place, node, f) != key:
                 judge()
-                key, g, h = (node, f), gs.copy(), hs.copy()
+                key, g, h = (place, node, f), gs.copy(), hs.copy()
             else:
                 g, h = g + gs, h + hs
     judge()
@@ -261,7 +293,7 @@ class NewtonModel:
 
         @F.pandas_udf("double")
         def score(x: pd.Series) -> pd.Series:
-            return pd.Series(_sigmoid(model.margins(np.array(x.tolist(), dtype=np.float64).reshape(len(x), k))))
+            return pd.Series(_sigmoid(model.margins(np.concatenate(x.to_numpy()).reshape(len(x), k) if len(x) else np.zeros((0, k)))))
 
         return rows.withColumn("score", score(vector_to_array("features")))
 
@@ -328,91 +360,114 @@ class NewtonBooster:
     keys: Sequence[str] = ("cust_id", "ref_date")
 
     def fit(self, rows: DataFrame) -> NewtonModel:
-        if not 2 <= self.bins <= 256:
-            raise ValueError("bins are kept in a byte")
-        valid = F.col("is_valid") if "is_valid" in rows.columns else F.lit(False)
-        wide = rows.where("y IS NOT NULL").select(
-            F.xxhash64(*self.keys).alias("h"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), valid.alias("v"),
-            vector_to_array("features").alias("x"))
-        some = wide.select(F.size("x").alias("k")).first()
-        if some is None:
-            raise ValueError("no labelled rows")
-        k = some.k
-        sums = wide.where("NOT v").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w")).first()
-        share = sums.wy / sums.w if sums.w else 0.5
-        share = min(max(share, LEAST_SHARE), 1 - LEAST_SHARE)
-        model = NewtonModel(float(np.log(share / (1 - share))), [], k)
-        edges = self._edges(wide.where("NOT v"), k)
-        state = wide.withColumn("margin", F.lit(model.base)).mapInArrow(lambda b: _bin(b, edges), "h long, y double, w double, v boolean, codes binary, margin double")
-        state, fresh = materialize(state), []
-        best, best_at = -np.inf, 0
-        by_loss = self.patience and state.where("v").agg(F.count_distinct("y").alias("n")).first().n < 2
-        for number in range(self.rounds):
-            tree = self._grow(state, fresh, number, k, edges)
-            if tree.feature[0] < 0 and not tree.value[0]:
-                break
-            model.trees.append(tree)
-            fresh.append(tree)
-            if len(fresh) == REFRESH or self.patience:
-                state, fresh = materialize(self._advanced(state, fresh, k)), []
-            if self.patience:
-                now = self._validation(state, by_loss)
-                model.history.append({"tree": number, "score": now})
-                if now > best:
-                    best, best_at = now, len(model.trees)
-                elif len(model.trees) - best_at >= self.patience:
-                    break
-        if self.patience:
-            model.trees = model.trees[:best_at]
-        return model
-
-    def _edges(self, train: DataFrame, k: int) -> list[np.ndarray]:
-        probs = [i / self.bins for i in range(1, self.bins)]
-        cells = {f"x{i}": F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(k)}
-        found = column_percentiles(train.withColumn("_one", F.lit(0)), "_one", cells, probs).first()
-        return [np.unique(np.array(found[f"q:x{i}"] if found and found[f"q:x{i}"] else [], dtype=np.float64)) for i in range(k)]
+        return fit_together([self], rows)[0]
 
-    @staticmethod
-    def _advanced(state: DataFrame, trees: list[Tree], k: int) -> DataFrame:
-        return state.mapInArrow(lambda b, t=list(trees): _advance(b, t, k), state.schema)
 
-    @staticmethod
-    def _validation(state: DataFrame, by_loss: bool) -> float:
-        p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("margin")))
-        held = state.where("v").select("y", p.alias("p"))
-        if by_loss:
-            inside = F.greatest(F.least("p", F.lit(1 - 1e-15)), F.lit(1e-15))
-            return -(held.agg(F.avg(-(F.col("y") * F.ln(inside) + (1 - F.col("y")) * F.ln(1 - inside))).alias("loss")).first().loss or 0.0)
-        return auc(held).first().auc or 0.0
-
-    def _grow(self, state: DataFrame, fresh: list[Tree], number: int, k: int, edges: list[np.ndarray]) -> Tree:
-        tree = Tree.empty(self.depth)
-        rng = np.random.default_rng([self.seed, number])
-        use = np.sort(rng.choice(k, max(1, int(self.column_share * k)), replace=False)) if self.column_share < 1 else np.arange(k)
-        spread, before = 1 + max((len(e) for e in edges), default=0), list(fresh)
-        for level in range(self.depth):
-            now = tree
-            sums = state.mapInArrow(
-                lambda b, t=now, lv=level: _sums(b, before, t, lv, use, k, spread, self.seed, number, self.row_share, self.bootstrap),
-                "node int, feature int, task int, g binary, h binary")
-            judged = sums.repartition("node", "feature").sortWithinPartitions("node", "feature", "task").mapInArrow(
-                lambda b: _splits(b, self.l1, self.l2, self.child), "node int, feature int, bin int, gain double, g double, h double, gl double, hl double")
-            found: dict[int, object] = {}
-            for r in judged.collect():  # one row per node and feature
-                old = found.get(r.node)
-                if old is None or (-r.gain, r.feature) < (-old.gain, old.feature):
-                    found[r.node] = r
-            split = False
-            for node, r in found.items():
-                at = 2**level - 1 + node
-                if level == 0:
-                    tree.value[at], tree.cover[at] = self.rate * leaf_value(r.g, r.h, self.l1, self.l2), r.h
-                if r.gain <= LEAST_GAIN or r.bin >= len(edges[r.feature]):
-                    continue
-                split = True
-                tree.feature[at], tree.bin[at], tree.threshold[at], tree.gain[at] = r.feature, r.bin, edges[r.feature][r.bin], r.gain
-                for side, g, h in ((1, r.gl, r.hl), (2, r.g - r.gl, r.h - r.hl)):
-                    tree.value[2 * at + side], tree.cover[2 * at + side] = self.rate * leaf_value(g, h, self.l1, self.l2), h
-            if not split:
+def fit_together(boosters: Sequence[NewtonBooster], rows: DataFrame) -> list[NewtonModel]:
+    """What ``fit`` of each gives, from one binned table and one pass a level for all; they share bins and keys, and none may stop early.
+
+    One alone may stop early.
+    """
+    one, n = boosters[0], len(boosters)
+    if not 2 <= one.bins <= 256:
+        raise ValueError("bins are kept in a byte")
+    if n > 1 and (any(b.patience for b in boosters) or len({(b.bins, tuple(b.keys)) for b in boosters}) > 1):
+        raise ValueError("boosters that stop early or differ in bins or keys are fitted one by one")
+    valid = F.col("is_valid") if "is_valid" in rows.columns else F.lit(False)
+    wide = rows.where("y IS NOT NULL").select(
+        F.xxhash64(*one.keys).alias("h"), F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w"), valid.alias("v"),
+        vector_to_array("features").alias("x"))
+    some = wide.select(F.size("x").alias("k")).first()
+    if some is None:
+        raise ValueError("no labelled rows")
+    k = some.k
+    sums = wide.where("NOT v").agg(F.sum(F.col("w") * F.col("y")).alias("wy"), F.sum("w").alias("w")).first()
+    share = sums.wy / sums.w if sums.w else 0.5
+    share = min(max(share, LEAST_SHARE), 1 - LEAST_SHARE)
+    models = [NewtonModel(float(np.log(share / (1 - share))), [], k) for _ in boosters]
+    edges = _edges(wide.where("NOT v"), k, one.bins)
+    state = wide.mapInArrow(lambda b: _bin(b, edges), "h long, y double, w double, v boolean, codes binary")
+    state = materialize(state.select("*", *[F.lit(m.base).alias(f"m{i}") for i, m in enumerate(models)]))
+    fresh: list[list[Tree]] = [[] for _ in boosters]
+    best, best_at = -np.inf, 0
+    by_loss = one.patience and state.where("v").agg(F.count_distinct("y").alias("n")).first().n < 2
+    live = list(range(n))
+    for number in range(max(b.rounds for b in boosters)):
+        live = [i for i in live if number < boosters[i].rounds]
+        trees = _grow(state, boosters, {i: fresh[i] for i in live}, number, k, edges)
+        live = [i for i in live if trees[i].feature[0] >= 0 or trees[i].value[0]]
+        if not live:
+            break
+        for i in live:
+            models[i].trees.append(trees[i])
+            fresh[i].append(trees[i])
+        if max(map(len, fresh)) == REFRESH or one.patience:
+            state, fresh = materialize(_advanced(state, fresh, k)), [[] for _ in boosters]
+        if one.patience:
+            now = _validation(state, by_loss)
+            models[0].history.append({"tree": number, "score": now})
+            if now > best:
+                best, best_at = now, len(models[0].trees)
+            elif len(models[0].trees) - best_at >= one.patience:
                 break
-        return tree
+    if one.patience:
+        models[0].trees = models[0].trees[:best_at]
+    return models
+
+
+def _edges(train: DataFrame, k: int, bins: int) -> list[np.ndarray]:
+    probs = [i / bins for i in range(1, bins)]
+    cells = {f"x{i}": F.when(~F.isnan(F.col("x")[i]), F.col("x")[i]) for i in range(k)}
+    found = column_percentiles(train, None, cells, probs).first()
+    return [np.unique(np.array(found[f"q:x{i}"] if found and found[f"q:x{i}"] else [], dtype=np.float64)) for i in range(k)]
+
+
+def _advanced(state: DataFrame, trees: list[list[Tree]], k: int) -> DataFrame:
+    return state.mapInArrow(lambda b: _advance(b, trees, k), state.schema)
+
+
+def _validation(state: DataFrame, by_loss: bool) -> float:
+    p = F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("m0")))
+    held = state.where("v").select("y", p.alias("p"))
+    if by_loss:
+        inside = F.greatest(F.least("p", F.lit(1 - 1e-15)), F.lit(1e-15))
+        return -(held.agg(F.avg(-(F.col("y") * F.ln(inside) + (1 - F.col("y")) * F.ln(1 - inside))).alias("loss")).first().loss or 0.0)
+    return auc(held).first().auc or 0.0
+
+
+def _grow(state: DataFrame, boosters: Sequence[NewtonBooster], fresh: dict[int, list[Tree]], number: int, k: int,
+          edges: list[np.ndarray]) -> dict[int, Tree]:
+    """The next tree of every booster in ``fresh``, which holds its trees since the margins were written."""
+    growing = []
+    for i, before in fresh.items():
+        own = boosters[i]
+        rng = np.random.default_rng([own.seed, number])
+        use = np.sort(rng.choice(k, max(1, int(own.column_share * k)), replace=False)) if own.column_share < 1 else np.arange(k)
+        growing.append(Growing(i, own, list(before), Tree.empty(own.depth), use))
+    trees = {t.place: t.tree for t in growing}
+    spread, level = 1 + max((len(e) for e in edges), default=0), 0
+    while growing := [t for t in growing if level < t.booster.depth]:
+        sums = state.mapInArrow(
+            lambda b, now=growing, lv=level: _sums(b, now, lv, k, spread, number),
+            "place int, node int, feature int, task int, g binary, h binary")
+        judged = sums.repartition("place", "node", "feature").sortWithinPartitions("place", "node", "feature", "task").mapInArrow(
+            lambda b: _splits(b, boosters),
+            "place int, node int, feature int, bin int, gain double, g double, h double, gl double, hl double")
+        found: dict[tuple[int, int], object] = {}
+        for r in judged.collect():  # one row per tree, node and feature
+            old = found.get((r.place, r.node))
+            if old is None or (-r.gain, r.feature) < (-old.gain, old.feature):
+                found[r.place, r.node] = r
+        split = set()
+        for (place, node), r in found.items():
+            at, tree, own = 2**level - 1 + node, trees[place], boosters[place]
+            if level == 0:
+                tree.value[at], tree.cover[at] = own.rate * leaf_value(r.g, r.h, own.l1, own.l2), r.h
+            if r.gain <= LEAST_GAIN or r.bin >= len(edges[r.feature]):
+                continue
+            split.add(place)
+            tree.feature[at], tree.bin[at], tree.threshold[at], tree.gain[at] = r.feature, r.bin, edges[r.feature][r.bin], r.gain
+            for side, g, h in ((1, r.gl, r.hl), (2, r.g - r.gl, r.h - r.hl)):
+                tree.value[2 * at + side], tree.cover[2 * at + side] = own.rate * leaf_value(g, h, own.l1, own.l2), h
+        growing, level = [t for t in growing if t.place in split], level + 1
+    return trees

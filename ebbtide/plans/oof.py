@@ -26,7 +26,7 @@ from ebbtide.functions.safe import sigmoid
 from ebbtide.operators import folds as fold_ops
 from ebbtide.operators.metrics import flip_guard, monthly_composite
 from ebbtide.operators.ranks import row_numbers
-from ebbtide.plans.newton import NewtonBooster
+from ebbtide.plans.newton import NewtonBooster, fit_together
 from ebbtide.runtime import materialize
 
 KEYS = ["cust_id", "ref_date"]
@@ -197,6 +197,23 @@ def _in_fixed_order(rows: DataFrame) -> DataFrame:
     return rows.repartition(*KEYS).sortWithinPartitions(*KEYS)
 
 
+def _weighted(rows: DataFrame, split: Split, lam: float | None, positive_weight: float) -> DataFrame:
+    """A fold's training rows with their weights."""
+    train = _with_decay(rows.where(split.train), lam)
+    if positive_weight == 1.0:
+        return train
+    return train.withColumn("w", F.when(F.col("y") == 1, F.col("w") * positive_weight).otherwise(F.col("w")))
+
+
+def _guarded(scored: DataFrame, by: Sequence[str], average: str) -> DataFrame:
+    """(``by``, keys, y, p): scores guarded against a flip per (``by``, seed) and averaged over seeds, written."""
+    scored = flip_guard(materialize(scored), [*by, "seed"])
+    if average == "rank":
+        placed = row_numbers(scored, [*by, "seed"], [F.col("p"), *map(F.col, KEYS)], "_rn")
+        scored = placed.withColumn("p", (F.col("_rn") - 1) / F.greatest(F.col("_rn_total") - 1, F.lit(1)))
+    return materialize(scored.groupBy(*by, *KEYS, "y").agg(F.avg("p").alias("p")))
+
+
 def fit_folds(
     rows: DataFrame,
     features: Sequence[str],
@@ -215,9 +232,7 @@ def fit_folds(
     """
 
     def one(split: Split) -> list:
-        train = _with_decay(rows.where(split.train), lam)
-        if positive_weight != 1.0:
-            train = train.withColumn("w", F.when(F.col("y") == 1, F.col("w") * positive_weight).otherwise(F.col("w")))
+        train = _weighted(rows, split, lam, positive_weight)
         valid = rows.where(split.valid)
         if learner.early_stop:
             train = train.withColumn("is_valid", F.lit(False)).unionByName(valid.withColumn("is_valid", F.lit(True)))
@@ -237,11 +252,7 @@ def fit_folds(
         parts.append(got.select(
             F.lit(fold).alias("fold"), F.lit(seed).alias("seed"), *KEYS, F.col("y").cast("int").alias("y"),
             learner.score(got).alias("p")))
-    scored = flip_guard(materialize(reduce(DataFrame.unionByName, parts)), ["fold", "seed"])
-    if average == "rank":
-        placed = row_numbers(scored, ["fold", "seed"], [F.col("p"), *map(F.col, KEYS)], "_rn")
-        scored = placed.withColumn("p", (F.col("_rn") - 1) / F.greatest(F.col("_rn_total") - 1, F.lit(1)))
-    oof = materialize(scored.groupBy("fold", *KEYS, "y").agg(F.avg("p").alias("p")))
+    oof = _guarded(reduce(DataFrame.unionByName, parts), ["fold"], average)
     return OofResult(oof, [(f, s, m) for f, s, m, _ in fitted], list(features), learner)
 
 
@@ -368,13 +379,50 @@ def stops(means: dict[int, float], rung_ends: bool, eta: int = 2) -> dict[int, s
     return out
 
 
+def _fold_composites(
+    rows: DataFrame, features: Sequence[str], split: Split, candidates: dict[int, Learner], seeds: Sequence[int], lam: float | None,
+    parallel: int, positive_weight: float = 1.0, average: str = "mean", **kw
+) -> dict[int, float | None]:
+    """Composite of each candidate on one fold, as :func:`fit_folds` and its last month give it.
+
+    Second-order trees without early stopping are grown together where their bins agree: weights, percentiles and binned rows of the
+    fold are made once for all of them, a level of all trees is one pass, and all are scored in one job.
+    """
+    shared: dict[tuple, list[int]] = {}
+    for i, c in candidates.items():
+        if c.kind == "newton" and not (own := c.estimator(seeds[0])).patience:
+            shared.setdefault((own.bins, tuple(own.keys)), []).append(i)
+
+    def alone(i: int) -> float | None:
+        return fit_folds(rows, features, [split], candidates[i], seeds, lam, positive_weight, average, **kw).composite(1)
+
+    rest = sorted(candidates.keys() - {i for group in shared.values() for i in group})
+    out: dict[int, float | None] = dict.fromkeys(candidates)
+    with ThreadPoolExecutor(parallel) as pool:
+        out |= dict(zip(rest, pool.map(inheritable_thread_target(rows.sparkSession)(alone), rest)))
+    if not shared:
+        return out
+    valid, parts = rows.where(split.valid), []
+    train = _weighted(rows, split, lam, positive_weight)
+    for group in shared.values():
+        tries = [(i, seed) for i in group for seed in seeds]
+        scored = valid
+        for n, model in enumerate(fit_together([candidates[i].estimator(seed) for i, seed in tries], train)):
+            scored = model.transform(scored).withColumnRenamed("score", f"p{n}")
+        each = F.array(*[F.struct(F.lit(i).alias("candidate"), F.lit(seed).alias("seed"), F.col(f"p{n}").alias("p")) for n, (i, seed) in enumerate(tries)])
+        parts.append(scored.select(*KEYS, F.col("y").cast("int").alias("y"), F.inline(each)))
+    oof = _guarded(reduce(DataFrame.unionByName, parts), ["candidate"], average)
+    return out | {r.candidate: r.composite for r in monthly_composite(oof, ["candidate"], last_n=1).collect()}
+
+
 def halving_search(
     matrix: DataFrame, features: Sequence[str], candidates: Sequence[Learner], last_n: int = 6, gap: int = 1, seeds: Sequence[int] = (1,),
     eta: int = 2, parallel: int = 2, **kw
 ) -> DataFrame:
     """(candidate, params, fold, composite, mean, state): the search of :func:`search` with candidates that fall behind stopped early.
 
-    Rungs take one month's fold, then two, four and so on; all candidates still in are fitted side by side. ``state`` is kept,
+    Rungs take one month's fold, then two, four and so on; all candidates still in are fitted side by side, and share what the fold
+    gives all of them (see :func:`_fold_composites`). ``state`` is kept,
     median or halving (see :func:`stops`) or finished, for those that were fitted on all folds.
     """
     rows = materialize(assemble(matrix, features))
@@ -383,13 +431,7 @@ def halving_search(
     out, rung, left = [], 1, 1
     alive = list(scores)
     for n, split in enumerate(splits):
-
-        def one(i: int) -> float | None:
-            return fit_folds(rows, features, [split], candidates[i], seeds, 0.2, **kw).composite(1)
-
-        with ThreadPoolExecutor(parallel) as pool:
-            got = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), alive))
-        for i, g in zip(alive, got, strict=True):
+        for i, g in _fold_composites(rows, features, split, {i: candidates[i] for i in alive}, seeds, 0.2, parallel, **kw).items():
             scores[i].append(g)
         left -= 1
         last = n == len(splits) - 1

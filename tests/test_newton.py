@@ -169,6 +169,45 @@ def test_halving_search_keeps_what_its_scores_say(spark):
     assert set(table[table.state == "finished"].candidate) == alive and alive
 
 
+def test_halving_search_prepares_a_fold_once_for_all(spark, monkeypatch):
+    pdf, df = frame(spark, 900)
+    matrix = df.drop("features", "w").withColumnRenamed("y", "churn")
+    tries = [oof.Learner("newton", {"rounds": 2, "depth": d, "bins": 8, "rate": r}) for d, r in ((1, 0.01), (2, 0.3), (2, 0.1))]
+    cut, made = [], newton.column_percentiles
+    monkeypatch.setattr(newton, "column_percentiles", lambda *a: cut.append(1) or made(*a))
+    table = oof.halving_search(matrix, ["f0", "f2"], tries, last_n=2, gap=0).toPandas()
+    assert len(cut) == table.fold.nunique() == 2 < len(table)
+    rows = oof.materialize(oof.assemble(matrix, ["f0", "f2"]))
+    split = oof.month_splits(rows, 2, 0)[0]
+    for r in table[table.fold == split.name].itertuples():
+        assert r.composite == pytest.approx(oof.fit_folds(rows, ["f0", "f2"], [split], tries[r.candidate], (1,), 0.2).composite(1), abs=1e-12)
+
+
+def test_search_of_mixed_learners_and_seeds(spark):
+    pdf, df = frame(spark, 600)
+    matrix = df.drop("features", "w").withColumnRenamed("y", "churn")
+    rows = oof.materialize(oof.assemble(matrix, ["f0", "f2"]))
+    split = oof.month_splits(rows, 1, 0)[0]
+    tries = {4: oof.Learner("newton", {"rounds": 1, "depth": 2, "bins": 8}), 2: oof.Learner("logistic"),
+             7: oof.Learner("newton", {"rounds": 2, "depth": 1, "bins": 4}, early_stop=True)}
+    got = oof._fold_composites(rows, ["f0", "f2"], split, tries, (1, 5), 0.2, 2)
+    want = {i: oof.fit_folds(rows, ["f0", "f2"], [split], c, (1, 5), 0.2).composite(1) for i, c in tries.items()}
+    assert list(got) == [4, 2, 7] and got == pytest.approx(want, abs=1e-12)
+
+
+def test_grown_together_as_alone(spark, monkeypatch):
+    monkeypatch.setattr(newton, "REFRESH", 2)
+    pdf, df = frame(spark, 600)
+    x = pdf[["f0", "f1", "f2"]].to_numpy()
+    kinds = [dict(rounds=3, depth=3, rate=0.3), dict(rounds=1, depth=1, rate=0.1, seed=5), dict(rounds=4, depth=2, l1=0.5, row_share=0.5, bootstrap=1.0)]
+    boosters = [newton.NewtonBooster(bins=8, **kw) for kw in kinds]
+    for booster, model in zip(boosters, newton.fit_together(boosters, df)):
+        assert len(model.trees) == booster.rounds
+        assert model.margins(x) == pytest.approx(booster.fit(df).margins(x), abs=1e-9)
+    with pytest.raises(ValueError):
+        newton.fit_together([boosters[0], newton.NewtonBooster(bins=9)], df)
+
+
 def test_saved_trees(spark, tmp_path):
     from ebbtide.plans import store
 

@@ -45,3 +45,15 @@ def test_without_rows_and_with_numbers_that_are_none(spark):
     got = {r.k: r["q:x"] for r in quantiles.column_percentiles(df, "k", {"x": F.col("x")}, (0.0, 1.0)).collect()}
     assert got["a"][0] == 1.0 and math.isnan(got["a"][1]) and got["b"] == [float("-inf"), float("inf")]
     assert quantiles.column_percentiles(df.limit(0), "k", {"x": F.col("x")}, (0.5,)).collect() == []
+
+
+def test_all_rows_as_one_group(spark, monkeypatch):
+    monkeypatch.setattr(quantiles, "RANGES", 5)
+    monkeypatch.setattr(quantiles, "SAMPLE_ROWS", 20)
+    x = np.concatenate([np.random.default_rng(4).normal(size=900), np.full(300, 0.5)])
+    df = spark.createDataFrame(pd.DataFrame({"x": x})).withColumn("none", F.lit(None).cast("double")).repartition(4)
+    got = quantiles.column_percentiles(df, None, {"x": F.col("x"), "none": F.col("none")}, PROBS)
+    assert got.columns == ["q:x", "n:x", "q:none", "n:none"]
+    row = got.first()
+    assert row["q:x"] == pytest.approx(list(np.percentile(x, [100 * p for p in PROBS])), rel=1e-12) and row["n:x"] == 1200 and row["q:none"] is None
+    assert quantiles.column_percentiles(df.limit(0), None, {"x": F.col("x")}, (0.5,)).collect() == []
