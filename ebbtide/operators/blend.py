@@ -211,9 +211,9 @@ def best_candidates(
     Most candidates are ruled out by counts and never ranked.
     """
     rows = last_months(df, last_n) if last_n else df.withColumn("month", month_start(F.col("ref_date")))
-    rows = materialize(rows.select(*KEYS, F.date_format("month", "yyyy-MM").alias("_group"), F.col(label).alias("_y"), *streams))
-    months = [r._group for r in rows.select("_group").distinct().collect()]
-    found = search.search(rows, streams, {m: candidates for m in months}, KEYS, top)
+    rows = rows.select(*KEYS, F.date_format("month", "yyyy-MM").alias("_group"), F.col(label).alias("_y"), *streams)
+    ready = search.prepared(rows, streams, KEYS)
+    found = search.search_prepared(ready, {m: dict(enumerate(candidates)) for m in ready.groups}, top)
     return found.select(F.to_date(F.concat("_group", F.lit("-01"))).alias("month"), *[c for c in found.columns if c != "_group"])
 
 

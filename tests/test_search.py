@@ -107,3 +107,30 @@ def test_equal_vectors_are_scored_once_and_tied_rows_stay_apart(spark, monkeypat
     assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
     distinct = df.select(F.trunc("ref_date", "month"), "y", *NAMES).distinct().count()
     assert sizes == [distinct * len(grid)] and distinct < df.count()
+
+
+@pytest.mark.parametrize("seed,digits,sizes", [(9, None, (40, 50, 4)), (10, 1, (40, 50, 1))])
+def test_ranked_candidates_equal_ranking_a_copy_for_each(spark, monkeypatch, seed, digits, sizes):
+    for name, value in zip(("HELD", "PER_RANGE", "SEGMENTS"), sizes):
+        monkeypatch.setattr(search, name, value)
+    df = frame(spark, seed, n=700, digits=digits).withColumn("a", F.when(F.col("cust_id") % 40 == 0, float("inf")).otherwise(F.col("a") - 0.5))
+    df = df.unionByName(df.where("cust_id < 50"))  # rows that come twice
+    rows = df.select("cust_id", "ref_date", F.date_format("ref_date", "yyyy-MM").alias("_group"), F.col("y").alias("_y"), *NAMES)
+    grid = blend.simplex_grid(NAMES, 4) + [[0.0, 0.0, 0.0]]  # an infinite score by 0 is no number and has no rank
+    months = ["2000-01", "2000-02", "2000-03"]
+    ready = search.prepared(rows, NAMES, blend.KEYS)
+    for share, flip in ((0.1, True), (0.7, False)):
+        got = search.ranked(ready, {m: dict(enumerate(grid)) for m in months}, share, flip).collect()
+        want = metrics.ranking_metrics(blend.with_candidates(rows, NAMES, grid), ["_group", "candidate"], label="_y", share=share, flip=flip).collect()
+        assert len(want) == 3 * len(grid)
+        assert {(r._group, r.candidate): r.asDict() for r in got} == {(r._group, r.candidate): r.asDict() for r in want}
+
+
+def test_a_search_makes_no_copies_of_rows(spark, monkeypatch):
+    df = frame(spark, 13, n=600, digits=1)
+    grid = blend.simplex_grid(NAMES, 5)
+    grid += grid[:3]  # equal vectors have places of their own
+    want = every(df, grid, 4)
+    monkeypatch.setattr(search.metrics, "ranking_metrics", None)
+    got = blend.best_candidates(df, NAMES, grid, top=4).toPandas()
+    assert sorted(zip(got.month, got.candidate, got.place)) == want
