@@ -268,16 +268,19 @@ def search_per_month(
     """(month, model, w, composite) by rounds of coordinate lines and random draws around the best vector so far.
 
     One search takes every candidate of every month in a round. Only the best vector per month comes back to the
-    driver. Several ``starts`` make it a multi-start climb.
+    driver. Several ``starts`` make it a multi-start climb. The rows are written once for all rounds. A vector that a month
+    had in an earlier round did not exceed the best one (or is it), so it is not looked at again, and neither is ranked what
+    can't exceed it.
     """
-    rows = materialize(df.select(*KEYS, F.date_format("ref_date", "yyyy-MM").alias("_group"), F.col(label).alias("_y"), *streams))
-    months = [r.m for r in rows.select(F.col("_group").alias("m")).distinct().collect()]
+    ready = search.prepared(
+        df.select(*KEYS, F.date_format("ref_date", "yyyy-MM").alias("_group"), F.col(label).alias("_y"), *streams), streams, KEYS)
     k, rng = len(streams), random.Random(seed)
     even = [1.0 / k] * k
     best: dict[str, tuple[float, list[float]]] = {}
+    tried: dict[str, set[tuple[float, ...]]] = {m: set() for m in ready.groups}
     for r in range(rounds):
         candidates: dict[str, list[list[float]]] = {}
-        for m in sorted(months):
+        for m in sorted(ready.groups):
             centre = best[m][1] if m in best else even
             pool = [centre] if m in best else [even, *[list(s) for s in starts]]
             for i in range(k):
@@ -286,10 +289,13 @@ def search_per_month(
                     pool.append([(1 - a) * w + (a if j == i else 0.0) for j, w in enumerate(centre)])
             pool += [_dirichlet(rng, [1.0 + 50.0 * w for w in centre]) for _ in range(draws)]
             candidates[m] = pool
-        for row in search.search(rows, streams, candidates, KEYS).collect():
+        new = {m: {i: w for i, w in enumerate(pool) if tuple(w) not in tried[m]} for m, pool in candidates.items()}
+        for row in search.search_prepared(ready, new, known={m: score for m, (score, _) in best.items()}).collect():
             m = row._group
             if row.composite is not None and (m not in best or row.composite > best[m][0]):
                 best[m] = (row.composite, candidates[m][row.candidate])
+        for m, pool in candidates.items():
+            tried[m].update(map(tuple, pool))
     out = [
         (f"{m}-01", s, (1 - pull) * w + pull / k, score)
         for m, (score, ws) in sorted(best.items())

@@ -126,6 +126,53 @@ def test_ranked_candidates_equal_ranking_a_copy_for_each(spark, monkeypatch, see
         assert {(r._group, r.candidate): r.asDict() for r in got} == {(r._group, r.candidate): r.asDict() for r in want}
 
 
+def plain_composite(y, p, share=metrics.TOP_SHARE):
+    """By hand, rows in the order of their ids."""
+    wins = (p[y == 1][:, None] > p[y == 0]).sum() + (p[y == 1][:, None] == p[y == 0]).sum() / 2
+    auc = wins / ((y == 1).sum() * (y == 0).sum())
+    k = max(1, int(np.rint(share * len(y))))
+    hits = y[np.argsort(p if auc < 0.5 else -p, kind="stable")[:k]].sum()
+    gini = 2 * max(auc, 1 - auc) - 1
+    wg, wr, wl = metrics.WEIGHTS
+    return gini / (2 * metrics.BASE_AUC - 1) * wg + hits / y.sum() / metrics.BASE_RECALL * wr + hits / k / y.mean() / metrics.BASE_LIFT * wl
+
+
+@pytest.mark.parametrize("digits", [None, 1])
+def test_rounds_of_a_search_write_rows_once_and_look_at_a_vector_once(spark, monkeypatch, digits):
+    df = frame(spark, 12, n=500, months=2, digits=digits)
+    written, looked, ranked = [], [], []
+    write, bound, rank = search.materialize, search.candidate_bounds, search.ranked
+    monkeypatch.setattr(search, "materialize", lambda t: (made := write(t), written.append(made.count()))[0])
+    monkeypatch.setattr(blend, "materialize", search.materialize)
+    monkeypatch.setattr(search, "candidate_bounds", lambda rows, streams, grids, samples, bins, *a: (
+        looked.extend((g, tuple(w)) for g, some in grids.items() for _, w in some if bins == search.ROUNDS[0][0]),
+        bound(rows, streams, grids, samples, bins, *a))[1])
+    monkeypatch.setattr(search, "ranked", lambda ready, left, *a: (ranked.append(left), rank(ready, left, *a))[1])
+    units = [[1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]]
+    got = {(f"{r.month:%Y-%m}", r.model): (r.w, r.composite) for r in blend.search_per_month(df, NAMES, rounds=3, draws=3, starts=units).collect()}
+    assert written.count(500) == 2 and max(written) == 500
+    assert len(looked) == len(set(looked)) > 2 * 30
+    assert len(ranked) == 3
+
+    # The same rounds, every candidate scored by hand.
+    data = {m: some.sort_values(["cust_id", "ref_date"]) for m, some in df.toPandas().groupby(df.toPandas().ref_date.map(lambda d: f"{d:%Y-%m}"))}
+    rng, best = blend.random.Random(42), {}
+    for _ in range(3):
+        for m in sorted(data):
+            centre = best[m][1] if m in best else [1 / 3] * 3
+            pool = [centre] if m in best else [centre, *units]
+            pool += [[(1 - s / 10) * w + (s / 10 if j == i else 0.0) for j, w in enumerate(centre)] for i in range(3) for s in range(1, 11)]
+            pool += [blend._dirichlet(rng, [1.0 + 50.0 * w for w in centre]) for _ in range(3)]
+            columns, y = [data[m][s].to_numpy() for s in NAMES], data[m].y.to_numpy()
+            scores = [plain_composite(y, search.blended(columns, w)) for w in pool]
+            at = max(range(len(pool)), key=lambda i: (round(scores[i], 9), -i))
+            if m not in best or scores[at] > best[m][0]:
+                best[m] = (scores[at], pool[at])
+    for m, (score, weights) in best.items():
+        for s, w in zip(NAMES, weights):
+            assert got[m, s] == pytest.approx(((1 - 1e-4) * w + 1e-4 / 3, score), abs=1e-12)
+
+
 def test_a_search_makes_no_copies_of_rows(spark, monkeypatch):
     df = frame(spark, 13, n=600, digits=1)
     grid = blend.simplex_grid(NAMES, 5)
